@@ -254,3 +254,164 @@ def q_dedup_report(spark, sf):
             .join(ids.select("batch", F.col("pos").alias("kept_by"), F.col("doc_id").alias("kept_doc")),
                   ["batch", "kept_by"])
             .select("doc_id", F.col("kept_doc").alias("kept_by"), F.round("sim", 6).alias("sim")))
+
+
+# ---------------------------------------------------------------------------
+# Extraction: A2-A7, B4-B11, B20, E1-E3
+# ---------------------------------------------------------------------------
+from wirefold.sources import extract as X  # noqa: E402
+from wirefold.sources import landing as L  # noqa: E402
+
+_ITEM_COLS = ", ".join(X.ITEM_COLUMNS)
+_PAGES_ALL = "SELECT page_id AS source_id, url AS page_url, html AS body FROM pages"
+_PAGES_OK = _PAGES_ALL + " WHERE contains(html, '</html>')"
+
+
+def _pages(spark, sf):
+    return TB.table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), "url",
+                                               F.col("html").alias("body"))
+
+
+@register("landed_ok", "SELECT page_id, url FROM pages WHERE contains(html, '</html>')")
+def q_landed_ok(spark, sf):
+    return X.landed_ok(L.web_pages(spark, sf)).select(F.col("source_id").alias("page_id"), "url")
+
+
+@register("page_links", f"WITH {Q.anchors_ctes(_PAGES_ALL)}, {Q.page_links_ctes(15)} SELECT {_ITEM_COLS} FROM links")
+def q_page_links(spark, sf):
+    return X.page_links(_pages(spark, sf), min_title=15)
+
+
+@register("page_links_min5", f"WITH {Q.anchors_ctes(_PAGES_ALL)}, {Q.page_links_ctes(5)} SELECT {_ITEM_COLS} FROM links")
+def q_page_links_min5(spark, sf):
+    return X.page_links(_pages(spark, sf), min_title=5)
+
+
+@register("first_per_key", f"""
+WITH {Q.anchors_ctes(_PAGES_ALL)},
+_r AS (SELECT source_id, pos, {Q.resolve('href', 'page_url')} AS link FROM anchors)
+SELECT source_id AS page_id, link, min(pos) AS first_pos, count(*) AS n_seen FROM _r GROUP BY source_id, link""")
+def q_first_per_key(spark, sf):
+    from pyspark.sql import Window
+    a = X.anchors(_pages(spark, sf)).withColumn("link", T.resolve_link(F.col("href"), F.col("page_url")))
+    w = Window.partitionBy("source_id", "link")
+    first = Window.partitionBy("source_id", "link").orderBy("pos")
+    return (a.withColumn("n_seen", F.count(F.lit(1)).over(w))
+            .withColumn("_k", F.row_number().over(first)).filter(F.col("_k") == 1)
+            .select(F.col("source_id").alias("page_id"), "link", F.col("pos").alias("first_pos"), "n_seen"))
+
+
+@register("resolve_links", f"""
+WITH {Q.anchors_ctes(_PAGES_ALL)}
+SELECT source_id AS page_id, pos, href, {Q.resolve('href', 'page_url')} AS link FROM anchors""")
+def q_resolve_links(spark, sf):
+    a = X.anchors(_pages(spark, sf))
+    return a.select(F.col("source_id").alias("page_id"), "pos", "href",
+                    T.resolve_link(F.col("href"), F.col("page_url")).alias("link"))
+
+
+_KW_PAGES = ["the", "/und"]
+
+
+@register("keyword_flag", f"""
+WITH {Q.anchors_ctes(_PAGES_ALL)}
+SELECT source_id AS page_id, pos, {Q.keyword_flag(Q.resolve('href', 'page_url'), 'text', _KW_PAGES)} AS flag
+FROM anchors""")
+def q_keyword_flag(spark, sf):
+    a = X.anchors(_pages(spark, sf))
+    return a.select(F.col("source_id").alias("page_id"), "pos",
+                    T.keyword_flag(T.resolve_link(F.col("href"), F.col("page_url")), F.col("text"),
+                                   _KW_PAGES).alias("flag"))
+
+
+@register("html_to_text", f"SELECT page_id, {Q.clean(Q.html_to_text('html'), 1_000_000_000)} AS text FROM pages")
+def q_html_to_text(spark, sf):
+    p = TB.table(spark, sf, "pages")
+    return p.select("page_id", T.clean_text(T.html_to_text(F.col("html")), 1_000_000_000).alias("text"))
+
+
+@register("rewrite_path", f"""
+WITH {Q.anchors_ctes(_PAGES_ALL)}
+SELECT source_id AS page_id, pos, {Q.rewrite_path('href')} AS url FROM anchors""")
+def q_rewrite_path(spark, sf):
+    a = X.anchors(_pages(spark, sf))
+    return a.select(F.col("source_id").alias("page_id"), "pos", T.rewrite_path(F.col("href")).alias("url"))
+
+
+@register("truncate_title", f"""
+SELECT conv_id, turn, {Q.truncate_title(Q.clean('text'))} AS title FROM conversations""")
+def q_truncate_title(spark, sf):
+    c = TB.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", T.truncate_title(T.clean_text(F.col("text"))).alias("title"))
+
+
+@register("strip_handle", f"""
+WITH {_SOURCES_SQL}
+SELECT id, regexp_replace('@@' || lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')), '^@+', '') AS handle
+FROM _src WHERE source_type = 'x'""")
+def q_strip_handle(spark, sf):
+    s = TB.sources_small(spark, sf).filter(F.col("source_type") == "x")
+    return s.select("id", T.strip_handle(F.concat(F.lit("@"), F.col("x_handle"))).alias("handle"))
+
+
+@register("first_nonempty", f"""
+SELECT d.doc_id, {Q.first_nonempty("CASE WHEN l.quality = 1 THEN 'good' ELSE '' END", 'd.lang', 'd.text')} AS body
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def q_first_nonempty(spark, sf):
+    d = TB.table(spark, sf, "documents")
+    lab = TB.table(spark, sf, "labels")
+    j = d.join(lab, "doc_id", "left")
+    summary = F.when(F.col("quality") == 1, F.lit("good")).otherwise(F.lit(""))
+    return j.select("doc_id", T.first_nonempty(summary, F.col("lang"), F.col("text")).alias("body"))
+
+
+@register("feed_items", f"WITH {Q.feed_items_ctes()} SELECT {_ITEM_COLS} FROM feed_items")
+def q_feed_items(spark, sf):
+    return X.feed_items(L.feeds(spark, sf))
+
+
+@register("timeline_posts", f"WITH {Q.timeline_posts_ctes()} SELECT {_ITEM_COLS} FROM posts")
+def q_timeline_posts(spark, sf):
+    return X.timeline_posts(L.timelines(spark, sf))
+
+
+@register("first_n_before", """
+WITH _c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
+SELECT conv_id + 2000000000 AS source_id, count(*) AS n_considered, count(*) FILTER (WHERE role <> 'system') AS n_with_link
+FROM _c WHERE pos < 10 GROUP BY conv_id""")
+def q_first_n_before(spark, sf):
+    b = X.timeline_blocks(L.timelines(spark, sf)).filter(F.col("pos") < X.POST_LIMIT)
+    return b.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("n_considered"),
+        F.count_if(F.col("block").rlike(X.POST_LINK_PRESENT_RX)).alias("n_with_link"))
+
+
+@register("mirror_failover", f"""
+WITH {Q.anchors_ctes(_PAGES_ALL)}, {Q.page_links_ctes(5)},
+_att AS (SELECT page_id AS source_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS handle,
+                row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY page_id) - 1
+                AS mirror_rank FROM pages),
+_cnt AS (SELECT source_id, count(*) AS n_items FROM links GROUP BY source_id),
+_good AS (SELECT a.handle, a.mirror_rank, a.source_id, c.n_items FROM _att a JOIN _cnt c ON c.source_id = a.source_id
+          WHERE a.mirror_rank < 4 AND c.n_items > 0)
+SELECT handle, min(mirror_rank) AS mirror_rank, arg_min(source_id, mirror_rank) AS source_id,
+       arg_min(n_items, mirror_rank) AS n_items FROM _good GROUP BY handle""")
+def q_mirror_failover(spark, sf):
+    from pyspark.sql import Window
+    p = _pages(spark, sf)
+    items = X.page_links(p, min_title=5)
+    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    w = Window.partitionBy("handle").orderBy("source_id")
+    att = (p.select("source_id", host.alias("handle"))
+           .withColumn("mirror_rank", F.row_number().over(w) - 1)
+           .filter(F.col("mirror_rank") < len(T.MIRRORS)))
+    return X.mirror_failover(items, att)
+
+
+@register("fetch_all_active", f"""
+WITH {Q.anchors_ctes(_PAGES_OK)}, {Q.page_links_ctes(15)}, {Q.feed_items_ctes()}, {Q.timeline_posts_ctes()}
+SELECT {_ITEM_COLS} FROM feed_items UNION ALL SELECT {_ITEM_COLS} FROM links
+UNION ALL SELECT {_ITEM_COLS} FROM posts""")
+def q_fetch_all_active(spark, sf):
+    sources, land = L.landing(spark, sf)
+    return X.fetch_all_active(sources, land)

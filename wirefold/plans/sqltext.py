@@ -160,3 +160,62 @@ _d AS (SELECT doc_id, source, text, lang, row_number() OVER (PARTITION BY source
 items AS (SELECT doc_id, source, text, lang, rn AS pos,
                  source || ':' || CAST((rn - 1) // {batch_rows} AS VARCHAR) AS batch,
                  {corpus('NULL', 'text')} AS norm FROM _d)"""
+
+
+ANCHOR_RX = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+
+
+def anchors_ctes(pages_sql: str = "SELECT page_id AS source_id, url AS page_url, html AS body FROM pages") -> str:
+    """CTEs ending in ``anchors(source_id, page_url, pos, href, text)``."""
+    return f"""
+_pg AS (SELECT source_id, page_url, {strip_scripts('body')} AS h FROM ({pages_sql})),
+_an0 AS (SELECT source_id, page_url, regexp_extract_all(h, {q(ANCHOR_RX)}, 1) AS hrefs,
+                regexp_extract_all(h, {q(ANCHOR_RX)}, 2) AS inners FROM _pg),
+_an AS (SELECT source_id, page_url, unnest(generate_series(0, len(hrefs) - 1)) AS pos,
+               unnest(hrefs) AS href_raw, unnest(inners) AS inner_raw FROM _an0),
+anchors AS (SELECT source_id, page_url, pos, {decode_entities('href_raw')} AS href,
+                   {node_text_joined('inner_raw')} AS text FROM _an)"""
+
+
+def page_links_ctes(min_title: int = 15, limit: int = 15, out: str = "links") -> str:
+    """CTEs after ``anchors_ctes`` ending in ``{out}`` (web items)."""
+    return f"""
+_pl0 AS (SELECT *, {resolve('href', 'page_url')} AS link FROM anchors
+         WHERE text <> '' AND length(text) >= {min_title}),
+_pl2 AS (SELECT *, row_number() OVER (PARTITION BY source_id, link ORDER BY pos) AS k
+         FROM _pl0 WHERE starts_with(link, 'http')),
+_pl3 AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS n FROM _pl2 WHERE k = 1),
+{out} AS (SELECT 'web' AS source_type, source_id, pos, text AS title, '' AS content, link AS url,
+                 NULL::VARCHAR AS published_at, {keyword_flag('link', 'text')} AS is_column
+          FROM _pl3 WHERE n <= {limit})"""
+
+
+XML_INVALID = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]"
+
+
+def feed_items_ctes(out: str = "feed_items") -> str:
+    """Expected RSS items straight from ``documents`` (what the feed XML built
+    from them must parse back to)."""
+    return f"""
+_f AS (SELECT doc_id // 20 + 1000000000 AS source_id, doc_id, lang, source,
+              regexp_replace(text, {q(XML_INVALID)}, '', 'g') AS t FROM documents),
+_f2 AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1 AS pos,
+               {ws_trim("split_part(t, chr(10), 1)")} AS title,
+               CASE WHEN lang = 'de' THEN '' ELSE 'https://' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR) END AS link
+        FROM _f),
+{out} AS (SELECT 'rss' AS source_type, source_id, pos, title,
+                 {clean(html_to_text("'<p>' || t || '</p>'"))} AS content, link AS url,
+                 'doc-' || CAST(doc_id AS VARCHAR) AS published_at, {keyword_flag('link', 'title')} AS is_column
+          FROM _f2 WHERE pos < 15 AND link <> '' AND title <> '')"""
+
+
+def timeline_posts_ctes(out: str = "posts") -> str:
+    """Expected timeline posts straight from ``conversations``."""
+    return f"""
+_c AS (SELECT conv_id + 2000000000 AS source_id, conv_id, turn, role, text,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+_c2 AS (SELECT *, {clean('text')} AS content FROM _c WHERE pos < 10 AND role <> 'system'),
+{out} AS (SELECT 'x' AS source_type, source_id, pos, {truncate_title('content')} AS title, content,
+                 'https://twitter.com/u' || CAST(conv_id AS VARCHAR) || '/status/' || CAST(turn AS VARCHAR) AS url,
+                 NULL::VARCHAR AS published_at, false AS is_column
+          FROM _c2 WHERE content <> '')"""
