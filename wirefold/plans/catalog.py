@@ -415,3 +415,221 @@ UNION ALL SELECT {_ITEM_COLS} FROM posts""")
 def q_fetch_all_active(spark, sf):
     sources, land = L.landing(spark, sf)
     return X.fetch_all_active(sources, land)
+
+
+# ---------------------------------------------------------------------------
+# Keyed state changes: I1-I9, A9, A10, C3
+# ---------------------------------------------------------------------------
+from wirefold.operators import state as ST  # noqa: E402
+
+_LINK_STATE_SQL = f"""{Q.anchors_ctes(_PAGES_ALL)}, {Q.page_links_ctes(15, out='links15')}, {Q.page_links_ctes(5, out='links5').replace('_pl0', '_qq0').replace('_pl2', '_qq2').replace('_pl3', '_qq3')},
+_st AS (SELECT url, source_id, pos, title FROM (
+          SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_type, source_id, pos) AS r FROM links15) WHERE r = 1),
+_new AS (SELECT url, source_id, pos, title FROM (
+          SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_type, source_id, pos) AS r
+          FROM links5 WHERE url IS NOT NULL) x
+        WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM _st s WHERE s.url = x.url))"""
+
+
+def _link_state(spark, sf):
+    p = _pages(spark, sf)
+    first = X.page_links(p, min_title=15)
+    empty = first.limit(0).select("url", "source_id", "pos", "title")
+    state = ST.apply_insert_or_ignore(empty, first.select("url", "source_id", "pos", "title", "source_type"),
+                                      ["url"], ["source_type", "source_id", "pos"])
+    changes = X.page_links(p, min_title=5).select("url", "source_id", "pos", "title", "source_type")
+    return state, changes
+
+
+@register("insert_or_ignore", f"""
+WITH {_LINK_STATE_SQL}
+SELECT url, source_id, pos, title FROM _st UNION ALL SELECT url, source_id, pos, title FROM _new""")
+def q_insert_or_ignore(spark, sf):
+    state, changes = _link_state(spark, sf)
+    return ST.apply_insert_or_ignore(state, changes, ["url"], ["source_type", "source_id", "pos"])
+
+
+_SLOT_SQL = """
+_ev AS (SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute FROM events),
+_seed AS (SELECT * FROM (VALUES (9, 0), (12, 0), (18, 0), (23, 0)) t(hour, minute)),
+_firsts AS (SELECT hour, minute, min(event_id) AS event_id FROM _ev GROUP BY hour, minute)"""
+
+DEFAULT_SLOTS = [(9, 0), (12, 0), (18, 0), (23, 0)]  # fixed default delivery times
+
+
+def _seed_slots(spark):
+    return spark.createDataFrame([(h, m) for h, m in DEFAULT_SLOTS], "hour int, minute int") \
+        .withColumn("event_id", F.lit(None).cast("long"))
+
+
+def _event_slots(spark, sf):
+    ev = TB.table(spark, sf, "events")
+    return ev.select("event_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"))
+
+
+@register("insert_or_ignore_pair", f"""
+WITH {_SLOT_SQL}
+SELECT hour, minute, CAST(NULL AS BIGINT) AS event_id FROM _seed
+UNION ALL
+SELECT f.hour, f.minute, f.event_id FROM _firsts f
+WHERE NOT EXISTS (SELECT 1 FROM _seed s WHERE s.hour = f.hour AND s.minute = f.minute)""")
+def q_insert_or_ignore_pair(spark, sf):
+    state = _seed_slots(spark)
+    return ST.apply_insert_or_ignore(state, _event_slots(spark, sf), ["hour", "minute"], ["event_id"])
+
+
+@register("seed_if_empty", f"""
+WITH {_SLOT_SQL}
+SELECT hour, minute, event_id FROM _firsts""")
+def q_seed_if_empty(spark, sf):
+    target = ST.first_per_key(_event_slots(spark, sf), ["hour", "minute"], ["event_id"]) \
+        .select("hour", "minute", "event_id")
+    return ST.seed_if_empty(target, _seed_slots(spark))
+
+
+@register("upsert", """
+WITH _st AS (SELECT user_id, false AS admin, max(ts) AS last_fetch_at FROM events
+             WHERE event_type = 'signup' AND value > 10 GROUP BY user_id),
+_ch AS (SELECT user_id, arg_max(ts, (ts, event_id)) AS ts FROM events WHERE event_type = 'click' GROUP BY user_id)
+SELECT coalesce(s.user_id, c.user_id) AS user_id,
+       CASE WHEN s.user_id IS NOT NULL THEN s.admin ELSE false END AS admin,
+       CASE WHEN c.user_id IS NOT NULL THEN c.ts ELSE s.last_fetch_at END AS last_fetch_at
+FROM _st s FULL OUTER JOIN _ch c ON c.user_id = s.user_id""")
+def q_upsert(spark, sf):
+    ev = TB.table(spark, sf, "events")
+    state = (ev.filter((F.col("event_type") == "signup") & (F.col("value") > 10))
+             .groupBy("user_id").agg(F.lit(False).alias("admin"), F.max("ts").alias("last_fetch_at")))
+    changes = ev.filter(F.col("event_type") == "click").select(
+        "user_id", "event_id", "ts", F.col("ts").alias("last_fetch_at"))
+    return ST.upsert(state, changes, ["user_id"], ["last_fetch_at"], ["ts", "event_id"],
+                     defaults={"admin": F.lit(False)})
+
+
+@register("update_by_key", f"""
+WITH {_SOURCES_SQL}
+SELECT s.id, CASE WHEN c.c_custkey IS NOT NULL THEN c.c_acctbal >= 0 ELSE s.active END AS active,
+       c.c_custkey IS NOT NULL AS updated
+FROM _src s LEFT JOIN customer c ON c.c_custkey = s.id""")
+def q_update_by_key(spark, sf):
+    state = TB.sources_small(spark, sf).select("id", "active")
+    changes = TB.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"),
+                                                     (F.col("c_acctbal") >= 0).alias("active"))
+    return ST.update_by_key(state, changes, ["id"], ["active"])
+
+
+@register("delete_cascade", """
+WITH _gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE'),
+_s AS (SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM _gone)),
+_n AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM _gone)),
+_l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN
+        (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM _gone)))
+SELECT 'sources' AS tbl, count(*) AS n_rows FROM _s UNION ALL SELECT 'news', count(*) FROM _n
+UNION ALL SELECT 'sent', count(*) FROM _l""")
+def q_delete_cascade(spark, sf):
+    cust = TB.table(spark, sf, "customer")
+    orders = TB.table(spark, sf, "orders")
+    items = TB.table(spark, sf, "lineitem")
+    doomed = cust.filter(F.col("c_mktsegment") == "AUTOMOBILE").select("c_custkey")
+    s, n, li = ST.delete_cascade([(cust, "c_custkey", ""), (orders, "o_orderkey", "o_custkey"),
+                                  (items, "l_linenumber", "l_orderkey")], doomed, "c_custkey")
+    return (s.agg(F.lit("sources").alias("tbl"), F.count(F.lit(1)).alias("n_rows"))
+            .unionByName(n.agg(F.lit("news").alias("tbl"), F.count(F.lit(1)).alias("n_rows")))
+            .unionByName(li.agg(F.lit("sent").alias("tbl"), F.count(F.lit(1)).alias("n_rows"))))
+
+
+@register("fk_accept", """
+SELECT o_orderkey AS id, o_custkey AS source_id FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'AUTOMOBILE')""")
+def q_fk_accept(spark, sf):
+    parent = TB.table(spark, sf, "customer").filter(F.col("c_mktsegment") != "AUTOMOBILE")
+    ok, _ = ST.fk_split(TB.news_orders(spark, sf), parent, "source_id", "c_custkey")
+    return ok.select("id", "source_id")
+
+
+@register("fk_reject", """
+SELECT o_orderkey AS id, o_custkey AS source_id FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'AUTOMOBILE')""")
+def q_fk_reject(spark, sf):
+    parent = TB.table(spark, sf, "customer").filter(F.col("c_mktsegment") != "AUTOMOBILE")
+    _, bad = ST.fk_split(TB.news_orders(spark, sf), parent, "source_id", "c_custkey")
+    return bad.select("id", "source_id")
+
+
+_CAND_SQL = """
+_cand AS (SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_name END AS name,
+                 ['rss', 'web', 'x', 'atom'][(s_suppkey % 4) + 1] AS source_type FROM supplier),
+_val AS (SELECT *, CASE WHEN name IS NULL THEN 'name_null'
+                        WHEN source_type NOT IN ('web', 'rss', 'x') THEN 'bad_type' END AS reason FROM _cand)"""
+
+
+def _candidates(spark, sf):
+    s = TB.table(spark, sf, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"),
+                    F.when(F.col("s_acctbal") < 0, F.lit(None)).otherwise(F.col("s_name")).alias("name"),
+                    F.element_at(F.array(*[F.lit(t) for t in ["rss", "web", "x", "atom"]]),
+                                 (F.pmod("s_suppkey", F.lit(4)) + 1).cast("int")).alias("source_type"))
+
+
+def _source_rules():
+    return [("name_null", F.col("name").isNotNull()),
+            ("bad_type", F.col("source_type").isin(*TB.SOURCE_TYPES))]
+
+
+@register("validate_rows", f"""
+WITH {_CAND_SQL}
+SELECT id, reason IS NULL AS accepted, reason FROM _val""")
+def q_validate_rows(spark, sf):
+    return ST.validate(_candidates(spark, sf), _source_rules()).select("id", "accepted", "reason")
+
+
+@register("add_source", f"""
+WITH {_SOURCES_SQL}, {_CAND_SQL}
+SELECT id, name, source_type FROM _src
+UNION ALL
+SELECT (SELECT max(id) FROM _src) + row_number() OVER (ORDER BY id) AS id, name, source_type
+FROM _val WHERE reason IS NULL""")
+def q_add_source(spark, sf):
+    state = TB.sources_small(spark, sf).select("id", "name", "source_type")
+    ok = ST.validate(_candidates(spark, sf), _source_rules()).filter("accepted")
+    new = ST.assign_ids(ok.select(F.col("id").alias("arrival"), "name", "source_type"), ["arrival"],
+                        state.agg(F.max("id")).scalar())
+    return state.unionByName(new.select("id", "name", "source_type"))
+
+
+@register("assign_ids", """
+SELECT c_custkey, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_custkey) AS new_id
+FROM customer""")
+def q_assign_ids(spark, sf):
+    cust = TB.table(spark, sf, "customer").select("c_custkey")
+    base = TB.table(spark, sf, "supplier").agg(F.max("s_suppkey")).scalar()
+    return ST.assign_ids(cust, ["c_custkey"], base, out="new_id")
+
+
+ADMIN_OVERRIDE = [1, 2, 3]  # fixed id list that is always admin (configuration)
+
+
+@register("flag_by_key", f"""
+WITH _u AS (SELECT DISTINCT user_id FROM events),
+_f AS (SELECT user_id, count(*) >= 15 AS admin FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT u.user_id, coalesce(f.admin, false) OR u.user_id IN ({', '.join(map(str, ADMIN_OVERRIDE))}) AS is_admin
+FROM _u u LEFT JOIN _f f ON f.user_id = u.user_id""")
+def q_flag_by_key(spark, sf):
+    ev = TB.table(spark, sf, "events")
+    users = ev.select("user_id").distinct()
+    flags = ev.filter(F.col("event_type") == "purchase").groupBy("user_id") \
+        .agg((F.count(F.lit(1)) >= 15).alias("admin"))
+    return ST.flag_by_key(users, flags, "user_id", "admin", ADMIN_OVERRIDE, out="is_admin")
+
+
+@register("mark_sent", f"""
+WITH {_NEWS_SQL},
+_top AS (SELECT id FROM _n WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = _n.id AND l.l_returnflag = '{CHAT}')
+         ORDER BY fetched_at DESC, id DESC LIMIT 50),
+_log AS (SELECT l_returnflag AS chat_id FROM lineitem UNION ALL SELECT '{CHAT}' FROM _top)
+SELECT chat_id, count(*) AS n_rows FROM _log GROUP BY chat_id""")
+def q_mark_sent(spark, sf):
+    sent = TB.sent_lineitem(spark, sf)
+    top = SEL.unsent_news(TB.news_orders(spark, sf), TB.sources_large(spark, sf), sent, CHAT)
+    log = ST.append_rows(sent, top.select(F.col("id").alias("news_id"),
+                                         F.lit(CHAT).alias("sent_to_chat_id")))
+    return log.groupBy(F.col("sent_to_chat_id").alias("chat_id")).agg(F.count(F.lit(1)).alias("n_rows"))
