@@ -633,3 +633,180 @@ def q_mark_sent(spark, sf):
     log = ST.append_rows(sent, top.select(F.col("id").alias("news_id"),
                                          F.lit(CHAT).alias("sent_to_chat_id")))
     return log.groupBy(F.col("sent_to_chat_id").alias("chat_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------------------
+# Reports and rendering: B13-B17, B19, D2, D3, F4
+# ---------------------------------------------------------------------------
+from wirefold.operators import enrich as EN  # noqa: E402
+from wirefold.operators import report as RP  # noqa: E402
+
+
+def _slots(spark, sf):
+    """Slots from events: first event per (hour, minute); active unless that
+    first event is an error."""
+    ev = TB.table(spark, sf, "events").select("event_id", "event_type", F.hour("ts").alias("hour"),
+                                              F.minute("ts").alias("minute"))
+    first = ST.first_per_key(ev, ["hour", "minute"], ["event_id"])
+    return first.select(F.col("event_id").alias("id"), "hour", "minute",
+                        (F.col("event_type") != "error").alias("active"))
+
+
+_SLOTS_SQL = """
+_sl AS (SELECT arg_min(event_id, event_id) AS id, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute,
+               arg_min(event_type, event_id) <> 'error' AS active
+        FROM events GROUP BY hour(ts), minute(ts))"""
+
+
+@register("list_slots", f"WITH {_SLOTS_SQL} SELECT id, hour, minute, active FROM _sl WHERE active ORDER BY hour, minute")
+def q_list_slots(spark, sf):
+    return SEL.list_slots(_slots(spark, sf), only_active=True).select("id", "hour", "minute", "active")
+
+
+@register("format_slot", f"WITH {_SLOTS_SQL} SELECT id, printf('%02d:%02d', hour, minute) AS slot FROM _sl")
+def q_format_slot(spark, sf):
+    return _slots(spark, sf).select("id", T.format_slot(F.col("hour"), F.col("minute")).alias("slot"))
+
+
+_SLOT_TEXT = ("CASE WHEN event_type = 'error' THEN props ELSE CAST(hour(ts) AS VARCHAR) || ':' || "
+              "CAST(minute(ts) AS VARCHAR) END")
+
+
+@register("parse_slot", f"""
+WITH _t AS (SELECT event_id, {_SLOT_TEXT} AS txt FROM events),
+_p AS (SELECT event_id, string_split(txt, ':') AS parts FROM _t),
+_v AS (SELECT event_id, CASE WHEN len(parts) = 2 THEN TRY_CAST(trim(parts[1]) AS INTEGER) END AS hour,
+              CASE WHEN len(parts) = 2 THEN TRY_CAST(trim(parts[2]) AS INTEGER) END AS minute FROM _p),
+_w AS (SELECT event_id, CASE WHEN hour IS NOT NULL AND minute IS NOT NULL THEN hour END AS hour,
+              CASE WHEN hour IS NOT NULL AND minute IS NOT NULL THEN minute END AS minute FROM _v)
+SELECT event_id, hour, minute, coalesce(hour BETWEEN 0 AND 23 AND minute BETWEEN 0 AND 59, false) AS accepted FROM _w""")
+def q_parse_slot(spark, sf):
+    ev = TB.table(spark, sf, "events")
+    txt = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
+        F.concat(F.hour("ts").cast("string"), F.lit(":"), F.minute("ts").cast("string")))
+    p = ev.select("event_id", T.parse_slot(txt).alias("p"))
+    ok = F.col("p.hour").between(0, 23) & F.col("p.minute").between(0, 59)
+    return p.select("event_id", F.col("p.hour").alias("hour"), F.col("p.minute").alias("minute"),
+                    F.coalesce(ok, F.lit(False)).alias("accepted"))
+
+
+@register("status_report", f"""
+WITH {_SOURCES_SQL}, {_SLOTS_SQL}
+SELECT (SELECT count(*) FROM _src) AS n_sources, (SELECT count(*) FILTER (WHERE active) FROM _src) AS n_active_sources,
+       (SELECT count(*) FILTER (WHERE active) FROM _sl) AS n_active_slots,
+       (SELECT count(*) FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR) AS n_recent""")
+def q_status_report(spark, sf):
+    ev = TB.table(spark, sf, "events")
+    now = ev.agg(F.max("ts")).scalar()
+    return SEL.status_report(TB.sources_small(spark, sf), _slots(spark, sf), ev, now, 24, ts_col="ts")
+
+
+_SRC_LINE_SQL = f"""
+_srcx AS (SELECT s_suppkey AS id, s_name AS name, ['rss', 'web', 'x'][(s_suppkey % 3) + 1] AS source_type,
+                 (s_suppkey % 5) <> 0 AS active FROM supplier),
+_srcy AS (SELECT *, CASE WHEN source_type <> 'x' THEN 'https://feeds.example.org/' || CAST(id AS VARCHAR) END AS url,
+                 CASE WHEN source_type = 'x' THEN '@' || lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) END AS x_handle
+          FROM _srcx),
+_lines AS (SELECT source_type, id, CASE WHEN active THEN {Q.q(T.STATUS_ON)} ELSE {Q.q(T.STATUS_OFF)} END || ' <code>' ||
+                  CAST(id AS VARCHAR) || '</code> [' || source_type || '] <b>' || name || '</b> — ' ||
+                  coalesce(nullif(url, ''), '@' || coalesce(x_handle, '')) AS line FROM _srcy),
+_txt AS (SELECT {Q.q(RP.SOURCES_HEADER)} || chr(10) || string_agg(line, chr(10) ORDER BY source_type, id) AS t FROM _lines)"""
+
+
+@register("source_report", f"""
+WITH {_SRC_LINE_SQL}
+SELECT g AS piece_no, substring(t, CAST(g * 3800 + 1 AS BIGINT), 3800) AS piece
+FROM _txt, unnest(generate_series(0, (length(t) - 1) // 3800)) AS u(g)""")
+def q_source_report(spark, sf):
+    lines = RP.source_lines(TB.sources_small(spark, sf))
+    return RP.chunked_report(lines, ["source_type", "id"], RP.SOURCES_HEADER).select("piece_no", "piece")
+
+
+@register("chunk_text", """
+SELECT doc_id, g AS piece_no, substring(text, CAST(g * 3800 + 1 AS BIGINT), 3800) AS piece
+FROM documents, unnest(generate_series(0, (length(text) - 1) // 3800)) AS u(g) WHERE length(text) > 0""")
+def q_chunk_text(spark, sf):
+    d = TB.table(spark, sf, "documents")
+    return d.select("doc_id", F.posexplode(T.chunk_pieces(F.col("text"))).alias("piece_no", "piece"))
+
+
+_RENDER_ITEMS_SQL = """
+_ri AS (SELECT d.doc_id, split_part(d.text, chr(10), 1) AS title,
+               CASE WHEN l.quality = 1 THEN 'good <summary>' WHEN l.quality = 0 THEN '' END AS summary_tr,
+               d.text AS content, d.source AS source_name,
+               'https://' || d.source || '.example.org/doc/' || CAST(d.doc_id AS VARCHAR) AS url,
+               l.toxic = 1 AS is_column
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def _render_items(spark, sf):
+    d = TB.table(spark, sf, "documents")
+    lab = TB.table(spark, sf, "labels")
+    j = d.join(lab, "doc_id", "left")
+    return j.select(
+        "doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
+        F.when(F.col("quality") == 1, F.lit("good <summary>")).when(F.col("quality") == 0, F.lit(""))
+        .alias("summary_tr"),
+        F.col("text").alias("content"), F.col("source").alias("source_name"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id").cast("string"))
+        .alias("url"), (F.col("toxic") == 1).alias("is_column"))
+
+
+@register("render_message", f"""
+WITH {_RENDER_ITEMS_SQL}
+SELECT doc_id, {Q.render('title', 'summary_tr', 'content', 'source_name', 'url', 'is_column')} AS message FROM _ri""")
+def q_render_message(spark, sf):
+    r = _render_items(spark, sf)
+    return r.select("doc_id", T.render_message(F.col("title"), F.col("summary_tr"), F.col("content"),
+                                               F.col("source_name"), F.col("url"), F.col("is_column"))
+                    .alias("message"))
+
+
+# ---------------------------------------------------------------------------
+# Enrichment: E5, K1, C4
+# ---------------------------------------------------------------------------
+_UNSUM_SQL = """
+_us AS (SELECT d.doc_id, d.source, d.text,
+               (row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1) // 6 AS batch_no
+        FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))"""
+
+
+def _unsummarised(spark, sf):
+    d = TB.table(spark, sf, "documents")
+    lab = TB.table(spark, sf, "labels")
+    rows = d.join(lab.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "text")
+    return EN.summary_batches(rows, ["source"], ["doc_id"])
+
+
+@register("summary_batches", f"WITH {_UNSUM_SQL} SELECT doc_id, source, batch_no FROM _us")
+def q_summary_batches(spark, sf):
+    return _unsummarised(spark, sf).select("doc_id", "source", "batch_no")
+
+
+_FIRST_SENTENCE = Q.ws_trim("regexp_extract(coalesce(text, ''), '^([^.]*\\.?)', 1)")
+
+
+@register("enrich_batches", f"""
+WITH {_UNSUM_SQL}
+SELECT doc_id AS id, {_FIRST_SENTENCE} AS summary FROM _us""")
+def q_enrich_batches(spark, sf):
+    rows = _unsummarised(spark, sf).select(F.col("doc_id").alias("id"), "source", "batch_no",
+                                           F.col("text").alias("content"))
+    return EN.enrich_batches(rows, EN.first_sentence_summaries, ["source", "batch_no"])
+
+
+@register("apply_summaries", f"""
+WITH {_UNSUM_SQL},
+_new AS (SELECT doc_id AS id, {_FIRST_SENTENCE} AS summary FROM _us)
+SELECT d.doc_id, coalesce(n.summary, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || CAST(l.quality AS VARCHAR) END) AS summary_tr
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN _new n ON n.id = d.doc_id""")
+def q_apply_summaries(spark, sf):
+    d = TB.table(spark, sf, "documents")
+    lab = TB.table(spark, sf, "labels")
+    pending = d.join(lab, "doc_id", "left").select(
+        "doc_id", F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string")))
+        .alias("summary_tr"))
+    rows = _unsummarised(spark, sf).select(F.col("doc_id").alias("id"), "source", "batch_no",
+                                           F.col("text").alias("content"))
+    new = EN.enrich_batches(rows, EN.first_sentence_summaries, ["source", "batch_no"])
+    return EN.apply_summaries(pending, new, id_col="doc_id").select("doc_id", "summary_tr")
