@@ -810,3 +810,140 @@ def q_apply_summaries(spark, sf):
                                            F.col("text").alias("content"))
     new = EN.enrich_batches(rows, EN.first_sentence_summaries, ["source", "batch_no"])
     return EN.apply_summaries(pending, new, id_col="doc_id").select("doc_id", "summary_tr")
+
+
+# ---------------------------------------------------------------------------
+# Delivery cycle: J2-J5, D7 (flagship: news_cycle)
+# ---------------------------------------------------------------------------
+import re as _re  # noqa: E402
+
+from wirefold.plans import cycle as CY  # noqa: E402
+
+_BASE_TS = "2024-01-01 00:00:00"
+
+
+def _prior_news(spark, sf):
+    d = TB.table(spark, sf, "documents")
+    return d.select(
+        (F.col("doc_id") + 1).alias("id"),
+        (F.floor(F.col("doc_id") / L.FEED_SIZE) + L.RSS_ID_BASE).cast("long").alias("source_id"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id").cast("string"))
+        .alias("url"),
+        F.lit(None).cast("string").alias("published_at"),
+        (F.lit(_BASE_TS).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("doc_id").cast("decimal(18,6)")))
+        .alias("fetched_at"),
+        F.lit(None).cast("string").alias("summary_tr"), F.lit(False).alias("is_column"))
+
+
+def _prior_sent(spark, sf):
+    lab = TB.table(spark, sf, "labels")
+    return lab.filter(F.col("toxic") == 1).select(
+        (F.col("doc_id") + 1).alias("news_id"), F.lit(CHAT).alias("sent_to_chat_id"),
+        F.lit(None).cast("long").alias("message_id"))
+
+
+def _cycle_inputs(spark, sf):
+    sources, land = L.landing(spark, sf)
+    ev = TB.table(spark, sf, "events")
+    now = ev.agg(F.max("ts")).scalar()
+    chats = SEL.chats_of(TB.sent_lineitem(spark, sf))
+    return sources, land, _prior_news(spark, sf), _prior_sent(spark, sf), chats, now
+
+
+_CYCLE_BASE_SQL = f"""{Q.anchors_ctes(_PAGES_OK)}, {Q.page_links_ctes(15)}, {Q.feed_items_ctes()}, {Q.timeline_posts_ctes()},
+_items AS (SELECT {_ITEM_COLS} FROM feed_items UNION ALL SELECT {_ITEM_COLS} FROM links
+           UNION ALL SELECT {_ITEM_COLS} FROM posts),
+_prior AS (SELECT doc_id + 1 AS id, doc_id // 20 + 1000000000 AS source_id, split_part(text, chr(10), 1) AS title,
+                  text AS content, 'https://' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR) AS url,
+                  NULL::VARCHAR AS published_at, TIMESTAMP '{_BASE_TS}' + to_seconds(doc_id) AS fetched_at,
+                  NULL::VARCHAR AS summary_tr, false AS is_column FROM documents),
+_srcs AS (SELECT page_id AS id, 'page-' || CAST(page_id AS VARCHAR) AS name FROM pages
+          UNION ALL SELECT DISTINCT doc_id // 20 + 1000000000, 'feed-' || CAST(doc_id // 20 AS VARCHAR) FROM documents
+          UNION ALL SELECT DISTINCT conv_id + 2000000000, '@u' || CAST(conv_id AS VARCHAR) FROM conversations),
+_firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_type, source_id, pos) AS r
+                           FROM _items WHERE url IS NOT NULL) WHERE r = 1),
+_fresh AS (SELECT * FROM _firsts f WHERE NOT EXISTS (SELECT 1 FROM _prior p WHERE p.url = f.url)),
+_new AS (SELECT (SELECT max(id) FROM _prior) + row_number() OVER (ORDER BY source_type, source_id, pos) AS id,
+                source_id, title, content, url, published_at, (SELECT max(ts) FROM events) AS fetched_at,
+                NULL::VARCHAR AS summary_tr, is_column FROM _fresh),
+_news AS (SELECT * FROM _prior UNION ALL SELECT * FROM _new),
+_sent0 AS (SELECT doc_id + 1 AS news_id, '{CHAT}' AS chat FROM labels WHERE toxic = 1),
+_chats AS (SELECT DISTINCT l_returnflag AS chat_id FROM lineitem)"""
+
+_DEDUP_NAMES = r"\b(items|_toks|_tf|_dfs|_vocab|_nv|_w0|wts|pairs|_tgt|_last|_walk|gone)\b"
+
+
+def _cycle_sql(p: str, sent: str) -> str:
+    """CTEs of one cycle over ``_news`` with sent log ``sent``; ends in ``{p}out``."""
+    pend = f"""
+{p}pend AS (SELECT * FROM (
+    SELECT ch.chat_id, n.*, s.name AS source_name,
+           row_number() OVER (PARTITION BY ch.chat_id ORDER BY n.fetched_at DESC, n.id DESC) AS "rank"
+    FROM _chats ch JOIN _news n ON true JOIN _srcs s ON s.id = n.source_id
+    WHERE NOT EXISTS (SELECT 1 FROM {sent} x WHERE x.news_id = n.id AND x.chat = ch.chat_id)) WHERE "rank" <= 50)"""
+    dd = f"""
+items AS (SELECT chat_id AS batch, "rank" AS pos, {Q.corpus('title', 'content')} AS norm FROM {p}pend),
+{Q.tfidf_ctes('items')}, {Q.pairs_cte(THRESHOLD)}, {Q.greedy_ctes()}"""
+    dd = _re.sub(_DEDUP_NAMES, lambda m: p + m.group(1), dd)
+    first_sentence = Q.ws_trim("regexp_extract(coalesce(content, ''), '^([^.]*\\.?)', 1)")
+    out = f"""
+{p}kept AS (SELECT k.*, CASE WHEN coalesce(k.summary_tr, '') = '' THEN {first_sentence} ELSE k.summary_tr END AS summ
+            FROM {p}pend k WHERE NOT EXISTS (SELECT 1 FROM {p}gone g WHERE g.batch = k.chat_id AND g.pos = k."rank")),
+{p}out AS (SELECT chat_id, "rank", id AS news_id,
+                  {Q.render('title', 'summ', 'content', 'source_name', 'url', 'is_column')} AS message FROM {p}kept)"""
+    return pend + "," + dd + "," + out
+
+
+@register("news_cycle", f"""
+WITH RECURSIVE {_CYCLE_BASE_SQL}, {_cycle_sql('c1_', '_sent0')}
+SELECT chat_id, "rank", news_id, message FROM c1_out""")
+def q_news_cycle(spark, sf):
+    sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
+    r = CY.news_cycle(sources, land, news, sent, chats, now)
+    return r["outbox"].select("chat_id", "rank", "news_id", "message")
+
+
+@register("two_cycles", f"""
+WITH RECURSIVE {_CYCLE_BASE_SQL}, {_cycle_sql('c1_', '_sent0')},
+_sent1 AS (SELECT news_id, chat FROM _sent0 UNION ALL SELECT news_id, chat_id FROM c1_out),
+{_cycle_sql('c2_', '_sent1')}
+SELECT chat_id, "rank", news_id, message FROM c2_out""")
+def q_two_cycles(spark, sf):
+    sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
+    r1 = CY.news_cycle(sources, land, news, sent, chats, now)
+    results = r1["outbox"].select("news_id", "chat_id", F.lit(True).alias("ok"),
+                                  F.lit(None).cast("long").alias("message_id"))
+    sent1 = CY.delivery_log(sent, results)
+    r2 = CY.news_cycle(sources, land, r1["news"], sent1, chats, now)
+    return r2["outbox"].select("chat_id", "rank", "news_id", "message")
+
+
+MAX_MESSAGE_CHARS = 4096  # message size limit of the delivery service
+
+
+@register("delivery_log", f"""
+WITH RECURSIVE {_CYCLE_BASE_SQL}, {_cycle_sql('c1_', '_sent0')},
+_ok AS (SELECT DISTINCT news_id, chat_id FROM c1_out WHERE length(message) <= {MAX_MESSAGE_CHARS}),
+_fresh_log AS (SELECT * FROM _ok o WHERE NOT EXISTS (SELECT 1 FROM _sent0 s WHERE s.news_id = o.news_id AND s.chat = o.chat_id))
+SELECT news_id, chat AS sent_to_chat_id FROM _sent0 UNION ALL SELECT news_id, chat_id FROM _fresh_log""")
+def q_delivery_log(spark, sf):
+    sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
+    out = CY.news_cycle(sources, land, news, sent, chats, now)["outbox"]
+    results = out.select("news_id", "chat_id", (F.length("message") <= MAX_MESSAGE_CHARS).alias("ok"),
+                         F.lit(None).cast("long").alias("message_id"))
+    return CY.delivery_log(sent, results).select("news_id", "sent_to_chat_id")
+
+
+@register("cycle_counts", f"""
+WITH RECURSIVE {_CYCLE_BASE_SQL}, {_cycle_sql('c1_', '_sent0')},
+_p AS (SELECT chat_id, count(*) AS n_pending FROM c1_pend GROUP BY chat_id),
+_o AS (SELECT chat_id, count(*) AS n_sent FROM c1_out GROUP BY chat_id)
+SELECT _p.chat_id, (SELECT count(*) FROM _new) AS n_added, n_pending, n_pending - coalesce(n_sent, 0) AS n_removed,
+       coalesce(n_sent, 0) AS n_sent FROM _p LEFT JOIN _o ON _o.chat_id = _p.chat_id""")
+def q_cycle_counts(spark, sf):
+    sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
+    items = X.fetch_all_active(sources, land)
+    news2, new_rows = CY.ingest(news, items, now)
+    r = CY.news_cycle(sources, land, news, sent, chats, now)
+    return CY.cycle_counts(new_rows, r["pending"], r["outbox"])

@@ -86,11 +86,15 @@ def landing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = web_pages(spark, sf_dir)
     f = feeds(spark, sf_dir)
     x = timelines(spark, sf_dir)
-    sources = (w.select(F.col("source_id").alias("id"), F.lit("web").alias("source_type"), "url")
-               .unionByName(f.select(F.col("source_id").alias("id"), F.lit("rss").alias("source_type"),
-                                     F.lit(None).cast("string").alias("url")))
-               .unionByName(x.select(F.col("source_id").alias("id"), F.lit("x").alias("source_type"),
-                                     F.lit(None).cast("string").alias("url")))
+    sources = (w.select(F.col("source_id").alias("id"),
+                        F.concat(F.lit("page-"), F.col("source_id").cast("string")).alias("name"),
+                        F.lit("web").alias("source_type"), "url")
+               .unionByName(f.select(F.col("source_id").alias("id"),
+                                     F.concat(F.lit("feed-"), F.col("feed_id").cast("string")).alias("name"),
+                                     F.lit("rss").alias("source_type"), F.lit(None).cast("string").alias("url")))
+               .unionByName(x.select(F.col("source_id").alias("id"),
+                                     F.concat(F.lit("@u"), F.col("conv_id").cast("string")).alias("name"),
+                                     F.lit("x").alias("source_type"), F.lit(None).cast("string").alias("url")))
                .withColumn("active", F.lit(True)))
     land = (w.select("source_id", "status", "body")
             .unionByName(f.select("source_id", "status", "body"))
