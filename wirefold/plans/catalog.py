@@ -947,3 +947,19 @@ def q_cycle_counts(spark, sf):
     news2, new_rows = CY.ingest(news, items, now)
     r = CY.news_cycle(sources, land, news, sent, chats, now)
     return CY.cycle_counts(new_rows, r["pending"], r["outbox"])
+
+
+# ---------------------------------------------------------------------------
+# Streaming ingest: J1
+# ---------------------------------------------------------------------------
+from wirefold.streaming import ingest as SI  # noqa: E402
+
+
+@register("stream_ingest", """
+SELECT user_id, event_id, ts FROM (
+  SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
+WHERE r = 1""")
+def q_stream_ingest(spark, sf):
+    schema = TB.table(spark, sf, "events").select("user_id", "ts", "event_id").schema
+    path = SI.stream_ingest(spark, sf, schema, ["user_id"], ["ts", "event_id"], glob="events.parquet")
+    return spark.read.parquet(path).select("user_id", "event_id", "ts")

@@ -31,6 +31,7 @@ from wirefold.operators import enrich as EN
 from wirefold.operators import select as SEL
 from wirefold.operators import similarity as S
 from wirefold.operators import state as ST
+from wirefold.session import cut_lineage
 from wirefold.sources import extract as X
 
 ARRIVAL = ["source_type", "source_id", "pos"]
@@ -65,11 +66,14 @@ def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: Da
                batch_size: int = EN.BATCH_SIZE) -> dict[str, DataFrame]:
     """Run one cycle for every chat in ``chats`` (chat_id). Returns news',
     the outbox (chat_id, rank, news_id, message) and the pending rows."""
-    items = X.fetch_all_active(sources, landing)
+    # the fetched items feed both the ingest and the "anything fetched" guard
+    items = cut_lineage(X.fetch_all_active(sources, landing))
     news2, _ = ingest(news, items, now)
     pending = SEL.unsent_per_chat(news2, sources, sent, chats, limit)
     # guards: nothing fetched this cycle, or no active source -> nothing sent
-    pending = pending.filter(items.exists())
+    # (pending is at most limit rows per chat; written once, read by every
+    # later step instead of re-running the fetch and ingest)
+    pending = cut_lineage(pending.filter(items.exists()))
     kept = dedup_pending(pending, threshold)
     todo = kept.filter(F.coalesce(F.col("summary_tr"), F.lit("")) == "")
     todo = EN.summary_batches(todo.select("chat_id", "rank", "id", "content"), ["chat_id"], ["rank"],
