@@ -94,18 +94,26 @@ def prefix_terms(weights: DataFrame, threshold: float) -> DataFrame:
     """Index terms of the all-pairs prefix filter.
 
     Terms of a row are put in one order shared by the whole batch (rising df,
-    then term). A term is indexed while the norm of the row's remaining terms
-    (itself included) is still >= threshold. Two unit rows that share no
-    indexed term have cosine < threshold (Cauchy-Schwarz on the suffix), so
-    joining on indexed terms finds every pair at or above the threshold, and
-    terms held by nearly every row (a quadratic join) are rarely indexed.
+    then term). A term is indexed while an upper bound of what the row's
+    remaining terms (itself included) can add to any dot product is still
+    >= threshold. Two bounds hold, and the smaller is used: the L2 norm of the
+    remaining weights (Cauchy-Schwarz against a unit row), and the sum of
+    ``weight * maxweight(term)`` over them (no row holds a term with more than
+    its batch maximum). Two rows that share no indexed term then have cosine
+    below the threshold, so joining on indexed terms finds every pair at or
+    above it, exactly; frequent terms, whose weights are small everywhere, are
+    rarely indexed, which keeps the candidate join far from quadratic.
     """
+    maxw = weights.groupBy("batch", "term").agg(F.max("weight").alias("maxw"))
     w = (Window.partitionBy("batch", "pos")
          .orderBy(F.col("df").desc(), F.col("term").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rest_l2 = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))
+    rest_mw = F.sum(F.col("weight") * F.col("maxw")).over(w)
     # small slack so rounding never drops a needed candidate
-    return (weights.withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(w))
-            .filter(F.col("rest") >= F.lit(threshold * threshold - 1e-9))
+    return (weights.join(maxw, ["batch", "term"])
+            .withColumn("bound", F.least(rest_l2, rest_mw))
+            .filter(F.col("bound") >= F.lit(threshold - 1e-9))
             .select("batch", "pos", "term"))
 
 
