@@ -117,13 +117,33 @@ def prefix_terms(weights: DataFrame, threshold: float) -> DataFrame:
             .select("batch", "pos", "term"))
 
 
+MAX_CANDIDATE_ROWS = 150_000_000
+
+
+class CandidateLimitError(RuntimeError):
+    """The exact candidate join would be larger than allowed."""
+
+
 def similar_pairs(weights: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
-                  members: DataFrame | None = None) -> DataFrame:
+                  members: DataFrame | None = None,
+                  max_candidate_rows: int | None = MAX_CANDIDATE_ROWS) -> DataFrame:
     """(batch, i, j, sim) for i < j in one batch with cosine >= threshold
-    (inclusive). ``members`` (batch, pos) limits the search to those rows."""
+    (inclusive). ``members`` (batch, pos) limits the search to those rows.
+
+    The size of the candidate join (sum over indexed terms of df^2 / 2) is
+    measured first with a small aggregate; above ``max_candidate_rows`` the
+    call fails with ``CandidateLimitError`` instead of filling executor disks.
+    Nothing is ever dropped to fit: the answer is exact or there is none."""
     if members is not None:
         weights = weights.join(members.select("batch", "pos"), ["batch", "pos"], "left_semi")
-    idx = prefix_terms(weights, threshold)
+    idx = cut_lineage(prefix_terms(weights, threshold))
+    if max_candidate_rows is not None:
+        est = (idx.groupBy("batch", "term").agg(F.count(F.lit(1)).alias("n"))
+               .agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows")).first()["rows"]) or 0
+        if est > max_candidate_rows:
+            raise CandidateLimitError(
+                f"candidate join would emit {int(est):,} rows (> {max_candidate_rows:,}); "
+                "raise max_candidate_rows on a cluster sized for it")
     a = idx.select("batch", F.col("pos").alias("i"), "term")
     b = idx.select("batch", F.col("pos").alias("j"), "term")
     cand = a.join(b, ["batch", "term"]).filter(F.col("i") < F.col("j")).select("batch", "i", "j").distinct()
