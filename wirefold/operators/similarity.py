@@ -85,9 +85,9 @@ def tfidf(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     vocab = idf(vocabulary(doc_freq(tf), max_features), valid_counts(docs))
     raw = tf.join(vocab, ["batch", "term"]).select(
         "batch", "pos", "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("batch", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm2"))
-    return cut_lineage(raw.join(norms, ["batch", "pos"])
-                       .select("batch", "pos", "term", "df", (F.col("w") / F.col("norm2")).alias("weight")))
+    row = Window.partitionBy("batch", "pos")
+    return cut_lineage(raw.select("batch", "pos", "term", "df",
+                                  (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(row))).alias("weight")))
 
 
 def prefix_terms(weights: DataFrame, threshold: float) -> DataFrame:
@@ -136,10 +136,30 @@ def similar_pairs(weights: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
     Nothing is ever dropped to fit: the answer is exact or there is none."""
     if members is not None:
         weights = weights.join(members.select("batch", "pos"), ["batch", "pos"], "left_semi")
+    weights = cut_lineage(weights)
+
+    def join_size(terms: DataFrame):
+        return (terms.groupBy("batch", "term").agg(F.count(F.lit(1)).alias("n"))
+                .agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows")).first()["rows"]) or 0
+
+    # Two exact plans; the measured join sizes pick one. Direct: every pair
+    # sharing a term, products summed (best for small batches, where a term
+    # can pair at most batch-size rows). Prefix: candidates from indexed terms
+    # only, then exact dot products over all terms of each candidate.
+    direct = join_size(weights)
+    n_weights = weights.count()
+    if direct <= 4 * n_weights + 1_000_000:
+        if max_candidate_rows is not None and direct > max_candidate_rows:
+            raise CandidateLimitError(f"term join would emit {int(direct):,} rows")
+        a = weights.select("batch", F.col("pos").alias("i"), "term", F.col("weight").alias("wi"))
+        b = weights.select("batch", F.col("pos").alias("j"), "term", F.col("weight").alias("wj"))
+        dots = (a.join(b, ["batch", "term"]).filter(F.col("i") < F.col("j"))
+                .groupBy("batch", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")))
+        return dots.filter(F.col("sim") >= F.lit(threshold))
+
     idx = cut_lineage(prefix_terms(weights, threshold))
     if max_candidate_rows is not None:
-        est = (idx.groupBy("batch", "term").agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows")).first()["rows"]) or 0
+        est = join_size(idx)
         if est > max_candidate_rows:
             raise CandidateLimitError(
                 f"candidate join would emit {int(est):,} rows (> {max_candidate_rows:,}); "
