@@ -53,14 +53,23 @@ def doc_freq(tf: DataFrame) -> DataFrame:
                                            F.sum("tf").alias("total"))
 
 
-def vocabulary(dfs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+VOCAB_SALTS = 64
+
+
+def vocabulary(dfs: DataFrame, max_features: int = MAX_FEATURES, salts: int = VOCAB_SALTS) -> DataFrame:
     """Top ``max_features`` terms per batch by total count, ties by term.
 
-    ``row_number() <= k`` is planned as a WindowGroupLimit: each map task keeps
-    only its own top k per batch before the shuffle, so even one huge batch
-    moves at most k rows per task."""
-    w = Window.partitionBy("batch").orderBy(F.col("total").desc(), F.col("term").asc())
-    return (dfs.withColumn("vrank", F.row_number().over(w))
+    Two exact phases, so one huge batch never sorts all its terms in one
+    task: first a top-k per (batch, hash(term) mod ``salts``), then a top-k
+    per batch over at most ``salts * k`` survivors (the global top k is inside
+    the union of the per-salt top k). Spark's own WindowGroupLimit only kicks
+    in for k up to 1000, which the 5,000-term cap exceeds."""
+    order = [F.col("total").desc(), F.col("term").asc()]
+    salted = dfs.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(salts)))
+    w1 = Window.partitionBy("batch", "_salt").orderBy(*order)
+    part = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= max_features)
+    w2 = Window.partitionBy("batch").orderBy(*order)
+    return (part.drop("_salt", "_r").withColumn("vrank", F.row_number().over(w2))
             .filter(F.col("vrank") <= max_features))
 
 
