@@ -376,9 +376,10 @@ def q_timeline_posts(spark, sf):
 
 
 @register("first_n_before", """
-WITH _c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
-SELECT conv_id + 2000000000 AS source_id, count(*) AS n_considered, count(*) FILTER (WHERE role <> 'system') AS n_with_link
-FROM _c WHERE pos < 10 GROUP BY conv_id""")
+WITH _c AS (SELECT 2000000000 + conv_id * 1000000 + turn // 20 AS source_id, role,
+                   row_number() OVER (PARTITION BY conv_id, turn // 20 ORDER BY turn) - 1 AS pos FROM conversations)
+SELECT source_id, count(*) AS n_considered, count(*) FILTER (WHERE role <> 'system') AS n_with_link
+FROM _c WHERE pos < 10 GROUP BY source_id""")
 def q_first_n_before(spark, sf):
     b = X.timeline_blocks(L.timelines(spark, sf)).filter(F.col("pos") < X.POST_LIMIT)
     return b.groupBy("source_id").agg(
@@ -860,7 +861,8 @@ _prior AS (SELECT doc_id + 1 AS id, doc_id // 20 + 1000000000 AS source_id, spli
                   NULL::VARCHAR AS summary_tr, false AS is_column FROM documents),
 _srcs AS (SELECT page_id AS id, 'page-' || CAST(page_id AS VARCHAR) AS name FROM pages
           UNION ALL SELECT DISTINCT doc_id // 20 + 1000000000, 'feed-' || CAST(doc_id // 20 AS VARCHAR) FROM documents
-          UNION ALL SELECT DISTINCT conv_id + 2000000000, '@u' || CAST(conv_id AS VARCHAR) FROM conversations),
+          UNION ALL SELECT DISTINCT 2000000000 + conv_id * 1000000 + turn // 20, '@u' || CAST(conv_id AS VARCHAR)
+                    FROM conversations),
 _firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_type, source_id, pos) AS r
                            FROM _items WHERE url IS NOT NULL) WHERE r = 1),
 _fresh AS (SELECT * FROM _firsts f WHERE NOT EXISTS (SELECT 1 FROM _prior p WHERE p.url = f.url)),

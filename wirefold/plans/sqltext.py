@@ -212,8 +212,8 @@ _f2 AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1
 def timeline_posts_ctes(out: str = "posts") -> str:
     """Expected timeline posts straight from ``conversations``."""
     return f"""
-_c AS (SELECT conv_id + 2000000000 AS source_id, conv_id, turn, role, text,
-              row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+_c AS (SELECT 2000000000 + conv_id * 1000000 + turn // 20 AS source_id, conv_id, turn, role, text,
+              row_number() OVER (PARTITION BY conv_id, turn // 20 ORDER BY turn) - 1 AS pos FROM conversations),
 _c2 AS (SELECT *, {clean('text')} AS content FROM _c WHERE pos < 10 AND role <> 'system'),
 {out} AS (SELECT 'x' AS source_type, source_id, pos, {truncate_title('content')} AS title, content,
                  'https://twitter.com/u' || CAST(conv_id AS VARCHAR) || '/status/' || CAST(turn AS VARCHAR) AS url,

@@ -3,11 +3,11 @@ over data whose size grows with the tables.
 
 - web pages: ``pages`` as they are (status 200 unless the page is cut off);
 - feeds: ``documents`` grouped 20 per feed in ``doc_id`` order, as RSS XML;
-- timelines: ``conversations`` grouped per ``conv_id``, one block per turn,
-  system turns without a post link.
+- timelines: ``conversations`` cut into pages of 20 turns per ``conv_id``,
+  one block per turn, system turns without a post link.
 
-Groups are bounded (20 documents, one conversation), so no group grows with
-the data.
+Groups are bounded (20 documents, 20 turns), so no group grows with the data,
+even when one conversation holds a large share of all rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from wirefold.sources.tables import table
 FEED_SIZE = 20
 RSS_ID_BASE = 1_000_000_000
 X_ID_BASE = 2_000_000_000
+TIMELINE_PAGE = 20
+X_PAGE_STRIDE = 1_000_000   # source id = X_ID_BASE + conv_id * stride + page number
 XML_INVALID = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]"
 
 
@@ -66,16 +68,19 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, conv_id, status, body): one timeline page per conversation."""
-    c = table(spark, sf_dir, "conversations")
+    """(source_id, conv_id, status, body): timeline pages of 20 turns."""
+    c = table(spark, sf_dir, "conversations").withColumn(
+        "page_no", F.floor(F.col("turn") / TIMELINE_PAGE).cast("long"))
     link = F.when(F.col("role") != "system", F.concat(
         F.lit('<a class="tweet-link" href="/u'), F.col("conv_id").cast("string"),
         F.lit("/status/"), F.col("turn").cast("string"), F.lit('">#</a>'))).otherwise(F.lit(""))
     block = F.concat(F.lit('<div class="timeline-item"><div class="tweet-content">'),
                      xml_escape(F.col("text")), F.lit("</div>"), link, F.lit("</div>"))
-    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", block.alias("x")))).alias("xs"))
+    g = c.groupBy("conv_id", "page_no").agg(
+        F.sort_array(F.collect_list(F.struct("turn", block.alias("x")))).alias("xs"))
     return g.select(
-        (F.col("conv_id") + X_ID_BASE).alias("source_id"), "conv_id", F.lit(200).alias("status"),
+        (F.lit(X_ID_BASE) + F.col("conv_id") * X_PAGE_STRIDE + F.col("page_no")).alias("source_id"),
+        "conv_id", F.lit(200).alias("status"),
         F.concat(F.lit('<html><body><div class="timeline">'),
                  F.array_join(F.transform("xs", lambda x: x["x"]), ""),
                  F.lit("</div></body></html>")).alias("body"))
