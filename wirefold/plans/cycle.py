@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirefold.functions import text as T
@@ -76,8 +76,10 @@ def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: Da
     pending = cut_lineage(pending.filter(items.exists()))
     kept = dedup_pending(pending, threshold)
     todo = kept.filter(F.coalesce(F.col("summary_tr"), F.lit("")) == "")
-    todo = EN.summary_batches(todo.select("chat_id", "rank", "id", "content"), ["chat_id"], ["rank"],
-                              size=batch_size)
+    # at most ``limit`` rows per chat here, so a plain window is bounded
+    w = Window.partitionBy("chat_id").orderBy("rank")
+    todo = todo.select("chat_id", "rank", "id", "content").withColumn(
+        "batch_no", F.floor((F.row_number().over(w) - 1) / batch_size).cast("long"))
     summaries = EN.enrich_batches(todo, summarize, ["chat_id", "batch_no"])
     kept = EN.apply_summaries(kept, summaries.dropDuplicates(["id"]))
     outbox = kept.select("chat_id", "rank", F.col("id").alias("news_id"), T.render_message(
