@@ -945,10 +945,8 @@ SELECT _p.chat_id, (SELECT count(*) FROM _new) AS n_added, n_pending, n_pending
        coalesce(n_sent, 0) AS n_sent FROM _p LEFT JOIN _o ON _o.chat_id = _p.chat_id""")
 def q_cycle_counts(spark, sf):
     sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
-    items = X.fetch_all_active(sources, land)
-    news2, new_rows = CY.ingest(news, items, now)
     r = CY.news_cycle(sources, land, news, sent, chats, now)
-    return CY.cycle_counts(new_rows, r["pending"], r["outbox"])
+    return CY.cycle_counts(r["new_rows"], r["pending"], r["outbox"])
 
 
 # ---------------------------------------------------------------------------

@@ -65,10 +65,11 @@ def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: Da
                summarize: Callable[[pd.DataFrame], pd.DataFrame] = EN.first_sentence_summaries,
                batch_size: int = EN.BATCH_SIZE) -> dict[str, DataFrame]:
     """Run one cycle for every chat in ``chats`` (chat_id). Returns news',
-    the outbox (chat_id, rank, news_id, message) and the pending rows."""
+    the rows added, the pending rows and the outbox (chat_id, rank,
+    news_id, message)."""
     # the fetched items feed both the ingest and the "anything fetched" guard
     items = cut_lineage(X.fetch_all_active(sources, landing))
-    news2, _ = ingest(news, items, now)
+    news2, new_rows = ingest(news, items, now)
     pending = SEL.unsent_per_chat(news2, sources, sent, chats, limit)
     # guards: nothing fetched this cycle, or no active source -> nothing sent
     # (pending is at most limit rows per chat; written once, read by every
@@ -85,7 +86,7 @@ def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: Da
     outbox = kept.select("chat_id", "rank", F.col("id").alias("news_id"), T.render_message(
         F.col("title"), F.col("summary_tr"), F.col("content"), F.col("source_name"), F.col("url"),
         F.col("is_column")).alias("message"))
-    return {"news": news2, "pending": pending, "outbox": outbox}
+    return {"news": news2, "new_rows": new_rows, "pending": pending, "outbox": outbox}
 
 
 def delivery_log(sent: DataFrame, results: DataFrame) -> DataFrame:
