@@ -41,3 +41,11 @@ def test_mirror_failover(spark):
     got = X.mirror_failover(posts, att).collect()
     assert [(r["mirror_rank"], r["source_id"]) for r in got] == [(3, 13)]
     assert posts.first()["url"] == "https://twitter.com/p/1"
+
+
+def test_href_quoting_forms(spark):
+    body = ('<a href="/dq">double quoted anchor text</a><a href=\'/sq\' id=x>single quoted anchor text</a>'
+            '<a class=k href=/uq>unquoted href anchor text</a>')
+    page = spark.createDataFrame([(1, "https://h.example/", body)], "source_id long, url string, body string")
+    got = [r["url"] for r in X.page_links(page).orderBy("pos").collect()]
+    assert got == ["https://h.example/dq", "https://h.example/sq", "https://h.example/uq"]

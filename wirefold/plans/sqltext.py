@@ -162,18 +162,19 @@ items AS (SELECT doc_id, source, text, lang, rn AS pos,
                  {corpus('NULL', 'text')} AS norm FROM _d)"""
 
 
-ANCHOR_RX = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+from wirefold.sources.extract import ANCHOR_RX  # noqa: E402
 
 
 def anchors_ctes(pages_sql: str = "SELECT page_id AS source_id, url AS page_url, html AS body FROM pages") -> str:
     """CTEs ending in ``anchors(source_id, page_url, pos, href, text)``."""
     return f"""
 _pg AS (SELECT source_id, page_url, {strip_scripts('body')} AS h FROM ({pages_sql})),
-_an0 AS (SELECT source_id, page_url, regexp_extract_all(h, {q(ANCHOR_RX)}, 1) AS hrefs,
-                regexp_extract_all(h, {q(ANCHOR_RX)}, 2) AS inners FROM _pg),
-_an AS (SELECT source_id, page_url, unnest(generate_series(0, len(hrefs) - 1)) AS pos,
-               unnest(hrefs) AS href_raw, unnest(inners) AS inner_raw FROM _an0),
-anchors AS (SELECT source_id, page_url, pos, {decode_entities('href_raw')} AS href,
+_an0 AS (SELECT source_id, page_url, regexp_extract_all(h, {q(ANCHOR_RX)}, 1) AS dq,
+                regexp_extract_all(h, {q(ANCHOR_RX)}, 2) AS sq, regexp_extract_all(h, {q(ANCHOR_RX)}, 3) AS uq,
+                regexp_extract_all(h, {q(ANCHOR_RX)}, 4) AS inners FROM _pg),
+_an AS (SELECT source_id, page_url, unnest(generate_series(0, len(dq) - 1)) AS pos,
+               unnest(dq) AS dq1, unnest(sq) AS sq1, unnest(uq) AS uq1, unnest(inners) AS inner_raw FROM _an0),
+anchors AS (SELECT source_id, page_url, pos, {decode_entities('concat(dq1, sq1, uq1)')} AS href,
                    {node_text_joined('inner_raw')} AS text FROM _an)"""
 
 

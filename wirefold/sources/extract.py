@@ -25,8 +25,10 @@ POST_LIMIT = 10
 FEED_SCHEMA = ("channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, "
                "description: STRING, summary: STRING, pubDate: STRING, updated: STRING>>>")
 
-# <a ... href="..." ...>inner</a>; double-quoted href only (stated limit)
-ANCHOR_RX = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+# <a ... href=... ...>inner</a>; href double-quoted (group 1), single-quoted
+# (group 2) or unquoted (group 3); inner HTML is group 4
+ANCHOR_RX = (r'(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|' + "'([^']*)'" +
+             r'|([^\s"\'>]+))[^>]*>(.*?)</a\s*>')
 POST_BLOCK = '<div class="timeline-item">'
 POST_CONTENT_RX = r'(?s)<div class="tweet-content"[^>]*>(.*?)</div>'
 POST_LINK_RX = r'<a\b[^>]*\bclass="tweet-link"[^>]*\bhref="([^"]*)"'
@@ -70,12 +72,13 @@ def anchors(pages: DataFrame, id_col: str = "source_id", url_col: str = "url",
     """(source_id, page_url, pos, href, text): every anchor with an href, in
     document order; text = decoded, stripped text nodes joined with ''."""
     h = T.strip_scripts(F.col(body_col))
-    arr = F.arrays_zip(F.regexp_extract_all(h, F.lit(ANCHOR_RX), 1).alias("href"),
-                       F.regexp_extract_all(h, F.lit(ANCHOR_RX), 2).alias("inner"))
+    arr = F.arrays_zip(*[F.regexp_extract_all(h, F.lit(ANCHOR_RX), g).alias(n)
+                         for g, n in [(1, "dq"), (2, "sq"), (3, "uq"), (4, "inner")]])
     a = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("page_url"),
                      F.posexplode(arr).alias("pos", "a"))
+    href = F.concat(F.col("a.dq"), F.col("a.sq"), F.col("a.uq"))   # one of them is set
     return a.select("source_id", "page_url", "pos",
-                    T.decode_entities(F.col("a.href")).alias("href"),
+                    T.decode_entities(href).alias("href"),
                     T.node_text_joined(F.col("a.inner")).alias("text"))
 
 
