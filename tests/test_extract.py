@@ -49,3 +49,16 @@ def test_href_quoting_forms(spark):
     page = spark.createDataFrame([(1, "https://h.example/", body)], "source_id long, url string, body string")
     got = [r["url"] for r in X.page_links(page).orderBy("pos").collect()]
     assert got == ["https://h.example/dq", "https://h.example/sq", "https://h.example/uq"]
+
+
+def test_atom_feed(spark):
+    atom = ('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>'
+            '<entry><title>First post</title><link rel="alternate" href="http://a/1"/>'
+            '<summary>&lt;p&gt;Hello&lt;/p&gt;</summary><updated>2024-01-01T00:00:00Z</updated></entry>'
+            '<entry><title>Second</title><link rel="self" href="http://a/self"/><link href="http://a/2"/>'
+            '<published>2024-01-02</published><updated>2024-01-03</updated></entry>'
+            '<entry><title> </title><link href="http://a/3"/></entry></feed>')
+    feed = spark.createDataFrame([(1, atom)], "source_id long, body string")
+    got = [(r["title"], r["url"], r["content"], r["published_at"]) for r in X.feed_items(feed).orderBy("pos").collect()]
+    assert got == [("First post", "http://a/1", "Hello", "2024-01-01T00:00:00Z"),
+                   ("Second", "http://a/2", "", "2024-01-02")]

@@ -22,8 +22,12 @@ FEED_LIMIT = 15
 PAGE_LIMIT = 15
 POST_LIMIT = 10
 
+# RSS 2.0 (channel/item) and Atom (entry, link/@href) in one schema: the root
+# element is ignored, so one parse serves both and the other side is NULL.
 FEED_SCHEMA = ("channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, "
-               "description: STRING, summary: STRING, pubDate: STRING, updated: STRING>>>")
+               "description: STRING, summary: STRING, pubDate: STRING, updated: STRING>>>, "
+               "entry ARRAY<STRUCT<title: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, "
+               "summary: STRING, published: STRING, updated: STRING>>")
 
 # <a ... href=... ...>inner</a>; href double-quoted (group 1), single-quoted
 # (group 2) or unquoted (group 3); inner HTML is group 4
@@ -51,7 +55,16 @@ def feed_items(feeds: DataFrame, limit: int = FEED_LIMIT, id_col: str = "source_
     Malformed XML parses to NULL and gives no items."""
     parsed = feeds.select(F.col(id_col).alias("source_id"),
                           F.from_xml(F.col(body_col), FEED_SCHEMA).alias("f"))
-    e = parsed.select("source_id", F.posexplode_outer("f.channel.item").alias("pos", "it")) \
+
+    def atom(en):
+        # the entry's page link: first link with no rel or rel="alternate"
+        alt = F.filter(en["link"], lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
+        return F.struct(en["title"].alias("title"), F.element_at(alt, 1)["_href"].alias("link"),
+                        F.lit(None).cast("string").alias("description"), en["summary"].alias("summary"),
+                        en["published"].alias("pubDate"), en["updated"].alias("updated"))
+
+    entries = F.coalesce(F.col("f.channel.item"), F.transform(F.col("f.entry"), atom))
+    e = parsed.select("source_id", F.posexplode_outer(entries).alias("pos", "it")) \
         .filter(F.col("it").isNotNull() & (F.col("pos") < limit))
     title = T.ws_trim(T.blank_to_empty(F.col("it.title")))
     link = T.blank_to_empty(F.col("it.link"))
