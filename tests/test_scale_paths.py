@@ -56,3 +56,15 @@ def test_prefix_plan_equals_direct_plan(spark):
     b = idx.select("batch", F.col("pos").alias("j"), "term")
     cand = {(r["i"], r["j"]) for r in a.join(b, ["batch", "term"]).filter("i < j").collect()}
     assert direct <= cand     # the prefix filter never misses a pair above the threshold
+
+
+def test_keyed_ordinal_default_partitioning(spark):
+    rows = [("hot", i) for i in range(5000)] + [(f"k{i % 7}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o long").repartition(11)
+    got = keyed_ordinal(df, ["k"], ["o"], out="rn").collect()
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r["k"], []).append((r["o"], r["rn"]))
+    for k, seq in by_key.items():
+        seq.sort()
+        assert [rn for _, rn in seq] == list(range(1, len(seq) + 1)), k

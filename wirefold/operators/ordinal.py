@@ -22,12 +22,6 @@ from pyspark.sql import types as T
 from wirefold.session import cut_lineage
 
 
-def _partition_count(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def keyed_ordinal(df: DataFrame, keys: list[str], order: list, out: str = "rn",
                   measure: str | None = None, cum_out: str | None = None,
                   num_partitions: int | None = None) -> DataFrame:
@@ -35,9 +29,11 @@ def keyed_ordinal(df: DataFrame, keys: list[str], order: list, out: str = "rn",
     in ``order`` (ties broken by the order columns only, so give a unique
     order). With ``measure``, also add ``cum_out`` = sum of ``measure`` over
     the earlier rows of the group (exclusive running sum)."""
-    n = _partition_count(df, num_partitions)
     sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+    # Without an explicit count, AQE may merge neighbouring range partitions
+    # (they stay contiguous ranges, so per-task numbering stays correct).
+    ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else df.repartitionByRange(*sort_cols)).sortWithinPartitions(*sort_cols)
 
     out_schema = T.StructType(list(ranged.schema.fields) + [
         T.StructField("_pid", T.IntegerType(), False),
