@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wirefold.llm import exact_dedup, packing, simhash
+from wirefold.llm import exact_dedup, packing, pii, simhash
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op9_packing": packing.op9_packing,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE = {
