@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirefold.llm import exact_dedup, packing, simhash
+from wirefold.llm import decontaminate, exact_dedup, packing, quality, simhash
 from wirefold.llm.common import scratch, table
 
 STAGES = [
+    ("quality", quality.quality_stage),
     ("exact_dedup", exact_dedup.dedup_stage),
     ("simhash", simhash.simhash_stage),
+    ("decontaminate", decontaminate.decontaminate_stage),
     ("packing", packing.packing_stage),
 ]
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from wirefold.llm import exact_dedup, packing, pii, simhash
+from wirefold.llm import (decontaminate, exact_dedup, langid, packing, pii, quality, simhash, tool_calls,
+                          url_filter, warc)
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_warc": warc.op3_warc,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_tool_calls": tool_calls.op5_tool_calls,
     "op6_simhash": simhash.op6_simhash,
+    "op7_language": langid.op7_language,
+    "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLE = {
+    "op1_url_filter": url_filter.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
