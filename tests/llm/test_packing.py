@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wirefold.llm.packing import ChunkEncoder, binary_lengths, pack_documents
+from wirefold.llm.packing import SPLIT, ChunkEncoder, binary_lengths, pack_documents, split_text
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,6 +27,11 @@ def test_chunks_give_the_ids_of_the_whole_text(reference):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference(text), repr(text)
 
 
+def test_split_is_the_pattern():
+    for text in TRICKY + [" ".join(TRICKY), "plain words.\nAnd é more", "a \n", "\na b"]:
+        assert split_text(text) == SPLIT.split(text)
+
+
 def test_lengths():
     for n in range(1, 5000, 7):
         cut = binary_lengths(n, 256)
