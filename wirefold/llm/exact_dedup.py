@@ -29,6 +29,8 @@ STATE_CONF = {
     # one cache and write-buffer budget for all state partitions of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # no space reserved ahead in each of the many small state partitions
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Copies of the kept row's text in the byte check: parts of a hot group.
 SALTS = 16
