@@ -14,7 +14,9 @@ documents in one narrow pass. A shuffled join of each document's n-grams
 instead would move several times the input; the README has the figures.
 
 A document is rejected when its perplexity exceeds the quantile that trusted
-documents of its language have.
+documents of its language have. A text's mean log-probability is taken with
+``PRIOR_CHARS`` more characters at the mean of all trusted text, so that a text
+of a few words isn't rejected by chance.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ ORDER = 4
 BITS = 6
 ALPHABET = (1 << BITS) - 2
 #: Share of trusted documents of a language that stay.
-QUANTILE = 0.98
+QUANTILE = 0.99
+#: Characters at the mean of trusted text that are added to each text.
+PRIOR_CHARS = 50
 #: Symbols counted or scored at a time.
 BATCH_SYMBOLS = 2_000_000
 START, OTHER = 0, 1
@@ -191,8 +195,8 @@ def train(texts: DataFrame) -> Model:
 _SCORERS: dict = {}
 
 
-def perplexity_column(spark: SparkSession, model: Model, text):
-    """Perplexity of a text column; null where the text is null or empty."""
+def log_probability(spark: SparkSession, model: Model, text):
+    """Log-probability of a text column; null where the text is null or empty."""
     shared = spark.sparkContext.broadcast(model)
     key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
 
@@ -214,8 +218,7 @@ def perplexity_column(spark: SparkSession, model: Model, text):
             codes, lengths = symbols.codes(values[:take])
             del values[:take]
             ends = np.r_[0, np.cumsum(logs[codes], dtype=np.float64)][np.r_[0, np.cumsum(lengths)]]
-            mean = np.diff(ends) / np.maximum(lengths, 1)
-            out.append(np.where(lengths > 0, np.exp(-mean), np.nan))
+            out.append(np.where(lengths > 0, np.diff(ends), np.nan))
         found = pd.Series(np.concatenate(out) if out else [], dtype="float64")
         return found.where(found.notna(), None)
 
@@ -231,7 +234,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id",
-                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+                  text_col: str = "text", lang_col: str = "lang", prior_chars: float = PRIOR_CHARS) -> DataFrame:
     """Rows of ``docs`` with __perplexity, __threshold and __kept added.
 
     A document stays if its perplexity is at most its language's threshold:
@@ -245,13 +248,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     slim = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("t_lang"))
     trusted = slim.filter("text IS NOT NULL").join(ids, "t_id")
     model = train(trusted)
-    good = stored(trusted.select("t_lang", perplexity_column(spark, model, F.col("text")).alias("ppl"))
-                  .filter("ppl IS NOT NULL"), "trusted-perplexity")
+    raw = stored(trusted.select("t_lang", F.char_length("text").alias("n"),
+                                log_probability(spark, model, F.col("text")).alias("lp"))
+                 .filter("lp IS NOT NULL"), "trusted-scores")
+    mean = raw.agg((F.sum("lp") / F.sum("n")).alias("m")).first()["m"]
+    weight = prior_chars if mean is not None else 0.0
+    perplexity = lambda lp, n: F.exp(-(lp + F.lit(weight * (mean or 0.0))) / (n + F.lit(float(weight))))
+    good = raw.select("t_lang", perplexity(F.col("lp"), F.col("n")).alias("ppl"))
     cut = F.percentile_approx("ppl", quantile, 10_000)
     by_lang = good.groupBy("t_lang").agg(cut.alias("cut"))
     overall = good.agg(cut.alias("cut")).first()["cut"]
     thresholds = broadcast_if_small(stored(by_lang, "thresholds"))
-    scored = docs.withColumn("__perplexity", perplexity_column(spark, model, F.col(text_col)))
+    scored = (docs.withColumn("__lp", log_probability(spark, model, F.col(text_col)))
+              .withColumn("__perplexity", perplexity(F.col("__lp"), F.char_length(text_col))).drop("__lp"))
     joined = scored.join(thresholds, F.col(lang_col).eqNullSafe(F.col("t_lang")), "left")
     limit = F.coalesce(F.col("cut"), F.lit(overall).cast("double"), F.lit(float("inf")))
     return (joined.withColumn("__threshold", limit)
