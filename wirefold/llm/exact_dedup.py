@@ -9,8 +9,8 @@ the number of rows. Map-side partial aggregation combines a hot digest before
 the shuffle. The finished state is read back with the state data source.
 
 On hits (digests of several rows) the full bytes are compared with those of
-the row that stays; the join is salted, so a group holding a third of all rows
-is spread over many tasks. Digests whose rows differ are grouped again by the
+the row that stays; large groups are compared in parts of bounded size, so a
+group holding a third of all rows is spread over many tasks. Digests whose rows differ are grouped again by the
 whole text, so a collision can't merge different texts.
 """
 
@@ -32,8 +32,8 @@ STATE_CONF = {
     # no space reserved ahead in each of the many small state partitions
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Copies of the kept row's text in the byte check: parts of a hot group.
-SALTS = 16
+#: Rows of a group that are compared with one copy of the kept row's text.
+ROWS_PER_PART = 512
 #: Log files read by one micro-batch.
 FILES_PER_BATCH = 10_000
 
@@ -71,7 +71,7 @@ def _run_state(spark: SparkSession, log_path: str, schema, state_path: str,
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                normalise=lower_ascii, digest=sha256_digest, salts: int = SALTS,
+                normalise=lower_ascii, digest=sha256_digest, rows_per_part: int = ROWS_PER_PART,
                 files_per_batch: int = FILES_PER_BATCH,
                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept,
@@ -95,18 +95,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = _run_state(spark, log_path, log.schema, scratch(spark, "dedup-state"), files_per_batch)
 
     # rows of digests seen more than once, with the row that stays
-    members = stored(log.join(broadcast_if_small(hits.select("digest", "keep_id"), broadcast_rows),
-                              "digest").select("doc_id", "digest", "keep_id").distinct(), "dedup-members")
-    ids = members.select(F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"), "keep_id")
+    parts = F.ceil(F.col("group_size") / F.lit(rows_per_part)).cast("int").alias("parts")
+    members = stored(log.join(broadcast_if_small(hits.select("digest", "keep_id", parts), broadcast_rows),
+                              "digest").select("doc_id", "digest", "keep_id", "parts").distinct(), "dedup-members")
+    ids = members.select(F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"), "keep_id", "parts")
     texts = stored(
         base.select("doc_id", "norm", digest(F.col("norm")).alias("digest"))
         .join(broadcast_if_small(ids, broadcast_rows),
               F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest")))
-        .select("doc_id", "digest", "keep_id", "norm"), "dedup-texts")
-    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "norm"), F.lit(salts)).cast("int"))
+        .select("doc_id", "digest", "keep_id", "parts", "norm"), "dedup-texts")
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), "parts").cast("int"))
     keepers = (texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-               .groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+               .groupBy("digest", "parts").agg(F.min("norm").alias("kept_norm")).withColumn(
+                   "salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
     differing = stored(salted.join(keepers, ["digest", "salt"])
                        .filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct(),
                        "dedup-differing")
