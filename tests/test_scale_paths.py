@@ -22,18 +22,32 @@ def test_keyed_ordinal_hot_key_spans_partitions(spark):
         assert [b for _, b in seq] == [2.0 * i for i in range(len(seq))], k
 
 
-def test_unsent_per_chat_bucket_path_equals_array_path(spark):
-    news = spark.createDataFrame([(i, i % 3, f"2024-01-{1 + i % 28:02d}") for i in range(1, 200)],
-                                 "id long, source_id long, fetched_at string")
+def test_unsent_per_chat_equals_brute_force(spark):
+    import random
+    rnd = random.Random(4)
+    news = [(i, i % 4, f"2024-01-{1 + i % 9:02d}") for i in range(1, 120)]          # source 3 is unknown
     sources = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id long, name string")
-    sent = spark.createDataFrame([(i, c) for i in range(1, 200, 3) for c in ("A", "B")] + [(5, "C")],
-                                 "news_id long, sent_to_chat_id string")
-    chats = SEL.chats_of(sent)
-    a = SEL.unsent_per_chat(news, sources, sent, chats, limit=10)
-    b = SEL.unsent_per_chat(news, sources, sent, chats, limit=10, max_broadcast_chats=1)
-    ra = sorted(((r["chat_id"], r["rank"], r["id"]) for r in a.collect()))
-    rb = sorted(((r["chat_id"], r["rank"], r["id"]) for r in b.collect()))
-    assert ra == rb and len(ra) == 30
+    sent = [(i, "all") for i in range(1, 120)] + [(i, "half") for i in range(1, 120) if rnd.random() < .5]
+    sent += [(i, "newest") for i in range(60, 120)] + [(7, "dup"), (7, "dup"), (999, "dup")]
+    chats = spark.createDataFrame([(c,) for c in ("all", "half", "newest", "dup", "none", "none")], "chat_id string")
+    got = SEL.unsent_per_chat(spark.createDataFrame(news, "id long, source_id long, fetched_at string"), sources,
+                              spark.createDataFrame(sent, "news_id long, sent_to_chat_id string"), chats, limit=10).collect()
+    order = sorted((r for r in news if r[1] != 3), key=lambda r: (r[2], r[0]), reverse=True)
+    want = {(c, k + 1, r[0]) for c in ("all", "half", "newest", "dup", "none")
+            for k, r in enumerate([r for r in order if (r[0], c) not in set(sent)][:10])}
+    assert {(r["chat_id"], r["rank"], r["id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_unsent_for_many_chats_without_a_product(spark):
+    news = spark.range(1, 3001).selectExpr("id", "id % 2 AS source_id", "id AS fetched_at")
+    sources = spark.createDataFrame([(0, "a"), (1, "b")], "id long, name string")
+    chats = spark.range(20000).selectExpr("concat('c', id) AS chat_id")
+    sent = spark.range(20000).selectExpr("3000L - id % 5 AS news_id", "concat('c', id) AS sent_to_chat_id")
+    out = SEL.unsent_per_chat(news, sources, sent, chats, limit=3)
+    assert out.count() == 60000
+    assert out.filter("rank = 1 AND id <> 3000").count() == 4000   # those whose newest was sent
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_chunked_report_equals_python(spark):
@@ -44,18 +58,26 @@ def test_chunked_report_equals_python(spark):
     assert [r["piece"] for r in got] == [text[i:i + 37] for i in range(0, len(text), 37)]
 
 
-def test_prefix_plan_equals_direct_plan(spark):
+def test_pairs_equal_all_dot_products(spark):
     texts = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon eta",
-             "one two three four five six", "one two three four five seven", "alpha two gamma four"]
+             "one two three four five six", "one two three four five seven", "alpha two gamma four", "", "alpha beta gamma delta epsilon zeta"]
     docs = spark.createDataFrame([("b", i + 1, t) for i, t in enumerate(texts)], "batch string, pos long, t string")
     docs = docs.select("batch", "pos", S.T.corpus_text(F.lit(None).cast("string"), F.col("t")).alias("norm"))
-    w = S.tfidf(docs)
-    direct = {(r["i"], r["j"]) for r in S.similar_pairs(w, 0.3).collect()}
-    idx = S.prefix_terms(w, 0.3)
-    a = idx.select("batch", F.col("pos").alias("i"), "term")
-    b = idx.select("batch", F.col("pos").alias("j"), "term")
-    cand = {(r["i"], r["j"]) for r in a.join(b, ["batch", "term"]).filter("i < j").collect()}
-    assert direct <= cand     # the prefix filter never misses a pair above the threshold
+    for cap in (5000, None, 8):
+        w = S.tfidf(docs, cap)
+        rows = {}
+        for r in w.collect():
+            rows.setdefault(r["pos"], {})[r["term"]] = r["weight"]
+        want = {(i, j): sum(x * rows[j].get(t, 0) for t, x in rows[i].items()) for i in rows for j in rows if i < j}
+        got = {(r["i"], r["j"]): r["sim"] for r in S.similar_pairs(w, 0.3).collect()}
+        assert set(got) == {k for k, v in want.items() if v >= 0.3}
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_no_size_guard_is_left():
+    from wirefold.operators import dedup as D
+    for module in (S, D, SEL):
+        assert not any(n.startswith("MAX_CANDIDATE") or n.startswith("MAX_BROADCAST") or n.endswith("LimitError") for n in dir(module))
 
 
 def test_keyed_ordinal_default_partitioning(spark):

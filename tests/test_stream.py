@@ -13,7 +13,8 @@ def test_stream_equals_batch_over_split_files(spark):
     ev = spark.read.parquet(f"{SF001}/events.parquet").select("user_id", "ts", "event_id")
     src = tempfile.mkdtemp(prefix="wf-src-")
     ev.repartition(5, "event_id").write.mode("overwrite").parquet(src)
-    path = stream_ingest(spark, src, ev.schema, ["user_id"], ["ts", "event_id"], max_files_per_trigger=1)
+    path = stream_ingest(spark, src, ev.schema, ["user_id"], ["ts", "event_id"], tempfile.mkdtemp(prefix="wf-out-"),
+                         max_files_per_trigger=1)
     got = {tuple(r) for r in spark.read.parquet(path).select("user_id", "event_id").collect()}
     want = {tuple(r) for r in first_per_key(ev, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id").collect()}
     # later files may hold an earlier event of a user that an earlier file already
@@ -24,7 +25,32 @@ def test_stream_equals_batch_over_split_files(spark):
 
 def test_stream_single_file_equals_batch(spark):
     ev = spark.read.parquet(f"{SF001}/events.parquet").select("user_id", "ts", "event_id")
-    path = stream_ingest(spark, SF001, ev.schema, ["user_id"], ["ts", "event_id"], glob="events.parquet")
+    path = stream_ingest(spark, SF001, ev.schema, ["user_id"], ["ts", "event_id"], tempfile.mkdtemp(prefix="wf-out-"),
+                         glob="events.parquet")
     got = {tuple(r) for r in spark.read.parquet(path).select("user_id", "event_id").collect()}
     want = {tuple(r) for r in first_per_key(ev, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id").collect()}
     assert got == want
+
+
+def test_replayed_batch_changes_nothing_and_errors_surface(spark, tmp_path):
+    import pytest
+
+    from wirefold.streaming.ingest import ingest_batch
+    rows = lambda ids: spark.createDataFrame([(i % 7, i) for i in ids], "k long, o long")
+    table = f"{tmp_path}/t"
+    ingest_batch(rows(range(5)), 0, table, ["k"], ["o"], buckets=4)
+    ingest_batch(rows(range(3, 12)), 1, table, ["k"], ["o"], buckets=4)
+    read = lambda: sorted((r["k"], r["o"]) for r in spark.read.parquet(table).collect())
+    once = read()
+    assert once == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)]
+    ingest_batch(rows(range(3, 12)), 1, table, ["k"], ["o"], buckets=4)
+    assert read() == once
+    # a table that can't be read is an error, not an empty state
+    bad = tmp_path / "t" / "batch_id=0" / "bucket=0"
+    bad.mkdir(exist_ok=True)
+    for b in range(4):
+        folder = tmp_path / "t" / "batch_id=0" / f"bucket={b}"
+        folder.mkdir(exist_ok=True)
+        (folder / "part-x.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception, match="(?i)parquet|magic|footer"):
+        ingest_batch(rows(range(20)), 2, table, ["k"], ["o"], buckets=4)

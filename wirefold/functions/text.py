@@ -6,6 +6,9 @@ as in the behaviour being matched.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,20 +22,14 @@ COLUMN_KEYWORDS = [
 ]
 # Host put in front of a post path that starts with "/".
 POST_HOST = "https://twitter.com"
-# Timeline mirrors, tried in this order (only the rank matters here).
-MIRRORS = [
-    "https://nitter.net",
-    "https://nitter.privacydev.net",
-    "https://nitter.poast.org",
-    "https://nitter.cz",
-]
+# Mirrors of a timeline that are tried, by rank.
+MIRRORS = 4
 CLEAN_MAX_CHARS = 2000       # text cut after whitespace collapse
 TITLE_MAX_CHARS = 100        # post title taken from content
 TITLE_ELLIPSIS = "…"         # added when the content was longer
 CHUNK_CHARS = 3800           # report message piece size
 MIN_LINK_TITLE = 15          # anchor text shorter than this is dropped
 COLUMN_TAG = " 📝<i>köşe yazısı</i>"
-MESSAGE_TEMPLATE = "📰 <b>{title}</b>{tag}\n\n{body}\n\n📌 <i>{source}</i>\n🔗 {url}"
 STATUS_ON = "✅"
 STATUS_OFF = "❌"
 
@@ -45,16 +42,16 @@ NON_WORD = r"[^\p{L}\p{N}_" + WS_CLASS + r"]"
 WS_RUN = r"[" + WS_CLASS + r"]+"
 WS_EDGES = r"^[" + WS_CLASS + r"]+|[" + WS_CLASS + r"]+$"
 
-# Named HTML entities decoded by the text extractors; "&amp;" goes last so
-# that "&amp;lt;" stays "&lt;".
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&euro;", "€"), ("&amp;", "&"),
-]
+# What may follow "&" in a character reference, and the names that HTML knows
+# (those that end in ";"), from the standard library.
+ENTITY_RX = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMED_ENTITIES = {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}
+
+
+# The rest of a tag's attributes: ">" ends it outside quoted values only. A tag
+# starts with a letter, "/", "!" or "?"; another "<" is text.
+ATTRIBUTES = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
+TAG_RX = r"<[A-Za-z/!?]" + ATTRIBUTES + ">"
 
 
 def _c(x) -> Column:
@@ -180,57 +177,54 @@ def parse_slot(text) -> Column:
     return F.when(ok, F.struct(hc.alias("hour"), mc.alias("minute")))
 
 
+def _reference(piece: Column, names: Column) -> Column:
+    """A piece of text that followed an "&", with its reference decoded."""
+    name = F.regexp_extract(piece, ENTITY_RX, 1)
+    digits = F.substring(name, 2, 8)
+    code = (F.when(name.startswith("#x") | name.startswith("#X"), F.conv(F.substring(name, 3, 6), 16, 10).cast("long"))
+            .when(name.startswith("#"), digits.try_cast("long")))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~((code >= 0xD800) & (code <= 0xDFFF))
+    known = (F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+             .when(name == "amp", F.lit("&")).when((name != "") & ~name.startswith("#"), F.element_at(names, name)))
+    rest = F.regexp_replace(piece, ENTITY_RX, "")
+    return F.when((name != "") & known.isNotNull(), F.concat(known, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+
 def decode_entities(c) -> Column:
-    """Decode numeric entities and a fixed set of named ones ('&amp;' last)."""
+    """Decode numeric and named character references, each once, left to
+    right: "&#38;lt;" gives "&lt;". Unknown names stay as they are."""
     t = blank_to_empty(c)
-    # numeric forms: &#NNN; and &#xHH;
-    parts = F.split(t, "&#")
-
-    def one(p):
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(dec != "", dec.cast("long")).when(
-            hx != "", F.conv(hx, 16, 10).cast("long"))
-        ch = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        rest = F.regexp_replace(p, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
-        return F.when(code.isNotNull() & (code > 0) & (code <= 0x10FFFF)
-                      & ~((code >= 0xD800) & (code <= 0xDFFF)),
-                      F.concat(ch, rest)).otherwise(F.concat(F.lit("&#"), p))
-
-    head = F.element_at(parts, 1)
-    tail = F.slice(parts, 2, 1 << 30)
-    t = F.when(F.size(parts) <= 1, t).otherwise(
-        F.concat(head, F.array_join(F.transform(tail, one), "")))
-    for ent, ch in NAMED_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
-
-
-def strip_scripts(html) -> Column:
+    parts = F.split(t, "&")
+    names = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")  # folded to a constant
+    tail = F.transform(F.slice(parts, 2, 1 << 30), lambda p: _reference(p, names))
+    return F.when(F.size(parts) <= 1, t).otherwise(F.concat(F.element_at(parts, 1), F.array_join(tail, "")))
+
+
+def strip_scripts(markup) -> Column:
     """Remove comments, <script> and <style> elements (their text is not text)."""
-    h = blank_to_empty(html)
+    h = blank_to_empty(markup)
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
     h = F.regexp_replace(h, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
     h = F.regexp_replace(h, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
     return h
 
 
-def html_to_text(html) -> Column:
+def html_to_text(markup) -> Column:
     """Text of an HTML fragment with a space between text nodes.
 
-    Regex form: comments, scripts and styles go first, then every tag becomes
-    a space, then entities are decoded. Nested or broken markup that a
-    repairing parser would fix is outside this form.
+    Regex form: comments, scripts and styles go first, then every tag (">"
+    inside quoted values does not end it) becomes a space, then references are
+    decoded. Broken markup that a repairing parser would fix is outside this form.
     """
-    h = strip_scripts(html)
-    h = F.regexp_replace(h, r"(?s)<[^>]*>", " ")
+    h = strip_scripts(markup)
+    h = F.regexp_replace(h, TAG_RX, " ")
     return decode_entities(h)
 
 
 def node_text_joined(inner_html) -> Column:
     """Anchor text as ``get_text(strip=True)``: each text node decoded and
     stripped, empty ones dropped, joined with no separator."""
-    pieces = F.split(blank_to_empty(inner_html), r"<[^>]*>")
+    pieces = F.split(blank_to_empty(inner_html), TAG_RX)
     stripped = F.transform(pieces, lambda p: ws_trim(decode_entities(p)))
     return F.array_join(F.filter(stripped, lambda p: p != ""), "")
 

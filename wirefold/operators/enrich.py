@@ -2,14 +2,14 @@
 batches of ``size``; ids missing from its answer keep what they had.
 
 The user function gets one pandas DataFrame per batch (at most ``size``
-rows) and returns ``(id, summary)`` rows; Spark runs it with
-``applyInPandas`` over the batch key, so batches run in parallel and no
-batch grows with the data.
+rows) and returns ``(id, summary)`` rows; Spark runs it with ``mapInPandas``
+over partitions sorted by the batch key, each cut where the key changes, so
+batches run in parallel and no batch grows with the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,9 +22,12 @@ BATCH_SIZE = 6
 
 def summary_batches(rows: DataFrame, keys: list[str], order: list[str],
                     size: int = BATCH_SIZE, out: str = "batch_no") -> DataFrame:
-    """Number rows in batches of ``size`` per ``keys`` in ``order``."""
-    n = keyed_ordinal(rows, keys, order, out="_rn")
-    return n.withColumn(out, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
+    """Number rows in batches of ``size`` per ``keys`` in ``order`` (unique
+    within the keys; none of them null). Only those columns are numbered; the
+    rows are joined back."""
+    n = keyed_ordinal(rows.select(*keys, *order), keys, order, out="_rn")
+    n = n.withColumn(out, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
+    return rows.join(n, [*keys, *order])
 
 
 def first_sentence_summaries(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -37,8 +40,25 @@ def first_sentence_summaries(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def enrich_batches(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
                    batch_keys: list[str], schema: str = "id long, summary string") -> DataFrame:
-    """Call ``fn`` once per batch (grouped by ``batch_keys``)."""
-    return rows.groupBy(*batch_keys).applyInPandas(fn, schema)
+    """Call ``fn`` once per batch (rows of equal ``batch_keys``)."""
+    dealt = rows.repartition(*batch_keys).sortWithinPartitions(*batch_keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in frames:
+            if rest is not None and len(rest):
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            number = (pdf[batch_keys] != pdf[batch_keys].shift()).any(axis=1).cumsum()
+            last = number == number.iloc[-1]  # goes on in the next frame, maybe
+            rest = pdf[last]
+            for _, batch in pdf[~last].groupby(number[~last], sort=False):
+                yield fn(batch.reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield fn(rest.reset_index(drop=True))
+
+    return dealt.mapInPandas(run, schema)
 
 
 def apply_summaries(pending: DataFrame, summaries: DataFrame, id_col: str = "id",

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirefold.operators.ordinal import keyed_ordinal
+from wirefold.session import cut_lineage
+
 PENDING_LIMIT = 50          # rows considered per cycle per chat
-MAX_BROADCAST_CHATS = 10_000
 
 
 def with_source(news: DataFrame, sources: DataFrame) -> DataFrame:
@@ -39,52 +41,56 @@ def unsent(news: DataFrame, sent: DataFrame, chat_id: str,
 def unsent_news(news: DataFrame, sources: DataFrame, sent: DataFrame, chat_id: str,
                 limit: int = PENDING_LIMIT) -> DataFrame:
     """Newest ``limit`` rows not yet sent to ``chat_id``, with source name.
-    Order + limit is planned as TakeOrderedAndProject (per-task top-k)."""
-    return unsent(with_source(news, sources), sent, chat_id).orderBy(*newest_order()).limit(limit)
+
+    The top rows are chosen over (id, source, time) alone: a semi join to the
+    sources, an anti join to the log and a per-task top-k. Only those
+    ``limit`` rows then fetch the other columns and the name."""
+    known = news.join(sources.select(F.col("id").alias("_sid")), F.col("source_id") == F.col("_sid"), "left_semi")
+    top = unsent(known.select("id", "source_id", "fetched_at"), sent, chat_id).orderBy(*newest_order()).limit(limit)
+    rows = news.join(top.select(F.col("id").alias("_top")), F.col("id") == F.col("_top"), "left_semi")
+    return with_source(rows, sources).orderBy(*newest_order())
 
 
 def chats_of(sent: DataFrame, chat_col: str = "sent_to_chat_id") -> DataFrame:
     return sent.select(F.col(chat_col).alias("chat_id")).distinct()
 
 
+def unsent_ranks(ranked: DataFrame, sent: DataFrame, chats: DataFrame, limit: int,
+                 chat_col: str = "sent_to_chat_id") -> DataFrame:
+    """(chat_id, rank, r): for each chat the news ranks r of its first
+    ``limit`` unsent rows, counted instead of listed.
+
+    If a chat's k-th sent row (newest first) has news rank r, then r - k rows
+    before it are unsent. So the u-th unsent row has rank u plus the number of
+    sent rows with r - k < u: counts of sent rows by min(r - k, limit), summed
+    over at most ``limit`` values per chat. No news x chats product; the log
+    is aggregated map-side and a chat with most of the log is split."""
+    log = (sent.select(F.col(chat_col).alias("chat_id"), F.col("news_id").alias("id")).distinct()
+           .join(ranked, "id").select("chat_id", "r"))
+    gaps = keyed_ordinal(log, ["chat_id"], ["r"], out="k")
+    counts = (gaps.select("chat_id", (F.col("r") - F.col("k")).alias("gap")).filter(F.col("gap") < limit)
+              .groupBy("chat_id", "gap").agg(F.count(F.lit(1)).alias("n")))
+    slots = (chats.select("chat_id").distinct()
+             .withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(limit)))))
+    upto = Window.partitionBy("chat_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (slots.join(counts.select("chat_id", (F.col("gap") + 1).cast("int").alias("rank"), "n"), ["chat_id", "rank"], "left")
+            .withColumn("r", F.col("rank") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+            .select("chat_id", "rank", "r"))
+
+
 def unsent_per_chat(news: DataFrame, sources: DataFrame, sent: DataFrame, chats: DataFrame,
-                    limit: int = PENDING_LIMIT, chat_col: str = "sent_to_chat_id",
-                    max_broadcast_chats: int = MAX_BROADCAST_CHATS) -> DataFrame:
+                    limit: int = PENDING_LIMIT, chat_col: str = "sent_to_chat_id") -> DataFrame:
     """Newest ``limit`` unsent rows for every chat at once: (chat_id, rank, ...).
 
-    Each news row gets the chats it was *not* sent to (all chats minus the
-    ones in its log rows), one row per such chat, and a per-chat top-k keeps
-    ``limit``. ``row_number() <= limit`` becomes a WindowGroupLimit, so every
-    map task already cuts each chat to ``limit`` rows before the shuffle: a
-    chat with most of the pending rows never lands whole in one task.
-
-    The chat list goes into the plan as a literal array only after its size
-    is checked against ``max_broadcast_chats``; beyond that the chats are
-    joined by a hash bucket instead (a shuffle join, no size bound).
-    """
-    joined = with_source(news, sources)
-    sent_sets = (sent.groupBy(F.col("news_id").alias("_nid"))
-                 .agg(F.collect_set(F.col(chat_col)).alias("_sent_to")))
-    probe = chats.select("chat_id").distinct().limit(max_broadcast_chats + 1).collect()
-    if len(probe) <= max_broadcast_chats:
-        all_chats = F.array(*[F.lit(r["chat_id"]) for r in probe]) if probe else \
-            F.array().cast("array<string>")
-        pending = (joined.join(sent_sets, joined["id"] == sent_sets["_nid"], "left")
-                   .withColumn("chat_id", F.explode(
-                       F.array_except(all_chats, F.coalesce(F.col("_sent_to"),
-                                                            F.array().cast("array<string>")))))
-                   .drop("_nid", "_sent_to"))
-    else:
-        buckets = 64
-        c = chats.select("chat_id").distinct().withColumn(
-            "_b", F.pmod(F.xxhash64("chat_id"), F.lit(buckets)))
-        pending = (joined.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-                   .join(c, "_b").drop("_b"))
-        s = sent.select(F.col("news_id").alias("_nid"), F.col(chat_col).alias("_chat"))
-        pending = pending.join(s, (pending["id"] == s["_nid"]) & (pending["chat_id"] == s["_chat"]),
-                               "left_anti")
-    w = Window.partitionBy("chat_id").orderBy(*newest_order())
-    return pending.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    News ids are ranked newest first once, over narrow columns; the ranks that
+    each chat needs follow from ``unsent_ranks``; only the news rows that some
+    chat needs fetch their texts and source names."""
+    known = news.join(sources.select(F.col("id").alias("_sid")), F.col("source_id") == F.col("_sid"), "left_semi")
+    ranked = keyed_ordinal(known.select("id", "fetched_at"), [], newest_order(), out="r").select("id", "r")
+    ranks = cut_lineage(unsent_ranks(ranked, sent, chats, limit, chat_col))
+    needed = ranked.join(ranks.select("r").distinct(), "r", "left_semi").select(F.col("id").alias("_id"), "r")
+    rows = with_source(news.join(needed, F.col("id") == F.col("_id")).drop("_id"), sources)
+    return ranks.join(rows, "r").drop("r")
 
 
 def count_recent(news: DataFrame, now: Column, hours: int = 24,

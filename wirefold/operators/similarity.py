@@ -53,18 +53,22 @@ def doc_freq(tf: DataFrame) -> DataFrame:
                                            F.sum("tf").alias("total"))
 
 
-VOCAB_SALTS = 64
+def shuffle_parts(df: DataFrame) -> int:
+    """The session's number of shuffle partitions: what fixed splits follow."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def vocabulary(dfs: DataFrame, max_features: int = MAX_FEATURES, salts: int = VOCAB_SALTS) -> DataFrame:
+def vocabulary(dfs: DataFrame, max_features: int = MAX_FEATURES, salts: int | None = None) -> DataFrame:
     """Top ``max_features`` terms per batch by total count, ties by term.
 
     Two exact phases, so one huge batch never sorts all its terms in one
     task: first a top-k per (batch, hash(term) mod ``salts``), then a top-k
     per batch over at most ``salts * k`` survivors (the global top k is inside
-    the union of the per-salt top k). Spark's own WindowGroupLimit only kicks
-    in for k up to 1000, which the 5,000-term cap exceeds."""
+    the union of the per-salt top k). ``salts`` defaults to the number of
+    shuffle partitions. Spark's own WindowGroupLimit only kicks in for k up to
+    1000, which the 5,000-term cap exceeds."""
     order = [F.col("total").desc(), F.col("term").asc()]
+    salts = salts or shuffle_parts(dfs)
     salted = dfs.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(salts)))
     w1 = Window.partitionBy("batch", "_salt").orderBy(*order)
     part = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= max_features)
@@ -86,12 +90,17 @@ def idf(vocab: DataFrame, counts: DataFrame) -> DataFrame:
                     .alias("idf")))
 
 
-def tfidf(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+def tfidf(docs: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(batch, pos, term, df, weight): L2-normalised TF-IDF of each row, over
-    the capped vocabulary. Rows with no vocabulary term have no rows here."""
+    the batch's ``max_features`` most frequent terms, or over all its terms
+    (None). Rows with no vocabulary term have no rows here."""
+    # dealt out by row before the terms multiply, in a fixed number of parts
+    # (AQE would merge the small texts into a few tasks)
+    docs = docs.repartition(shuffle_parts(docs), "batch", "pos")
     # term counts feed the df table, the vocabulary and the weights: write once
     tf = cut_lineage(term_freq(docs))
-    vocab = idf(vocabulary(doc_freq(tf), max_features), valid_counts(docs))
+    dfs = doc_freq(tf)
+    vocab = idf(dfs if max_features is None else vocabulary(dfs, max_features), valid_counts(docs))
     raw = tf.join(vocab, ["batch", "term"]).select(
         "batch", "pos", "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     row = Window.partitionBy("batch", "pos")
@@ -126,58 +135,27 @@ def prefix_terms(weights: DataFrame, threshold: float) -> DataFrame:
             .select("batch", "pos", "term"))
 
 
-MAX_CANDIDATE_ROWS = 150_000_000
-
-
-class CandidateLimitError(RuntimeError):
-    """The exact candidate join would be larger than allowed."""
-
-
 def similar_pairs(weights: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
-                  members: DataFrame | None = None,
-                  max_candidate_rows: int | None = MAX_CANDIDATE_ROWS) -> DataFrame:
+                  members: DataFrame | None = None) -> DataFrame:
     """(batch, i, j, sim) for i < j in one batch with cosine >= threshold
     (inclusive). ``members`` (batch, pos) limits the search to those rows.
 
-    The size of the candidate join (sum over indexed terms of df^2 / 2) is
-    measured first with a small aggregate; above ``max_candidate_rows`` the
-    call fails with ``CandidateLimitError`` instead of filling executor disks.
-    Nothing is ever dropped to fit: the answer is exact or there is none."""
+    One exact plan for every size: candidates share an indexed term of the
+    prefix filter, and only rows that are in some candidate bring their
+    weights to the dot products. ``weights`` is read several times: give a
+    written frame (``tfidf`` does)."""
     if members is not None:
         weights = weights.join(members.select("batch", "pos"), ["batch", "pos"], "left_semi")
-    weights = cut_lineage(weights)
-
-    def join_size(terms: DataFrame):
-        return (terms.groupBy("batch", "term").agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows")).first()["rows"]) or 0
-
-    # Two exact plans; the measured join sizes pick one. Direct: every pair
-    # sharing a term, products summed (best for small batches, where a term
-    # can pair at most batch-size rows). Prefix: candidates from indexed terms
-    # only, then exact dot products over all terms of each candidate.
-    direct = join_size(weights)
-    n_weights = weights.count()
-    if direct <= 4 * n_weights + 1_000_000:
-        if max_candidate_rows is not None and direct > max_candidate_rows:
-            raise CandidateLimitError(f"term join would emit {int(direct):,} rows")
-        a = weights.select("batch", F.col("pos").alias("i"), "term", F.col("weight").alias("wi"))
-        b = weights.select("batch", F.col("pos").alias("j"), "term", F.col("weight").alias("wj"))
-        dots = (a.join(b, ["batch", "term"]).filter(F.col("i") < F.col("j"))
-                .groupBy("batch", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")))
-        return dots.filter(F.col("sim") >= F.lit(threshold))
-
     idx = cut_lineage(prefix_terms(weights, threshold))
-    if max_candidate_rows is not None:
-        est = join_size(idx)
-        if est > max_candidate_rows:
-            raise CandidateLimitError(
-                f"candidate join would emit {int(est):,} rows (> {max_candidate_rows:,}); "
-                "raise max_candidate_rows on a cluster sized for it")
     a = idx.select("batch", F.col("pos").alias("i"), "term")
     b = idx.select("batch", F.col("pos").alias("j"), "term")
-    cand = a.join(b, ["batch", "term"]).filter(F.col("i") < F.col("j")).select("batch", "i", "j").distinct()
-    wi = weights.select("batch", F.col("pos").alias("i"), "term", F.col("weight").alias("wi"))
-    wj = weights.select("batch", F.col("pos").alias("j"), "term", F.col("weight").alias("wj"))
+    cand = cut_lineage(a.join(b, ["batch", "term"]).filter(F.col("i") < F.col("j"))
+                       .select("batch", "i", "j").distinct())
+    used = (cand.select("batch", F.col("i").alias("pos")).unionByName(cand.select("batch", F.col("j").alias("pos")))
+            .distinct())
+    near = weights.join(used, ["batch", "pos"], "left_semi")
+    wi = near.select("batch", F.col("pos").alias("i"), "term", F.col("weight").alias("wi"))
+    wj = near.select("batch", F.col("pos").alias("j"), "term", F.col("weight").alias("wj"))
     dots = (cand.join(wi, ["batch", "i"])
             .join(wj, ["batch", "j", "term"])
             .groupBy("batch", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")))

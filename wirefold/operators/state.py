@@ -5,9 +5,9 @@ snapshot and a batch of changes, written afterwards as a new snapshot (or an
 append where only rows are added). Single-row calls of the original become
 batches of changes with an explicit arrival order where order matters.
 
-"First arrival per key" is a ``min(struct(order..., row...))`` aggregate, not
-a window: the aggregate combines map-side, so a key that holds a third of
-all changes still sends one row per map task.
+"First arrival per key" is a ``min(struct(order...))`` aggregate over narrow
+columns, not a window: it combines map-side, so a key that holds a third of
+all changes still sends one row per map task. The rows follow by a semi join.
 """
 
 from __future__ import annotations
@@ -18,20 +18,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.operators.ordinal import keyed_ordinal
+from wirefold.session import cut_lineage
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row (by ``order``) of every key; map-side combined."""
-    others = [c for c in df.columns if c not in keys and c not in order]
-    m = df.groupBy(*keys).agg(F.min(F.struct(*order, *others)).alias("_m"))
-    return m.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in order + others]).select(*df.columns)
+    """The first row (by ``order``, which must be unique within a key) of every
+    key. Reads ``df`` twice: give a written frame."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_m"))
+    if set(df.columns) <= {*keys, *order}:
+        return first.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in order]).select(*df.columns)
+    first = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         *[F.col(f"_m.{c}").alias(f"_o{i}") for i, c in enumerate(order)])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + \
+        [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)]
+    return df.join(first, reduce(lambda a, b: a & b, on), "left_semi")
 
 
 def insert_or_ignore(state: DataFrame, changes: DataFrame, keys: list[str],
                      order: list[str]) -> DataFrame:
     """Rows of ``changes`` to insert under a unique key: the existing row
     wins, then the first arrival. A NULL in any key never clashes (every such
-    row goes in); '' is a value like any other; comparison is exact."""
+    row goes in); '' is a value like any other; comparison is exact. The
+    changes are written once and read from there."""
+    changes = cut_lineage(changes)
     has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     null_rows = changes.filter(has_null)
     firsts = first_per_key(changes.filter(~has_null), keys, order)
@@ -134,10 +143,11 @@ def validate(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 def assign_ids(rows: DataFrame, order: list[str], base: Column | int, out: str = "id") -> DataFrame:
     """Surrogate ids in arrival order: ``base + 1, base + 2, ...``. Numbering
-    runs per partition with offsets (no single-task window)."""
-    numbered = keyed_ordinal(rows, [], order, out="_rn")
+    runs per partition with offsets (no single-task window) over the ``order``
+    columns alone, which must be unique and not null; the rows are joined back."""
+    numbered = keyed_ordinal(rows.select(*order), [], order, out="_rn")
     b = base if isinstance(base, Column) else F.lit(base)
-    return numbered.withColumn(out, (b + F.col("_rn")).cast("long")).drop("_rn")
+    return rows.join(numbered, order).withColumn(out, (b + F.col("_rn")).cast("long")).drop("_rn")
 
 
 def flag_by_key(ids: DataFrame, flags: DataFrame, key: str, flag: str,

@@ -7,6 +7,7 @@ columns carry the same names in the Spark result and in the SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from wirefold.operators import dedup as D
 from wirefold.operators import select as SEL
 from wirefold.operators import similarity as S
 from wirefold.plans import sqltext as Q
+from wirefold.session import cut_lineage, ensure_checkpoint_dir
 from wirefold.sources import tables as TB
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -108,11 +110,11 @@ def q_normalize_text(spark, sf):
 
 
 @register("build_corpus", f"""
-SELECT page_id, {Q.corpus("regexp_extract(html, '<title>([^<]*)</title>', 1)", 'url')} AS corpus FROM pages""")
+SELECT doc_id, {Q.corpus("split_part(text, chr(10), 1)", 'text')} AS corpus FROM documents""")
 def q_build_corpus(spark, sf):
-    p = TB.table(spark, sf, "pages")
-    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    return p.select("page_id", T.corpus_text(title, F.col("url")).alias("corpus"))
+    d = TB.table(spark, sf, "documents")
+    title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    return d.select("doc_id", T.corpus_text(title, F.col("text")).alias("corpus"))
 
 
 @register("clean_text", f"SELECT conv_id, turn, {Q.clean('text')} AS clean FROM conversations")
@@ -130,10 +132,9 @@ def q_tokenize(spark, sf):
 
 
 @register("ngrams", f"""
-SELECT doc_id, len({Q.terms_of(Q.norm('text'))}) AS n_terms,
-       len(list_distinct({Q.terms_of(Q.norm('text'))})) AS n_distinct,
-       {Q.terms_of(Q.norm('text'))}[-1] AS last_term
-FROM documents""")
+WITH _t AS (SELECT doc_id, list_filter(string_split({Q.norm('text')}, ' '), lambda x: length(x) >= 2) AS t FROM documents),
+_g AS (SELECT doc_id, list_concat(t, list_transform(list_zip(t[1:len(t) - 1], t[2:]), lambda z: z[1] || ' ' || z[2])) AS g FROM _t)
+SELECT doc_id, len(g) AS n_terms, len(list_distinct(g)) AS n_distinct, g[-1] AS last_term FROM _g""")
 def q_ngrams(spark, sf):
     d = (TB.table(spark, sf, "documents").select("doc_id", T.tokens(T.normalize("text")).alias("toks"))
          .select("doc_id", T.ngram_terms(F.col("toks")).alias("terms")))
@@ -229,14 +230,15 @@ items AS (SELECT doc_id, 'all' AS batch, doc_id AS pos, {Q.corpus('NULL', 'text'
 
 
 @register("dedup_corpus", f"""
-WITH RECURSIVE {_CORPUS_ITEMS}, {Q.tfidf_ctes('items')}, {Q.pairs_cte(THRESHOLD)}, {Q.greedy_ctes()}
+WITH RECURSIVE {_CORPUS_ITEMS}, {Q.tfidf_ctes('items', None)}, {Q.pairs_cte(THRESHOLD)}, {Q.greedy_ctes()}
 SELECT i.doc_id, (g.pos IS NULL) AS keep
 FROM items i LEFT JOIN gone g ON g.batch = i.batch AND g.pos = i.pos""")
 def q_dedup_corpus(spark, sf):
     d = TB.table(spark, sf, "documents")
     docs = d.select(F.lit("all").alias("batch"), F.col("doc_id").alias("pos"),
                     T.corpus_text(F.lit(None).cast("string"), F.col("text")).alias("norm"))
-    return D.dedup_flags(docs, THRESHOLD).select(F.col("pos").alias("doc_id"), "keep")
+    # the cap on terms belongs to batches of pending rows; a corpus uses all its terms
+    return D.dedup_flags(docs, THRESHOLD, max_features=None).select(F.col("pos").alias("doc_id"), "keep")
 
 
 @register("dedup_report", f"""
@@ -292,13 +294,9 @@ WITH {Q.anchors_ctes(_PAGES_ALL)},
 _r AS (SELECT source_id, pos, {Q.resolve('href', 'page_url')} AS link FROM anchors)
 SELECT source_id AS page_id, link, min(pos) AS first_pos, count(*) AS n_seen FROM _r GROUP BY source_id, link""")
 def q_first_per_key(spark, sf):
-    from pyspark.sql import Window
     a = X.anchors(_pages(spark, sf)).withColumn("link", T.resolve_link(F.col("href"), F.col("page_url")))
-    w = Window.partitionBy("source_id", "link")
-    first = Window.partitionBy("source_id", "link").orderBy("pos")
-    return (a.withColumn("n_seen", F.count(F.lit(1)).over(w))
-            .withColumn("_k", F.row_number().over(first)).filter(F.col("_k") == 1)
-            .select(F.col("source_id").alias("page_id"), "link", F.col("pos").alias("first_pos"), "n_seen"))
+    return a.groupBy(F.col("source_id").alias("page_id"), "link").agg(
+        F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_seen"))
 
 
 @register("resolve_links", f"""
@@ -384,7 +382,7 @@ def q_first_n_before(spark, sf):
     b = X.timeline_blocks(L.timelines(spark, sf)).filter(F.col("pos") < X.POST_LIMIT)
     return b.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("n_considered"),
-        F.count_if(F.col("block").rlike(X.POST_LINK_PRESENT_RX)).alias("n_with_link"))
+        F.count_if(F.col("block").rlike(X.POST_LINK_RX)).alias("n_with_link"))
 
 
 @register("mirror_failover", f"""
@@ -400,17 +398,24 @@ SELECT handle, min(mirror_rank) AS mirror_rank, arg_min(source_id, mirror_rank)
 def q_mirror_failover(spark, sf):
     from pyspark.sql import Window
     p = _pages(spark, sf)
-    items = X.page_links(p, min_title=5)
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    # the first mirrors of each host (each task cuts a host to those), then only their pages are parsed
     w = Window.partitionBy("handle").orderBy("source_id")
-    att = (p.select("source_id", host.alias("handle"))
-           .withColumn("mirror_rank", F.row_number().over(w) - 1)
-           .filter(F.col("mirror_rank") < len(T.MIRRORS)))
+    att = cut_lineage(p.select("source_id", host.alias("handle")).withColumn("n", F.row_number().over(w))
+                      .filter(F.col("n") <= T.MIRRORS)
+                      .select("source_id", "handle", (F.col("n") - 1).alias("mirror_rank")))
+    items = X.page_links(p.join(att.select("source_id"), "source_id", "left_semi"), min_title=5)
     return X.mirror_failover(items, att)
 
 
+# sources that are active, of a known type and have what their type needs
+_PAGES_LIVE = _PAGES_OK + " AND page_id % 11 <> 3 AND page_id % 17 <> 7 AND page_id % 13 <> 5 AND url <> ''"
+_FETCH_SQL = (f"{Q.anchors_ctes(_PAGES_LIVE)}, {Q.page_links_ctes(15)}, {Q.feed_items_ctes(where='doc_id // 20 % 9 <> 4')}, "
+              f"{Q.timeline_posts_ctes(where='conv_id % 7 <> 3')}")
+
+
 @register("fetch_all_active", f"""
-WITH {Q.anchors_ctes(_PAGES_OK)}, {Q.page_links_ctes(15)}, {Q.feed_items_ctes()}, {Q.timeline_posts_ctes()}
+WITH {_FETCH_SQL}
 SELECT {_ITEM_COLS} FROM feed_items UNION ALL SELECT {_ITEM_COLS} FROM links
 UNION ALL SELECT {_ITEM_COLS} FROM posts""")
 def q_fetch_all_active(spark, sf):
@@ -433,12 +438,12 @@ _new AS (SELECT url, source_id, pos, title FROM (
 
 
 def _link_state(spark, sf):
-    p = _pages(spark, sf)
-    first = X.page_links(p, min_title=15)
+    a = cut_lineage(X.anchors(_pages(spark, sf)))
+    first = X.links_of(a, min_title=15)
     empty = first.limit(0).select("url", "source_id", "pos", "title")
     state = ST.apply_insert_or_ignore(empty, first.select("url", "source_id", "pos", "title", "source_type"),
                                       ["url"], ["source_type", "source_id", "pos"])
-    changes = X.page_links(p, min_title=5).select("url", "source_id", "pos", "title", "source_type")
+    changes = X.links_of(a, min_title=5).select("url", "source_id", "pos", "title", "source_type")
     return state, changes
 
 
@@ -488,6 +493,16 @@ def q_seed_if_empty(spark, sf):
     return ST.seed_if_empty(target, _seed_slots(spark))
 
 
+@register("seed_if_empty_target", f"""
+WITH {_SLOT_SQL}
+SELECT hour, minute, CAST(NULL AS BIGINT) AS event_id FROM _seed
+WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'unheard of')""")
+def q_seed_if_empty_target(spark, sf):
+    none = TB.table(spark, sf, "events").filter(F.col("event_type") == "unheard of")
+    target = none.select(F.hour("ts").alias("hour"), F.minute("ts").alias("minute"), "event_id")
+    return ST.seed_if_empty(target, _seed_slots(spark))
+
+
 @register("upsert", """
 WITH _st AS (SELECT user_id, false AS admin, max(ts) AS last_fetch_at FROM events
              WHERE event_type = 'signup' AND value > 10 GROUP BY user_id),
@@ -524,8 +539,9 @@ _s AS (SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM _gon
 _n AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM _gone)),
 _l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN
         (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM _gone)))
-SELECT 'sources' AS tbl, count(*) AS n_rows FROM _s UNION ALL SELECT 'news', count(*) FROM _n
-UNION ALL SELECT 'sent', count(*) FROM _l""")
+SELECT 'sources' AS tbl, c_custkey AS id, NULL::BIGINT AS parent FROM _s
+UNION ALL SELECT 'news', o_orderkey, o_custkey FROM _n
+UNION ALL SELECT 'sent', l_linenumber, l_orderkey FROM _l""")
 def q_delete_cascade(spark, sf):
     cust = TB.table(spark, sf, "customer")
     orders = TB.table(spark, sf, "orders")
@@ -533,9 +549,10 @@ def q_delete_cascade(spark, sf):
     doomed = cust.filter(F.col("c_mktsegment") == "AUTOMOBILE").select("c_custkey")
     s, n, li = ST.delete_cascade([(cust, "c_custkey", ""), (orders, "o_orderkey", "o_custkey"),
                                   (items, "l_linenumber", "l_orderkey")], doomed, "c_custkey")
-    return (s.agg(F.lit("sources").alias("tbl"), F.count(F.lit(1)).alias("n_rows"))
-            .unionByName(n.agg(F.lit("news").alias("tbl"), F.count(F.lit(1)).alias("n_rows")))
-            .unionByName(li.agg(F.lit("sent").alias("tbl"), F.count(F.lit(1)).alias("n_rows"))))
+    rows = lambda df, tbl, key, parent: df.select(F.lit(tbl).alias("tbl"), F.col(key).cast("long").alias("id"),
+                                                  parent.cast("long").alias("parent"))
+    return (rows(s, "sources", "c_custkey", F.lit(None)).unionByName(rows(n, "news", "o_orderkey", F.col("o_custkey")))
+            .unionByName(rows(li, "sent", "l_linenumber", F.col("l_orderkey"))))
 
 
 @register("fk_accept", """
@@ -626,14 +643,12 @@ def q_flag_by_key(spark, sf):
 WITH {_NEWS_SQL},
 _top AS (SELECT id FROM _n WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = _n.id AND l.l_returnflag = '{CHAT}')
          ORDER BY fetched_at DESC, id DESC LIMIT 50),
-_log AS (SELECT l_returnflag AS chat_id FROM lineitem UNION ALL SELECT '{CHAT}' FROM _top)
-SELECT chat_id, count(*) AS n_rows FROM _log GROUP BY chat_id""")
+_log AS (SELECT l_orderkey AS news_id, l_returnflag AS sent_to_chat_id FROM lineitem UNION ALL SELECT id, '{CHAT}' FROM _top)
+SELECT news_id, sent_to_chat_id FROM _log""")
 def q_mark_sent(spark, sf):
     sent = TB.sent_lineitem(spark, sf)
     top = SEL.unsent_news(TB.news_orders(spark, sf), TB.sources_large(spark, sf), sent, CHAT)
-    log = ST.append_rows(sent, top.select(F.col("id").alias("news_id"),
-                                         F.lit(CHAT).alias("sent_to_chat_id")))
-    return log.groupBy(F.col("sent_to_chat_id").alias("chat_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return ST.append_rows(sent, top.select(F.col("id").alias("news_id"), F.lit(CHAT).alias("sent_to_chat_id")))
 
 
 # ---------------------------------------------------------------------------
@@ -852,7 +867,7 @@ def _cycle_inputs(spark, sf):
     return sources, land, _prior_news(spark, sf), _prior_sent(spark, sf), chats, now
 
 
-_CYCLE_BASE_SQL = f"""{Q.anchors_ctes(_PAGES_OK)}, {Q.page_links_ctes(15)}, {Q.feed_items_ctes()}, {Q.timeline_posts_ctes()},
+_CYCLE_BASE_SQL = f"""{_FETCH_SQL},
 _items AS (SELECT {_ITEM_COLS} FROM feed_items UNION ALL SELECT {_ITEM_COLS} FROM links
            UNION ALL SELECT {_ITEM_COLS} FROM posts),
 _prior AS (SELECT doc_id + 1 AS id, doc_id // 20 + 1000000000 AS source_id, split_part(text, chr(10), 1) AS title,
@@ -921,6 +936,17 @@ def q_two_cycles(spark, sf):
     return r2["outbox"].select("chat_id", "rank", "news_id", "message")
 
 
+@register("cycle_news", f"""
+WITH RECURSIVE {_CYCLE_BASE_SQL}, {_cycle_sql('c1_', '_sent0')},
+_done AS (SELECT DISTINCT id, summ FROM c1_kept WHERE coalesce(summary_tr, '') = '')
+SELECT n.id, n.source_id, n.url, n.title, coalesce(d.summ, n.summary_tr) AS summary_tr
+FROM _news n LEFT JOIN _done d ON d.id = n.id""")
+def q_cycle_news(spark, sf):
+    """The news table after a cycle: added rows, and the summaries stored."""
+    sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
+    return CY.news_cycle(sources, land, news, sent, chats, now)["news"].select("id", "source_id", "url", "title", "summary_tr")
+
+
 MAX_MESSAGE_CHARS = 4096  # message size limit of the delivery service
 
 
@@ -955,11 +981,18 @@ def q_cycle_counts(spark, sf):
 from wirefold.streaming import ingest as SI  # noqa: E402
 
 
+STREAM_FILES = 3
+
+
 @register("stream_ingest", """
 SELECT user_id, event_id, ts FROM (
   SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 WHERE r = 1""")
 def q_stream_ingest(spark, sf):
-    schema = TB.table(spark, sf, "events").select("user_id", "ts", "event_id").schema
-    path = SI.stream_ingest(spark, sf, schema, ["user_id"], ["ts", "event_id"], glob="events.parquet")
+    """Several micro-batches: the events lie in files by user, one file a batch."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = TB.table(spark, sf, "events").select("user_id", "ts", "event_id")
+    events.repartition(STREAM_FILES, "user_id").write.parquet(f"{base}/source")
+    path = SI.stream_ingest(spark, f"{base}/source", events.schema, ["user_id"], ["ts", "event_id"], base,
+                            max_files_per_trigger=1)
     return spark.read.parquet(path).select("user_id", "event_id", "ts")

@@ -3,12 +3,13 @@
     sources, landing, news, sent  ->  news', outbox, sent'
 
 1. active sources; landed bodies of those sources become items (A7);
-2. items not seen before (by url, first arrival wins) get ids in arrival
-   order and ``fetched_at = now`` (I1, I8, A8);
+2. items with a title, of a known source (I6, C3), not seen before (by url,
+   first arrival wins) get ids in arrival order and ``fetched_at = now`` (I1, I8, A8);
 3. the newest ``limit`` rows not yet sent to the chat, with source name
    (C1, C2, F1);
 4. near-duplicates among them removed, first wins (H10);
-5. rows without a summary go to the enrichment function in batches (K1, C4);
+5. rows without a summary go to the enrichment function in batches, each id
+   once whatever the number of chats, and news' stores the answers (K1, C4, I4);
 6. each row rendered into the outbox (B13); the sent log gains the rows whose
    delivery succeeded (J3).
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.functions import text as T
@@ -37,56 +38,85 @@ from wirefold.sources import extract as X
 ARRIVAL = ["source_type", "source_id", "pos"]
 
 
-def ingest(news: DataFrame, items: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def item_rules() -> list[tuple[str, Column]]:
+    """What an item must have to be stored."""
+    return [("title_null", F.col("title").isNotNull())]
+
+
+def ingest(news: DataFrame, items: DataFrame, now: Column, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(news', new rows): unseen items get ids after the current maximum in
-    arrival order, ``fetched_at = now`` and no summary."""
-    fresh = ST.insert_or_ignore(news.select("url"), items, ["url"], ARRIVAL)
+    arrival order, ``fetched_at = now`` and no summary. Items that break a rule
+    or whose source doesn't exist are refused."""
+    valid = ST.validate(items, item_rules()).filter("accepted").select(*items.columns)
+    known, _ = ST.fk_split(valid, sources, "source_id", "id")
+    fresh = cut_lineage(ST.insert_or_ignore(news.select("url"), known, ["url"], ARRIVAL))
     base = news.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fresh = ST.assign_ids(fresh, ARRIVAL, base, out="id")
-    new_rows = fresh.select(
+    new_rows = cut_lineage(fresh.select(
         "id", "source_id", "title", "content", "url", "published_at",
-        now.alias("fetched_at"), F.lit(None).cast("string").alias("summary_tr"), "is_column")
+        now.alias("fetched_at"), F.lit(None).cast("string").alias("summary_tr"), "is_column"))
     return ST.append_rows(news, new_rows), new_rows
 
 
-def dedup_pending(pending: DataFrame, threshold: float = S.SIMILARITY_THRESHOLD) -> DataFrame:
-    """Keep flag for the pending rows of each chat (one batch per chat,
-    position = newest first)."""
-    docs = pending.select(F.col("chat_id").alias("batch"), F.col("rank").alias("pos"),
+def dedup_pending(pending: DataFrame, threshold: float = S.SIMILARITY_THRESHOLD,
+                  history: DataFrame | None = None) -> DataFrame:
+    """Rows of ``pending`` that stay: near-duplicates within each chat go
+    (one batch per chat, position = newest first). With ``history`` (chat_id,
+    id, title, content: rows the chat already has) a pending row also goes if
+    it is near one of those; they come before all pending rows and stay."""
+    docs = pending.select(F.col("chat_id").alias("batch"), F.col("rank").cast("long").alias("pos"),
                           T.corpus_text(F.col("title"), F.col("content")).alias("norm"))
-    flags = D.dedup_flags(docs, threshold)
-    return pending.join(flags.select(F.col("batch").alias("chat_id"), F.col("pos").alias("rank"), "keep"),
-                        ["chat_id", "rank"]).filter(F.col("keep")).drop("keep")
+    if history is not None:
+        # negative positions: before every rank, newest id first
+        docs = docs.unionByName(history.select(F.col("chat_id").alias("batch"), (-F.col("id")).cast("long").alias("pos"),
+                                               T.corpus_text(F.col("title"), F.col("content")).alias("norm")))
+    flags = D.dedup_flags(docs, threshold, max_features=S.MAX_FEATURES if history is None else None)
+    flags = flags.select(F.col("batch").alias("chat_id"), F.col("pos").alias("rank"), "keep").filter("rank > 0")
+    return pending.join(flags, ["chat_id", "rank"]).filter(F.col("keep")).drop("keep")
+
+
+def sent_rows(news: DataFrame, sent: DataFrame, chats: DataFrame, chat_col: str = "sent_to_chat_id") -> DataFrame:
+    """(chat_id, id, title, content) of the news that each chat was sent."""
+    log = sent.select(F.col(chat_col).alias("chat_id"), F.col("news_id").alias("id")).distinct()
+    log = log.join(chats.select("chat_id").distinct(), "chat_id", "left_semi")
+    return log.join(news.select("id", "title", "content"), "id").select("chat_id", "id", "title", "content")
+
+
+def enrich_pending(kept: DataFrame, summarize: Callable[[pd.DataFrame], pd.DataFrame],
+                   batch_size: int = EN.BATCH_SIZE) -> DataFrame:
+    """(id, summary) of the rows without a summary; a row that is pending for
+    several chats goes to ``summarize`` once."""
+    todo = kept.filter(F.coalesce(F.col("summary_tr"), F.lit("")) == "").select("id", "content").dropDuplicates(["id"])
+    todo = EN.summary_batches(cut_lineage(todo), [], ["id"], batch_size)
+    return cut_lineage(EN.enrich_batches(todo, summarize, ["batch_no"]).dropDuplicates(["id"]))
 
 
 def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: DataFrame,
                chats: DataFrame, now: Column, limit: int = SEL.PENDING_LIMIT,
                threshold: float = S.SIMILARITY_THRESHOLD,
                summarize: Callable[[pd.DataFrame], pd.DataFrame] = EN.first_sentence_summaries,
-               batch_size: int = EN.BATCH_SIZE) -> dict[str, DataFrame]:
-    """Run one cycle for every chat in ``chats`` (chat_id). Returns news',
-    the rows added, the pending rows and the outbox (chat_id, rank,
-    news_id, message)."""
+               batch_size: int = EN.BATCH_SIZE, against_history: bool = False) -> dict[str, DataFrame]:
+    """Run one cycle for every chat in ``chats`` (chat_id). Returns news' (with
+    the new summaries), the rows added, the pending rows and the outbox
+    (chat_id, rank, news_id, message). ``against_history`` also compares the
+    pending rows with what each chat was sent before."""
     # the fetched items feed both the ingest and the "anything fetched" guard
     items = cut_lineage(X.fetch_all_active(sources, landing))
-    news2, new_rows = ingest(news, items, now)
+    news2, new_rows = ingest(news, items, now, sources)
     pending = SEL.unsent_per_chat(news2, sources, sent, chats, limit)
     # guards: nothing fetched this cycle, or no active source -> nothing sent
     # (pending is at most limit rows per chat; written once, read by every
     # later step instead of re-running the fetch and ingest)
     pending = cut_lineage(pending.filter(items.exists()))
-    kept = dedup_pending(pending, threshold)
-    todo = kept.filter(F.coalesce(F.col("summary_tr"), F.lit("")) == "")
-    # at most ``limit`` rows per chat here, so a plain window is bounded
-    w = Window.partitionBy("chat_id").orderBy("rank")
-    todo = todo.select("chat_id", "rank", "id", "content").withColumn(
-        "batch_no", F.floor((F.row_number().over(w) - 1) / batch_size).cast("long"))
-    summaries = EN.enrich_batches(todo, summarize, ["chat_id", "batch_no"])
-    kept = EN.apply_summaries(kept, summaries.dropDuplicates(["id"]))
+    kept = cut_lineage(dedup_pending(pending, threshold, sent_rows(news2, sent, chats) if against_history else None))
+    summaries = enrich_pending(kept, summarize, batch_size)
+    kept = EN.apply_summaries(kept, summaries)
+    stored = summaries.select("id", F.col("summary").alias("summary_tr"))
+    news3 = ST.update_by_key(news2, stored, ["id"], ["summary_tr"], flag=None)
     outbox = kept.select("chat_id", "rank", F.col("id").alias("news_id"), T.render_message(
         F.col("title"), F.col("summary_tr"), F.col("content"), F.col("source_name"), F.col("url"),
         F.col("is_column")).alias("message"))
-    return {"news": news2, "new_rows": new_rows, "pending": pending, "outbox": outbox}
+    return {"news": news3, "new_rows": new_rows, "pending": pending, "outbox": outbox}
 
 
 def delivery_log(sent: DataFrame, results: DataFrame) -> DataFrame:

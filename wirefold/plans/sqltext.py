@@ -71,25 +71,26 @@ def render(title, summary, content, source_name, url, is_column) -> str:
             f" || '</i>' || chr(10) || '🔗 ' || coalesce({url}, ''))")
 
 
+def _entity_map() -> str:
+    """The names as a DuckDB map literal."""
+    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in T.NAMED_ENTITIES.items()) + "}"
+
+
 def decode_entities(x: str) -> str:
     t = f"coalesce({x}, '')"
-    one = ("list_transform(list_slice(string_split({t}, '&#'), 2, NULL), lambda p: "
-           "CASE WHEN regexp_matches(p, '^[0-9]{{1,7}};') "
-           "AND CAST(regexp_extract(p, '^([0-9]{{1,7}});', 1) AS BIGINT) BETWEEN 1 AND 1114111 "
-           "AND NOT CAST(regexp_extract(p, '^([0-9]{{1,7}});', 1) AS BIGINT) BETWEEN 55296 AND 57343 "
-           "THEN chr(CAST(regexp_extract(p, '^([0-9]{{1,7}});', 1) AS INTEGER)) || "
-           "regexp_replace(p, '^[0-9]{{1,7}};', '') "
-           "WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{{1,6}};') "
-           "AND CAST(('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{{1,6}});', 1)) AS BIGINT) BETWEEN 1 AND 1114111 "
-           "AND NOT CAST(('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{{1,6}});', 1)) AS BIGINT) BETWEEN 55296 AND 57343 "
-           "THEN chr(CAST(('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{{1,6}});', 1)) AS INTEGER)) || "
-           "regexp_replace(p, '^[xX][0-9a-fA-F]{{1,6}};', '') "
-           "ELSE '&#' || p END)").format(t=t)
-    head = f"string_split({t}, '&#')[1]"
-    r = f"(CASE WHEN len(string_split({t}, '&#')) <= 1 THEN {t} ELSE {head} || array_to_string({one}, '') END)"
-    for ent, ch in T.NAMED_ENTITIES:
-        r = f"replace({r}, {q(ent)}, {q(ch)})"
-    return r
+    named = (f"list_transform(string_split({t}, '&')[2:], "
+             f"lambda p: {{'p': p, 'n': regexp_extract(p, {q(T.ENTITY_RX)}, 1)}})")
+    coded = (f"list_transform({named}, lambda s: {{'p': s.p, 'n': s.n, 'c': CASE "
+             "WHEN s.n ILIKE '#x%' THEN CAST('0x' || substring(s.n, 3) AS BIGINT) "
+             "WHEN s.n LIKE '#%' THEN CAST(substring(s.n, 2) AS BIGINT) END})")
+    one = (f"list_transform({coded}, lambda s: CASE "
+           "WHEN s.c BETWEEN 1 AND 1114111 AND NOT s.c BETWEEN 55296 AND 57343 "
+           f"THEN chr(CAST(s.c AS INTEGER)) || regexp_replace(s.p, {q(T.ENTITY_RX)}, '') "
+           f"WHEN s.n = 'amp' THEN '&' || regexp_replace(s.p, {q(T.ENTITY_RX)}, '') "
+           f"WHEN s.n <> '' AND s.c IS NULL AND {_entity_map()}[s.n] IS NOT NULL "
+           f"THEN {_entity_map()}[s.n] || regexp_replace(s.p, {q(T.ENTITY_RX)}, '') "
+           "ELSE '&' || s.p END)")
+    return f"(CASE WHEN NOT contains({t}, '&') THEN {t} ELSE string_split({t}, '&')[1] || array_to_string({one}, '') END)"
 
 
 def strip_scripts(h: str) -> str:
@@ -100,12 +101,12 @@ def strip_scripts(h: str) -> str:
 
 
 def html_to_text(h: str) -> str:
-    return decode_entities(f"regexp_replace({strip_scripts(h)}, '(?s)<[^>]*>', ' ', 'g')")
+    return decode_entities(f"regexp_replace({strip_scripts(h)}, {q(T.TAG_RX)}, ' ', 'g')")
 
 
 def node_text_joined(inner: str) -> str:
     return ("array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(" + inner +
-            ", ''), '<[^>]*>'), lambda p: " + ws_trim(decode_entities("p")) + "), lambda p: p <> ''), '')")
+            f", ''), {q(T.TAG_RX)}), lambda p: " + ws_trim(decode_entities("p")) + "), lambda p: p <> ''), '')")
 
 
 def terms_of(norm_expr: str) -> str:
@@ -116,14 +117,17 @@ def terms_of(norm_expr: str) -> str:
             "ELSE []::VARCHAR[] END)")
 
 
-def tfidf_ctes(items: str, max_features: int = 5000) -> str:
-    """CTEs over ``items(batch, pos, norm)`` ending in ``wts(batch, pos, term, wt)``."""
+def tfidf_ctes(items: str, max_features: int | None = 5000) -> str:
+    """CTEs over ``items(batch, pos, norm)`` ending in ``wts(batch, pos, term, wt)``;
+    all terms without ``max_features``."""
+    vocab = "SELECT * FROM _dfs" if max_features is None else (
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY total DESC, term ASC) AS vr "
+        f"FROM _dfs) WHERE vr <= {max_features}")
     return f"""
 _toks AS (SELECT batch, pos, unnest({terms_of('norm')}) AS term FROM {items} WHERE norm <> ''),
 _tf AS (SELECT batch, pos, term, count(*) AS tf FROM _toks GROUP BY batch, pos, term),
 _dfs AS (SELECT batch, term, count(*) AS df, sum(tf) AS total FROM _tf GROUP BY batch, term),
-_vocab AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY total DESC, term ASC) AS vr
-           FROM _dfs) WHERE vr <= {max_features}),
+_vocab AS ({vocab}),
 _nv AS (SELECT batch, count(*) AS n FROM {items} WHERE norm <> '' GROUP BY batch),
 _w0 AS (SELECT t.batch, t.pos, t.term, v.df, t.tf * (ln((1.0 + n.n) / (1.0 + v.df)) + 1.0) AS w
         FROM _tf t JOIN _vocab v ON v.batch = t.batch AND v.term = t.term JOIN _nv n ON n.batch = t.batch),
@@ -162,20 +166,22 @@ items AS (SELECT doc_id, source, text, lang, rn AS pos,
                  {corpus('NULL', 'text')} AS norm FROM _d)"""
 
 
-from wirefold.sources.extract import ANCHOR_RX  # noqa: E402
+from wirefold.sources.extract import ANCHOR_INNER_RX, ANCHOR_RX, ANCHOR_TAG_RX, ATTRIBUTE_RX  # noqa: E402
 
 
 def anchors_ctes(pages_sql: str = "SELECT page_id AS source_id, url AS page_url, html AS body FROM pages") -> str:
     """CTEs ending in ``anchors(source_id, page_url, pos, href, text)``."""
+    tag = f"regexp_extract(w, {q(ANCHOR_TAG_RX)}, 1)"
     return f"""
 _pg AS (SELECT source_id, page_url, {strip_scripts('body')} AS h FROM ({pages_sql})),
-_an0 AS (SELECT source_id, page_url, regexp_extract_all(h, {q(ANCHOR_RX)}, 1) AS dq,
-                regexp_extract_all(h, {q(ANCHOR_RX)}, 2) AS sq, regexp_extract_all(h, {q(ANCHOR_RX)}, 3) AS uq,
-                regexp_extract_all(h, {q(ANCHOR_RX)}, 4) AS inners FROM _pg),
-_an AS (SELECT source_id, page_url, unnest(generate_series(0, len(dq) - 1)) AS pos,
-               unnest(dq) AS dq1, unnest(sq) AS sq1, unnest(uq) AS uq1, unnest(inners) AS inner_raw FROM _an0),
-anchors AS (SELECT source_id, page_url, pos, {decode_entities('concat(dq1, sq1, uq1)')} AS href,
-                   {node_text_joined('inner_raw')} AS text FROM _an)"""
+_an0 AS (SELECT source_id, page_url, regexp_extract_all(h, {q(ANCHOR_RX)}) AS ws FROM _pg),
+_an1 AS (SELECT source_id, page_url, unnest(generate_series(1, len(ws))) AS k, unnest(ws) AS w FROM _an0),
+_an2 AS (SELECT *, regexp_extract_all({tag}, {q(ATTRIBUTE_RX)}, 1) AS ns, regexp_extract_all({tag}, {q(ATTRIBUTE_RX)}, 2) AS vs FROM _an1),
+_an3 AS (SELECT *, vs[list_position(list_transform(ns, lambda n: lower(n)), 'href')] AS v FROM _an2),
+_an AS (SELECT source_id, page_url, w, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS pos,
+               CASE WHEN v[1] IN ('"', chr(39)) THEN substring(v, 2, length(v) - 2) ELSE v END AS raw FROM _an3 WHERE v IS NOT NULL),
+anchors AS (SELECT source_id, page_url, pos, {decode_entities('raw')} AS href,
+                   {node_text_joined(f"regexp_extract(w, {q(ANCHOR_INNER_RX)}, 2)")} AS text FROM _an)"""
 
 
 def page_links_ctes(min_title: int = 15, limit: int = 15, out: str = "links") -> str:
@@ -194,7 +200,7 @@ _pl3 AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS n
 XML_INVALID = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]"
 
 
-def feed_items_ctes(out: str = "feed_items") -> str:
+def feed_items_ctes(out: str = "feed_items", where: str = "true") -> str:
     """Expected RSS items straight from ``documents`` (what the feed XML built
     from them must parse back to)."""
     return f"""
@@ -207,10 +213,10 @@ _f2 AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1
 {out} AS (SELECT 'rss' AS source_type, source_id, pos, title,
                  {clean(html_to_text("'<p>' || t || '</p>'"))} AS content, link AS url,
                  'doc-' || CAST(doc_id AS VARCHAR) AS published_at, {keyword_flag('link', 'title')} AS is_column
-          FROM _f2 WHERE pos < 15 AND link <> '' AND title <> '')"""
+          FROM _f2 WHERE pos < 15 AND link <> '' AND title <> '' AND {where})"""
 
 
-def timeline_posts_ctes(out: str = "posts") -> str:
+def timeline_posts_ctes(out: str = "posts", where: str = "true") -> str:
     """Expected timeline posts straight from ``conversations``."""
     return f"""
 _c AS (SELECT 2000000000 + conv_id * 1000000 + turn // 20 AS source_id, conv_id, turn, role, text,
@@ -219,4 +225,4 @@ _c2 AS (SELECT *, {clean('text')} AS content FROM _c WHERE pos < 10 AND role <>
 {out} AS (SELECT 'x' AS source_type, source_id, pos, {truncate_title('content')} AS title, content,
                  'https://twitter.com/u' || CAST(conv_id AS VARCHAR) || '/status/' || CAST(turn AS VARCHAR) AS url,
                  NULL::VARCHAR AS published_at, false AS is_column
-          FROM _c2 WHERE content <> '')"""
+          FROM _c2 WHERE content <> '' AND {where})"""

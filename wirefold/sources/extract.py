@@ -22,21 +22,33 @@ FEED_LIMIT = 15
 PAGE_LIMIT = 15
 POST_LIMIT = 10
 
-# RSS 2.0 (channel/item) and Atom (entry, link/@href) in one schema: the root
-# element is ignored, so one parse serves both and the other side is NULL.
-FEED_SCHEMA = ("channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, "
-               "description: STRING, summary: STRING, pubDate: STRING, updated: STRING>>>, "
+# RSS 2.0 (channel/item), RSS 1.0 (items beside the channel) and Atom (entry,
+# link/@href) in one schema: the root element is ignored, so one parse serves
+# all and the other sides are NULL.
+_ITEM = ("ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, summary: STRING, pubDate: STRING, "
+         "date: STRING, updated: STRING>>")
+FEED_SCHEMA = (f"channel STRUCT<item: {_ITEM}>, item {_ITEM}, "
                "entry ARRAY<STRUCT<title: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, "
                "summary: STRING, published: STRING, updated: STRING>>")
 
-# <a ... href=... ...>inner</a>; href double-quoted (group 1), single-quoted
-# (group 2) or unquoted (group 3); inner HTML is group 4
-ANCHOR_RX = (r'(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|' + "'([^']*)'" +
-             r'|([^\s"\'>]+))[^>]*>(.*?)</a\s*>')
-POST_BLOCK = '<div class="timeline-item">'
-POST_CONTENT_RX = r'(?s)<div class="tweet-content"[^>]*>(.*?)</div>'
-POST_LINK_RX = r'<a\b[^>]*\bclass="tweet-link"[^>]*\bhref="([^"]*)"'
-POST_LINK_PRESENT_RX = r'<a\b[^>]*\bclass="tweet-link"'
+# A whole anchor that has attributes, its tag alone, and an attribute with a value.
+ANCHOR_RX = r"(?is)<a\s" + T.ATTRIBUTES + r">.*?</a\s*>"
+ANCHOR_TAG_RX = r"(?is)^<a(\s" + T.ATTRIBUTES + r")>"
+ANCHOR_INNER_RX = ANCHOR_TAG_RX + r"(.*)</a\s*>$"
+ATTRIBUTE_RX = r"""(?is)[\s"']([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def class_tag(name: str, token: str) -> str:
+    """Regex of a start tag with ``token`` among its classes, in any attribute
+    order; group 1 is the tag's name."""
+    value = r"""(?:"(?:[^"]*\s)?%s(?:\s[^"]*)?"|'(?:[^']*\s)?%s(?:\s[^']*)?')""" % (token, token)
+    return f"(?is)<({name})(?:\\s{T.ATTRIBUTES})?\\sclass\\s*=\\s*{value}{T.ATTRIBUTES}>"
+
+
+ANY_TAG = "[a-z][a-z0-9]*"
+POST_BLOCK_RX = class_tag(ANY_TAG, "timeline-item")
+POST_CONTENT_RX = class_tag(ANY_TAG, "tweet-content")
+POST_LINK_RX = class_tag("a", "tweet-link")
 
 ITEM_COLUMNS = ["source_type", "source_id", "pos", "title", "content", "url",
                 "published_at", "is_column"]
@@ -63,7 +75,14 @@ def feed_items(feeds: DataFrame, limit: int = FEED_LIMIT, id_col: str = "source_
                         F.lit(None).cast("string").alias("description"), en["summary"].alias("summary"),
                         en["published"].alias("pubDate"), en["updated"].alias("updated"))
 
-    entries = F.coalesce(F.col("f.channel.item"), F.transform(F.col("f.entry"), atom))
+    def rss(it):
+        # the dates of RSS 1.0 are Dublin Core's
+        return F.struct(it["title"].alias("title"), it["link"].alias("link"), it["description"].alias("description"),
+                        it["summary"].alias("summary"), T.first_nonempty(it["pubDate"], it["date"]).alias("pubDate"),
+                        it["updated"].alias("updated"))
+
+    entries = F.coalesce(F.transform(F.col("f.channel.item"), rss), F.transform(F.col("f.item"), rss),
+                         F.transform(F.col("f.entry"), atom))
     e = parsed.select("source_id", F.posexplode_outer(entries).alias("pos", "it")) \
         .filter(F.col("it").isNotNull() & (F.col("pos") < limit))
     title = T.ws_trim(T.blank_to_empty(F.col("it.title")))
@@ -80,19 +99,31 @@ def feed_items(feeds: DataFrame, limit: int = FEED_LIMIT, id_col: str = "source_
         .select(*ITEM_COLUMNS)
 
 
+def attribute(tag, name: str):
+    """Value of an attribute of a start tag (its text from the first space on),
+    NULL if there is none. Quoted values are consumed whole, so names inside
+    them and names that only end alike (``data-href``) don't count."""
+    names = F.regexp_extract_all(tag, F.lit(ATTRIBUTE_RX), 1)
+    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE_RX), 2)
+    found = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.lower(x["n"]) == name)
+    value = F.get(found, F.lit(0))["v"]
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def anchors(pages: DataFrame, id_col: str = "source_id", url_col: str = "url",
             body_col: str = "body") -> DataFrame:
     """(source_id, page_url, pos, href, text): every anchor with an href, in
-    document order; text = decoded, stripped text nodes joined with ''."""
+    document order; text = decoded, stripped text nodes joined with ''. One
+    regex pass over a page finds the anchors; the rest reads those short texts."""
     h = T.strip_scripts(F.col(body_col))
-    arr = F.arrays_zip(*[F.regexp_extract_all(h, F.lit(ANCHOR_RX), g).alias(n)
-                         for g, n in [(1, "dq"), (2, "sq"), (3, "uq"), (4, "inner")]])
-    a = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("page_url"),
-                     F.posexplode(arr).alias("pos", "a"))
-    href = F.concat(F.col("a.dq"), F.col("a.sq"), F.col("a.uq"))   # one of them is set
-    return a.select("source_id", "page_url", "pos",
-                    T.decode_entities(href).alias("href"),
-                    T.node_text_joined(F.col("a.inner")).alias("text"))
+    found = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("page_url"),
+                         F.regexp_extract_all(h, F.lit(ANCHOR_RX), 0).alias("whole"))
+    parts = F.transform("whole", lambda w: F.struct(
+        attribute(F.regexp_extract(w, ANCHOR_TAG_RX, 1), "href").alias("href"), w.alias("w")))
+    a = found.select("source_id", "page_url", F.posexplode(F.filter(parts, lambda x: x["href"].isNotNull())).alias("pos", "a"))
+    return a.select("source_id", "page_url", "pos", T.decode_entities(F.col("a.href")).alias("href"),
+                    T.node_text_joined(F.regexp_extract("a.w", ANCHOR_INNER_RX, 2)).alias("text"))
 
 
 def page_links(pages: DataFrame, limit: int = PAGE_LIMIT, min_title: int = T.MIN_LINK_TITLE,
@@ -102,7 +133,12 @@ def page_links(pages: DataFrame, limit: int = PAGE_LIMIT, min_title: int = T.MIN
     against the page's ``scheme://host``, kept if it starts with 'http',
     first occurrence per URL in the page, then the first ``limit`` (limit
     **after** the filters)."""
-    a = anchors(pages, id_col, url_col, body_col)
+    return links_of(anchors(pages, id_col, url_col, body_col), limit, min_title, keywords)
+
+
+def links_of(a: DataFrame, limit: int = PAGE_LIMIT, min_title: int = T.MIN_LINK_TITLE,
+             keywords=T.COLUMN_KEYWORDS) -> DataFrame:
+    """``page_links`` from the rows of ``anchors``."""
     a = a.filter((F.col("text") != "") & (F.length("text") >= min_title)) \
         .withColumn("link", T.resolve_link(F.col("href"), F.col("page_url"))) \
         .filter(F.col("link").startswith("http"))
@@ -118,33 +154,55 @@ def page_links(pages: DataFrame, limit: int = PAGE_LIMIT, min_title: int = T.MIN
 
 
 def timeline_blocks(timelines: DataFrame, id_col: str = "source_id",
-                    body_col: str = "body") -> DataFrame:
-    """(source_id, pos, block): the timeline item blocks in page order."""
-    parts = F.split(F.col(body_col), F.lit(POST_BLOCK))
-    return timelines.select(F.col(id_col).alias("source_id"),
+                    body_col: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source_id, *keep, pos, block): the timeline item blocks in page order."""
+    parts = F.split(F.col(body_col), POST_BLOCK_RX)
+    return timelines.select(F.col(id_col).alias("source_id"), *keep,
                             F.posexplode(F.slice(parts, 2, 1 << 30)).alias("pos", "block"))
 
 
+def element_html(block, start_rx: str):
+    """Markup inside the first element whose start tag matches: up to the end
+    tag that closes it, elements of the same name inside it counted; NULL if
+    there is no such element. Without that end tag, up to the block's end."""
+    tag = F.regexp_extract(block, start_rx, 0)
+    name = F.regexp_extract(block, start_rx, 1)
+    rest = F.substring(block, F.instr(block, tag) + F.length(tag), F.lit(1 << 30))
+    rx = F.concat(F.lit("(?i)</?"), name, F.lit(r"\b"))
+    marks, parts = F.regexp_extract_all(rest, rx, 0), F.split(rest, rx)
+    # open elements after each mark; the first mark that leaves none ends the element
+    state = F.aggregate(marks, F.struct(F.lit(1).alias("open"), F.lit(0).alias("taken")), lambda st, m: F.when(
+        st["open"] == 0, st).otherwise(F.struct(
+            (st["open"] + F.when(m.startswith("</"), F.lit(-1)).otherwise(F.lit(1))).alias("open"),
+            (st["taken"] + 1).alias("taken"))))
+    # taken marks separate the parts inside; a part after a mark begins inside that mark's tag
+    count = F.when(state["open"] == 0, state["taken"]).otherwise(F.size(parts))
+    inside = F.transform(F.slice(parts, 1, count), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("<x"), x)))
+    return F.when(tag != "", F.array_join(inside, ""))
+
+
 def timeline_posts(timelines: DataFrame, limit: int = POST_LIMIT, id_col: str = "source_id",
-                   body_col: str = "body") -> DataFrame:
+                   body_col: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
     """Posts: first ``limit`` blocks (limit **before** the filters); a block
     needs a content element and a post link; content is its text, cleaned,
     and must be non-empty; title = first 100 chars (+ ellipsis); url = the
-    link path on the post host. Never flagged as a column."""
-    b = timeline_blocks(timelines, id_col, body_col).filter(F.col("pos") < limit)
-    b = b.filter(F.col("block").rlike(POST_CONTENT_RX) & F.col("block").rlike(POST_LINK_PRESENT_RX))
-    b = b.select("source_id", "pos",
-                 T.clean_text(T.html_to_text(F.regexp_extract("block", POST_CONTENT_RX, 1))).alias("content"),
-                 T.decode_entities(F.regexp_extract("block", POST_LINK_RX, 1)).alias("path"))
+    link path on the post host. Never flagged as a column. Elements are found
+    by class token, whatever the order of attributes."""
+    b = timeline_blocks(timelines, id_col, body_col, keep).filter(F.col("pos") < limit)
+    b = b.select("source_id", *keep, "pos", element_html(F.col("block"), POST_CONTENT_RX).alias("inner"),
+                 F.regexp_extract("block", POST_LINK_RX, 0).alias("tag"))
+    b = b.filter(F.col("inner").isNotNull() & (F.col("tag") != ""))
+    b = b.select("source_id", *keep, "pos", T.clean_text(T.html_to_text(F.col("inner"))).alias("content"),
+                 T.decode_entities(attribute(F.substring("tag", 3, 1 << 30), "href")).alias("path"))
     b = b.filter(F.col("content") != "")
     return b.select(
-        F.lit("x").alias("source_type"), "source_id", "pos",
+        F.lit("x").alias("source_type"), "source_id", *keep, "pos",
         T.truncate_title(F.col("content")).alias("title"), "content",
         T.rewrite_path(F.col("path")).alias("url"),
         F.lit(None).cast("string").alias("published_at"), F.lit(False).alias("is_column"))
 
 
-def mirror_failover(items: DataFrame, attempts: DataFrame, mirrors: int = len(T.MIRRORS)) -> DataFrame:
+def mirror_failover(items: DataFrame, attempts: DataFrame, mirrors: int = T.MIRRORS) -> DataFrame:
     """Pick, per handle, the first mirror (by rank, at most ``mirrors`` tried)
     that yields at least one valid item; a 200 page without items does not
     count. ``attempts`` is (handle, mirror_rank, source_id); ``items`` has a
@@ -157,15 +215,29 @@ def mirror_failover(items: DataFrame, attempts: DataFrame, mirrors: int = len(T.
                        F.col("m.source_id").alias("source_id"), F.col("m.n_items").alias("n_items"))
 
 
-def fetch_all_active(sources: DataFrame, landing: DataFrame) -> DataFrame:
+def fetch_all_active(sources: DataFrame, landing: DataFrame, mirrors: int = T.MIRRORS) -> DataFrame:
     """Dispatch landed bodies by source type (rss, web, x; anything else gives
     nothing), for active sources only, and concatenate; the order of arrival
-    is ``(source_type, source_id, pos)``. ``sources`` (id, source_type, active,
-    url); ``landing`` (source_id, status, body)."""
+    is ``(source_type, source_id, pos)``.
+
+    ``sources``: id, source_type, active, url, x_handle. ``landing``:
+    source_id, source_type, mirror_rank, status, body. A feed or page without
+    a url and a timeline without a handle give nothing. Of a timeline's
+    mirrors the first (of ``mirrors``) with any post counts."""
     act = sources.filter(F.col("active")).select(
-        F.col("id").alias("source_id"), "source_type", F.col("url").alias("src_url"))
-    ok = landed_ok(landing).join(act, "source_id")
-    rss = feed_items(ok.filter(F.col("source_type") == "rss"))
-    web = page_links(ok.filter(F.col("source_type") == "web"), url_col="src_url")
-    x = timeline_posts(ok.filter(F.col("source_type") == "x"))
+        F.col("id").alias("source_id"), F.col("source_type").alias("of_type"), F.col("url").alias("src_url"),
+        T.strip_handle(T.blank_to_empty("x_handle")).alias("handle"))
+
+    def landed(kind: str, wanted) -> DataFrame:
+        # the type is in landing, so each branch reads the bodies of its own type
+        mine = landed_ok(landing).filter(F.col("source_type") == kind).drop("source_type")
+        return mine.join(act.filter((F.col("of_type") == kind) & wanted).drop("of_type"), "source_id")
+
+    has_url = T.blank_to_empty("src_url") != ""
+    rss = feed_items(landed("rss", has_url))
+    web = page_links(landed("web", has_url), url_col="src_url")
+    posts = timeline_posts(landed("x", F.col("handle") != "").filter(F.col("mirror_rank") < mirrors), keep=("mirror_rank",))
+    # at most ``mirrors`` x ``POST_LIMIT`` posts per source
+    first = F.min("mirror_rank").over(Window.partitionBy("source_id"))
+    x = posts.withColumn("first", first).filter(F.col("mirror_rank") == F.col("first")).select(*ITEM_COLUMNS)
     return rss.unionByName(web).unionByName(x)

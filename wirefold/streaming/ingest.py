@@ -6,59 +6,71 @@ aggregate, so a hot key combines map-side), drops keys already in the table
 table is the state: no watermark, a key may come back after any delay and is
 still ignored, as in the rule being matched.
 
+Rows lie in ``batch_id=N/bucket=B`` folders, the bucket a hash of the key; a
+batch reads only the buckets that its own keys fall into.
+
 Exactly once: a batch writes to its own ``batch_id=N`` folder in overwrite
 mode and reads only the folders of earlier batches, so a replayed batch
-rewrites the same rows and changes nothing else. Folders live under the
-session's shared checkpoint folder (never a machine-local one).
+rewrites the same rows and changes nothing else. The caller names the table's
+folder, which must be one that all executors share.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirefold.operators.state import first_per_key
-from wirefold.session import ensure_checkpoint_dir
+from wirefold.session import cut_lineage
+
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, asked of the file system that Spark writes to."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def _earlier(spark: SparkSession, table_path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    full = T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])
-    try:
-        done = spark.read.schema(full).parquet(table_path)
-        return done.filter(F.col("batch_id") < batch_id)
-    except Exception:  # nothing written yet
+    """Rows of earlier batches; other errors than a table not yet begun surface."""
+    full = T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    if not _exists(spark, table_path):
         return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(table_path).filter(F.col("batch_id") < batch_id)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, table_path: str, keys: list[str],
-                 order: list[str]) -> None:
-    """One micro-batch: first per key, minus keys already stored, appended."""
+                 order: list[str], buckets: int = BUCKETS) -> None:
+    """One micro-batch: first per key, minus keys already stored, appended.
+    ``buckets`` must stay the same over a table's life."""
     spark = batch.sparkSession
-    firsts = first_per_key(batch, keys, order)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    firsts = cut_lineage(first_per_key(cut_lineage(batch), keys, order).withColumn("bucket", bucket))
     schema = T.StructType(list(batch.schema.fields))
-    known = _earlier(spark, table_path, schema, batch_id).select(*keys)
+    touched = [r["bucket"] for r in firsts.select("bucket").distinct().collect()]  # at most ``buckets``
+    known = _earlier(spark, table_path, schema, batch_id).filter(F.col("bucket").isin(touched)).select(*keys)
     fresh = firsts.join(known, keys, "left_anti")
-    fresh.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
+    (fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+     .parquet(f"{table_path}/batch_id={batch_id}"))
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType | str, keys: list[str],
-                  order: list[str], glob: str = "*.parquet", root: str | None = None,
-                  max_files_per_trigger: int | None = None) -> str:
+                  order: list[str], root: str, glob: str = "*.parquet",
+                  max_files_per_trigger: int | None = None, buckets: int = BUCKETS) -> str:
     """Run the stream over the parquet files in ``source_dir`` until all
-    available files are processed (``availableNow``); return the table path."""
-    base = root or os.path.join(ensure_checkpoint_dir(spark), "stream-" + uuid.uuid4().hex[:12])
-    table_path = os.path.join(base, "table")
+    available files are processed (``availableNow``); return the table's path.
+    ``root`` holds the table and the stream's checkpoint."""
+    table_path = f"{root.rstrip('/')}/table"
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, table_path, keys, order))
-         .option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .foreachBatch(lambda df, bid: ingest_batch(df, bid, table_path, keys, order, buckets))
+         .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint")
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
