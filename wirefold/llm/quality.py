@@ -108,7 +108,7 @@ def count_ngrams(texts: DataFrame, alphabet: list[int], order: int = ORDER) -> D
         total = np.zeros(1 << (BITS * order), dtype=np.int64)
         for part in _texts(batches):
             codes, _ = symbols.codes(part, order)
-            total += np.bincount(codes, minlength=len(total))
+            np.add.at(total, codes, 1)  # in place: no second array of that size
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["code", "n"])
 
