@@ -112,9 +112,9 @@ def node_text_joined(inner: str) -> str:
 def terms_of(norm_expr: str) -> str:
     """Unigrams then bigrams of a normalised text, as a DuckDB list."""
     t = f"list_filter(string_split({norm_expr}, ' '), lambda x: length(x) >= 2)"
-    return (f"list_concat({t}, CASE WHEN len({t}) >= 2 THEN "
-            f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]) "
-            "ELSE []::VARCHAR[] END)")
+    # the token list is bound once, by a lambda over a list that holds it
+    return (f"list_transform([{t}], lambda t: list_concat(t, list_transform(list_zip(t[1:len(t) - 1], t[2:]), "
+            "lambda z: z[1] || ' ' || z[2])))[1]")
 
 
 def tfidf_ctes(items: str, max_features: int | None = 5000) -> str:
