@@ -186,9 +186,9 @@ def train(texts: DataFrame) -> Model:
     counts = stored(count_ngrams(texts, alphabet), "kn-counts")
     levels = []
     for shares, contexts in kneser_ney(counts):
-        s, c = shares.toPandas(), contexts.toPandas()  # at most 2^24 and 2^18 rows
-        levels.append((s["code"].to_numpy(np.int32), s["p"].to_numpy(np.float32),
-                       c["context"].to_numpy(np.int32), c["w"].to_numpy(np.float32)))
+        # at most 2^24 and 2^18 rows of a few bytes
+        arrays = [t.column(i).to_numpy() for t in (shares.toArrow(), contexts.toArrow()) for i in (0, 1)]
+        levels.append(tuple(a.astype(k) for a, k in zip(arrays, (np.int32, np.float32) * 2, strict=True)))
     return Model(alphabet, levels)
 
 
