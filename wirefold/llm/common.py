@@ -52,17 +52,23 @@ def pick_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> Data
     """The rows of ``docs`` whose key values are in ``kept``, one for each
     distinct key, with the columns of ``docs``.
 
-    ``keys`` maps the column names of ``kept`` to expressions over ``docs``.
-    Null key values match null key values. Repeated rows of one key are one
-    document: any one of them stays.
+    ``keys`` maps the column names of ``kept`` to expressions over ``docs``;
+    ``kept`` is unique by them and has ``times``, the number of rows of
+    ``docs`` with that key. Null key values match null key values. Repeated
+    rows of one key are one document: any one of them stays. Only those are
+    shuffled to find it; other texts stay where they are if ``kept`` is small.
     """
     cols = docs.columns
     names = {k: f"__key_{i}" for i, k in enumerate(keys)}
-    wanted = kept.select(*[F.col(k).alias(f"{n}_k") for k, n in names.items()]).distinct()
+    wanted = stored(kept.select(*[F.col(k).alias(f"{n}_k") for k, n in names.items()], F.col("times").alias("__times")),
+                    "picked")
     keyed = docs.withColumns({n: keys[k] for k, n in names.items()})
     on = None
     for n in names.values():
         one = F.col(n).eqNullSafe(F.col(f"{n}_k"))
         on = one if on is None else on & one
-    joined = keyed.join(broadcast_if_small(stored(wanted, "picked")), on, "inner")
-    return joined.dropDuplicates(list(names.values())).select(*cols)
+    joined = keyed.join(broadcast_if_small(wanted), on, "inner")
+    if wanted.filter("__times > 1").isEmpty():
+        return joined.select(*cols)
+    once = joined.filter("__times = 1").select(*cols)
+    return once.unionAll(joined.filter("__times > 1").dropDuplicates(list(names.values())).select(*cols))

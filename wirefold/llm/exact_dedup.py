@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 files_per_batch: int = FILES_PER_BATCH,
                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept,
-    text_sha256, locator (input file of the row that stays; null for a row alone).
+    text_sha256, locator (its input file), times (rows with its id and text).
 
     Null texts count as empty. Of equal texts the row with the largest id
     stays (null ids are smaller than any; a group of null ids only has keep_id
@@ -138,13 +138,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-        "text_sha256", "locator")
+        "text_sha256", "locator", "times")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
     result = exact_dedup(docs)
-    return pick_rows(docs, result.filter("kept").select("doc_id", "text_sha256"), {
+    return pick_rows(docs, result.filter("kept").select("doc_id", "text_sha256", "times"), {
         "doc_id": F.col("doc_id"),
         "text_sha256": F.sha2(lower_ascii(F.col("text")).cast("binary"), 256)})
 

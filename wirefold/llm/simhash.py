@@ -306,7 +306,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    max_bits: int = MAX_BITS, leaf_size: int = LEAF_SIZE, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (64 bits as a long), component_id
     (smallest id reachable over links of at most ``max_bits`` bits, itself
-    included), and the further ``keys`` of ``docs``.
+    included), component_fp (the same for all rows of a component), and the
+    further ``keys`` of ``docs``.
 
     Null and empty texts have fingerprint zero and link like any other. Null
     ids never name a component; one of null ids only has component_id null.
@@ -321,23 +322,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               .select("fp", "least", "root"))
     rooted = stored(rooted, "simhash-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.join(named, "root").select("fp", "component_id")
+    linked = rooted.join(named, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
     of_fp = (fps.join(broadcast_if_small(stored(linked, "simhash-linked")), "fp", "left")
-             .select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return marked.join(of_fp, "fp").select("doc_id", *keys, "fp", "component_id")
+             .select("fp", F.when(F.col("component_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+                     F.coalesce("component_fp", "fp").alias("component_fp")))
+    return marked.join(of_fp, "fp").select("doc_id", *keys, "fp", "component_id", "component_fp")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one with the smallest id, with the
-    columns of ``docs``. Of a component of null ids only, one of the rows."""
+    columns of ``docs``; of a component of null ids only, one of its rows."""
     content = F.xxhash64("text")
     found = simhash_groups(docs.withColumn("__content", content), keys=("__content",))
-    named = (found.filter(F.col("doc_id") == F.col("component_id"))
-             .groupBy("doc_id", "component_id").agg(F.min("__content").alias("__content")).select("doc_id", "__content"))
-    nameless = (found.filter("component_id IS NULL").withColumn("part", F.lit(0))
-                .groupBy("fp").agg(F.min("__content").alias("__content"))
-                .select(F.lit(None).cast("long").alias("doc_id"), "__content"))
-    return pick_rows(docs, named.unionAll(nameless), {"doc_id": F.col("doc_id"), "__content": content})
+    # rows of one id and text are one document; of a component the smallest id counts, nulls last
+    rows = found.groupBy("component_fp", "doc_id", "__content").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__content", "times")).alias("f")
+    kept = rows.groupBy("component_fp").agg(first).select("f.doc_id", "f.__content", "f.times")
+    return pick_rows(docs, kept, {"doc_id": F.col("doc_id"), "__content": content})
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
