@@ -90,3 +90,13 @@ def test_keyed_ordinal_default_partitioning(spark):
     for k, seq in by_key.items():
         seq.sort()
         assert [rn for _, rn in seq] == list(range(1, len(seq) + 1)), k
+
+
+def test_vocabulary_in_parts_equals_one_sort(spark):
+    rows = [("b", f"t{i}", 1, i % 7) for i in range(300)] + [("c", f"t{i}", 1, i % 3) for i in range(20)]
+    dfs = spark.createDataFrame(rows, "batch string, term string, df long, total long")
+    want = {(b, t, r) for b in "bc" for r, (t, _) in enumerate(sorted(((x[1], x[3]) for x in rows if x[0] == b),
+                                                                     key=lambda x: (-x[1], x[0]))[:50], 1)}
+    for n in (1000, 30):
+        got = S.vocabulary(dfs, 50, terms_per_sort=n).collect()
+        assert {(r["batch"], r["term"], r["vrank"]) for r in got} == want

@@ -58,22 +58,27 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def vocabulary(dfs: DataFrame, max_features: int = MAX_FEATURES, salts: int | None = None) -> DataFrame:
+#: Terms of a batch that one task may sort.
+TERMS_PER_SORT = 200_000
+
+
+def vocabulary(dfs: DataFrame, max_features: int = MAX_FEATURES, terms_per_sort: int = TERMS_PER_SORT) -> DataFrame:
     """Top ``max_features`` terms per batch by total count, ties by term.
 
     Two exact phases, so one huge batch never sorts all its terms in one
-    task: first a top-k per (batch, hash(term) mod ``salts``), then a top-k
-    per batch over at most ``salts * k`` survivors (the global top k is inside
-    the union of the per-salt top k). ``salts`` defaults to the number of
-    shuffle partitions. Spark's own WindowGroupLimit only kicks in for k up to
-    1000, which the 5,000-term cap exceeds."""
+    task: first a top-k per (batch, part), the parts of a batch following from
+    its number of terms, then a top-k per batch over the survivors (the global
+    top k is inside the union of the parts' top k). A batch of few terms has
+    one part, which already cuts it to k. Spark's own WindowGroupLimit only
+    kicks in for k up to 1000, which the 5,000-term cap exceeds."""
     order = [F.col("total").desc(), F.col("term").asc()]
-    salts = salts or shuffle_parts(dfs)
-    salted = dfs.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(salts)))
-    w1 = Window.partitionBy("batch", "_salt").orderBy(*order)
-    part = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= max_features)
+    dfs = cut_lineage(dfs)
+    parts = dfs.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / F.lit(terms_per_sort)).alias("_parts"))
+    split = dfs.join(parts, "batch").withColumn("_part", F.pmod(F.xxhash64("term"), F.col("_parts"))).drop("_parts")
+    w1 = Window.partitionBy("batch", "_part").orderBy(*order)
+    part = split.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= max_features)
     w2 = Window.partitionBy("batch").orderBy(*order)
-    return (part.drop("_salt", "_r").withColumn("vrank", F.row_number().over(w2))
+    return (part.drop("_part", "_r").withColumn("vrank", F.row_number().over(w2))
             .filter(F.col("vrank") <= max_features))
 
 
