@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,12 +106,13 @@ def count_ngrams(texts: DataFrame, alphabet: list[int], order: int = ORDER) -> D
         import numpy as np
 
         symbols = Symbols(alphabet)
-        total = np.zeros(1 << (BITS * order), dtype=np.int64)
+        total = np.zeros(1 << (BITS * order), dtype=np.uint32)  # a task has fewer symbols than 2^32
         for part in _texts(batches):
             codes, _ = symbols.codes(part, order)
             np.add.at(total, codes, 1)  # in place: no second array of that size
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen].astype(np.int64))],
+                                         names=["code", "n"])
 
     return (texts.select("text").mapInArrow(run, "code int, n long")
             .groupBy("code").agg(F.sum("n").alias("n")))
@@ -153,29 +155,24 @@ class Model:
     def __init__(self, alphabet, levels):
         self.alphabet = alphabet
         self.levels = levels  # (codes, p, contexts, w) by order
-        self._log = None
 
     def log_probabilities(self):
+        """By code, as one array of 2^(6 x order) floats, made in place."""
         import numpy as np
 
-        if self._log is None:
-            lower = np.full(1, 1.0 / (1 << BITS))  # order 0: uniform
-            for k, (codes, p, contexts, w) in enumerate(self.levels, 1):
-                weight = np.ones(1 << (BITS * (k - 1)), dtype=np.float32)
-                weight[contexts] = w
-                if k == 1:
-                    here = np.full(1 << BITS, lower[0] * weight[0], dtype=np.float32)
-                else:
-                    # context (a, rest), symbol c: back off to (rest, c)
-                    rest = lower.reshape(-1, 1 << BITS)
-                    here = (weight.reshape(1 << BITS, -1, 1) * rest[None]).reshape(-1).astype(np.float32)
-                here[codes] += p
-                lower = here
-            self._log = np.log(np.maximum(lower, np.float32(1e-12)), dtype=np.float32)
-        return self._log
-
-    def __getstate__(self):
-        return self.__dict__ | {"_log": None}
+        lower = np.full(1, 1.0 / (1 << BITS), dtype=np.float32)  # order 0: uniform
+        for k, (codes, p, contexts, w) in enumerate(self.levels, 1):
+            weight = np.ones(1 << (BITS * (k - 1)), dtype=np.float32)
+            weight[contexts] = w
+            if k == 1:
+                here = np.full(1 << BITS, lower[0] * weight[0], dtype=np.float32)
+            else:
+                # context (a, rest), symbol c: back off to (rest, c)
+                here = (weight.reshape(1 << BITS, -1, 1) * lower.reshape(-1, 1 << BITS)[None]).reshape(-1)
+            here[codes] += p
+            lower = here
+        np.maximum(lower, np.float32(1e-12), out=lower)
+        return np.log(lower, out=lower)
 
 
 def train(texts: DataFrame) -> Model:
@@ -192,39 +189,37 @@ def train(texts: DataFrame) -> Model:
     return Model(alphabet, levels)
 
 
-_SCORERS: dict = {}
-
-
 def log_probability(spark: SparkSession, model: Model, text):
     """Log-probability of a text column; null where the text is null or empty."""
     shared = spark.sparkContext.broadcast(model)
-    key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
 
     @F.pandas_udf("double")
-    def score(texts):
-        import numpy as np
-        import pandas as pd
-
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = (Symbols(shared.value.alphabet), shared.value.log_probabilities())
-        symbols, logs = _SCORERS[key]
-        out, values = [], texts.fillna("").tolist()
-        while values:
-            size = take = 0
-            while take < len(values) and size < BATCH_SYMBOLS:
-                size += len(values[take])
-                take += 1
-            codes, lengths = symbols.codes(values[:take])
-            del values[:take]
-            ends = np.r_[0, np.cumsum(logs[codes], dtype=np.float64)][np.r_[0, np.cumsum(lengths)]]
-            out.append(np.where(lengths > 0, np.diff(ends), np.nan))
-        found = pd.Series(np.concatenate(out) if out else [], dtype="float64")
-        return found.where(found.notna(), None)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # the dense table is a task's own: a worker that waits for other work holds none
+        symbols, logs = Symbols(shared.value.alphabet), shared.value.log_probabilities()
+        for texts in batches:
+            yield _scores(texts, symbols, logs)
 
     return score(text)
 
 
+def _scores(texts: pd.Series, symbols: Symbols, logs) -> pd.Series:
+    import numpy as np
+
+    out, values = [], texts.fillna("").tolist()
+    while values:
+        size = take = 0
+        while take < len(values) and size < BATCH_SYMBOLS:
+            size += len(values[take])
+            take += 1
+        codes, lengths = symbols.codes(values[:take])
+        del values[:take]
+        ends = np.r_[0, np.cumsum(logs[codes], dtype=np.float64)][np.r_[0, np.cumsum(lengths)]]
+        out.append(np.where(lengths > 0, np.diff(ends), np.nan))
+    found = pd.Series(np.concatenate(out) if out else [], dtype="float64")
+    return found.where(found.notna(), None)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Identifiers that labels call good and none calls bad or toxic."""
     return (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("t_id"))
