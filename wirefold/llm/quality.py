@@ -1,17 +1,13 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: the ``ALPHABET`` most frequent characters of the
-trusted text, one symbol for all others and one for the start, so an n-gram of
-``ORDER`` symbols is a code of ``ORDER * 6`` bits and every table has a proven
-bound (at most 2^24 rows at order 4, whatever the size of the corpus).
-
-Counting reads every trusted document: tasks count their own n-grams, and the
-counts are summed by code over hash shards, so what is gathered grows with the
-input. Continuation counts, context totals and discounts are joins and
-aggregates of those sharded tables. The joined table (seen n-grams and the
-back-off weights of contexts) is broadcast under that bound to score all
-documents in one narrow pass. A shuffled join of each document's n-grams
-instead would move several times the input; the README has the figures.
+The model (``wirefold.llm.ngrams``) is over sequences of six characters of any
+script. Its tables grow with the trusted text and stay sharded by n-gram:
+counts, continuation counts, discounts and the scores of documents come from
+joins of them; nothing of the model goes through the driver or a broadcast. Each
+document is scored by the model of trusted text of the other half of identifiers.
+
+``train`` and ``Model`` here are the dense model of order 4 over 64 symbols,
+kept for texts that fit one process; no registered query uses it.
 
 A document is rejected when its perplexity exceeds the quantile that trusted
 documents of its language have. A text's mean log-probability is taken with
@@ -28,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirefold.llm import ngrams
 from wirefold.llm.common import broadcast_if_small, stored, table
 
 ORDER = 4
@@ -228,6 +225,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
             .filter("q = 1 AND t = 0").select("t_id"))
 
 
+def cross_scores(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (t_id, text and others) with lp instead of the text. A hash of
+    the identifier deals rows into two halves; each is scored by the model of
+    the other half's trusted text, so that no document is judged by a model
+    that has read it. If a half has no trusted text, both have one model."""
+    side = F.pmod(F.xxhash64("t_id"), F.lit(2))
+    trusted = rows.filter("length(text) > 0").join(ids, "t_id")
+    sides = {r["side"] for r in trusted.select(side.alias("side")).distinct().collect()}
+    if len(sides) < 2:
+        return stored(ngrams.score(rows, *ngrams.train(trusted, discounts)), "scores")
+    halves = [stored(ngrams.score(rows.filter(side == i), *ngrams.train(trusted.filter(side != i), discounts)), "scores")
+              for i in (0, 1)]
+    return halves[0].unionAll(halves[1])
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id",
                   text_col: str = "text", lang_col: str = "lang", prior_chars: float = PRIOR_CHARS) -> DataFrame:
     """Rows of ``docs`` with __perplexity, __threshold and __kept added.
@@ -240,12 +252,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     """
     spark = docs.sparkSession
     ids = broadcast_if_small(stored(trusted_ids(labels), "trusted"))
-    slim = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("t_lang"))
-    trusted = slim.filter("text IS NOT NULL").join(ids, "t_id")
-    model = train(trusted)
-    raw = stored(trusted.select("t_lang", F.char_length("text").alias("n"),
-                                log_probability(spark, model, F.col("text")).alias("lp"))
-                 .filter("lp IS NOT NULL"), "trusted-scores")
+    key = F.xxhash64(F.col(text_col))
+    slim = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("t_lang"),
+                       key.alias("t_key"))
+    scores = cross_scores(slim.withColumn("n", F.char_length("text")), ids)
+    raw = scores.join(ids, "t_id").filter("lp IS NOT NULL")
     mean = raw.agg((F.sum("lp") / F.sum("n")).alias("m")).first()["m"]
     weight = prior_chars if mean is not None else 0.0
     perplexity = lambda lp, n: F.exp(-(lp + F.lit(weight * (mean or 0.0))) / (n + F.lit(float(weight))))
@@ -254,8 +265,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     by_lang = good.groupBy("t_lang").agg(cut.alias("cut"))
     overall = good.agg(cut.alias("cut")).first()["cut"]
     thresholds = broadcast_if_small(stored(by_lang, "thresholds"))
-    scored = (docs.withColumn("__lp", log_probability(spark, model, F.col(text_col)))
-              .withColumn("__perplexity", perplexity(F.col("__lp"), F.char_length(text_col))).drop("__lp"))
+    # a row's score by identifier and text: repeated rows have one score
+    once = stored(scores.groupBy(F.col("t_id").alias("s_id"), F.col("t_key").alias("s_key"))
+                  .agg(F.first("lp").alias("s_lp")), "scores")
+    scored = (docs.join(broadcast_if_small(once), F.col(id_col).eqNullSafe(F.col("s_id")) & (key == F.col("s_key")), "left")
+              .withColumn("__perplexity", perplexity(F.col("s_lp"), F.char_length(text_col))).drop("s_id", "s_key", "s_lp"))
     joined = scored.join(thresholds, F.col(lang_col).eqNullSafe(F.col("t_lang")), "left")
     limit = F.coalesce(F.col("cut"), F.lit(overall).cast("double"), F.lit(float("inf")))
     return (joined.withColumn("__threshold", limit)
