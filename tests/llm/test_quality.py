@@ -93,3 +93,12 @@ def test_rejects_bad_and_keeps_good(spark):
              .groupBy("quality").agg(F.avg(F.coalesce("k", F.lit(0))).alias("kept")).collect())
     share = {r["quality"]: r["kept"] for r in found}
     assert share[1] >= 0.95 and share[0] <= 0.5, share
+
+
+def test_most_toxic_rows_do_not_stay_by_chance(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality_stage(spark, docs, d).select("doc_id", F.lit(1).alias("k"))
+    share = (labels.filter("toxic = 1 AND quality = 1").join(kept, "doc_id", "left")
+             .agg(F.avg(F.coalesce("k", F.lit(0)))).first()[0])
+    assert share <= 0.7, share

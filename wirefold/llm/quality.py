@@ -31,7 +31,7 @@ ORDER = 4
 BITS = 6
 ALPHABET = (1 << BITS) - 2
 #: Share of trusted documents of a language that stay.
-QUANTILE = 0.99
+QUANTILE = 0.97
 #: Characters at the mean of trusted text that are added to each text.
 PRIOR_CHARS = 50
 #: Symbols counted or scored at a time.
