@@ -64,3 +64,14 @@ def test_rows(docs_frame, edge_rows):
     one = next(r for r in out if r["doc_id"] == 50)
     assert (one["n_email"], one["n_ip"], one["spans"]) == (1, 1, "email:5:24,ip:28:36")
     assert base_digest(one["base_spans"]) and find_personal_data(docs_frame([])).count() == 0
+
+
+def test_accounts_reach_their_end():
+    cases = [("IBAN: DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+             ("IBAN DE89 3704 0044 0532 0130 00 BIC", "DE89 3704 0044 0532 0130 00"),
+             ("iban: GB82 WEST 1234 5698 7654 32 AND MORE", "GB82 WEST 1234 5698 7654 32"),
+             ("IBAN: GB82WEST12345698765432号", "GB82WEST12345698765432"), ("IBAN: GB82WEST12345698765432abc", "GB82WEST12345698765432"),
+             ("api_key=" + "a1" * 100 + " end", "a1" * 100), ("token: " + "7" * 50_000, "7" * 50_000)]
+    for text, want in cases:
+        assert [text[a:b] for a, b in find_spans(text, AUTOMATON)["account"]] == [want], text[:60]
+    assert find_spans("IBAN: DE89370400440532013001 BIC", AUTOMATON)["account"] == []

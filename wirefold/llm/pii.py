@@ -37,8 +37,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 AUTHORITY = re.compile(r"[^\s/?#\"'<>]+")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){2,8}")
-CUE_VALUE = re.compile(r"""[ \t]{0,3}(?:[:=#]|is)?[ \t]{0,3}["']?([A-Za-z0-9][A-Za-z0-9_-]{5,127})""")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+CUE_VALUE = re.compile(r"""[ \t]{0,3}(?:[:=#]|is)?[ \t]{0,3}["']?([A-Za-z0-9][A-Za-z0-9_-]{5,}+)""")
 
 
 def luhn(digits: str) -> bool:
@@ -59,6 +59,21 @@ def iban_ok(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int:
+    """End of the longest valid IBAN at ``start`` that ends before a character
+    that is no capital or digit, or else at a blank; 0 if there is none."""
+    m = IBAN.match(text, start)
+    end = m.end() if m else start
+    while end - start >= 15:
+        after = text[end:end + 1]
+        if not (after.isascii() and (after.isdigit() or after.isupper())) and iban_ok(text[start:end]):
+            return end
+        end -= 1
+        while end > start and text[end - 1] == " ":
+            end -= 1
+    return 0
+
+
 def build_automaton():
     import ahocorasick
 
@@ -126,9 +141,9 @@ def find_spans(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
                 continue
             if text[start:at + 1].lower() == "iban":
                 skip = re.compile(r"[\s:=#]{0,4}").match(text, at + 1).end()
-                if (m := IBAN.match(text, skip)) and iban_ok(m.group()):
-                    end_of["account"] = m.end()
-                    out["account"].append(m.span())
+                if end := iban_end(text, skip):
+                    end_of["account"] = end
+                    out["account"].append((skip, end))
             elif (m := CUE_VALUE.match(text, at + 1)) and sum(c.isdigit() for c in m.group(1)) >= 4:
                 end_of["account"] = m.end(1)
                 out["account"].append(m.span(1))
