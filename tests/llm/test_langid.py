@@ -60,3 +60,20 @@ def test_held_out_accuracy(spark):
     held = out.filter("held_out AND n >= 40")
     right = held.filter("lang = lang_pred").count() / held.count()
     assert right >= 0.95
+
+
+def test_languages_of_many_scripts_and_labels(docs_frame):
+    # 110 labels with 4 letters each: more letters and labels than one small alphabet or list holds
+    own = {f"l{i:03}": [chr(0x4E00 + 4 * i + k) for k in range(4)] for i in range(110)}
+    rnd = random.Random(4)
+    rows = [(n, "".join(rnd.choice(letters) for _ in range(40)), lang)
+            for n, (lang, letters) in enumerate([x for x in own.items() for _ in range(12)])]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_language(docs_frame(rows)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_sparse_transitions_equal_dense_ones(monkeypatch):
+    texts = [A[10:90], B[5:70], "zzz foo the fox qqq ж", A + B]
+    dense = Parser((("a", A), ("b", B))).costs(texts)[0]
+    monkeypatch.setattr("wirefold.llm.langid.DENSE_CELLS", 0)
+    assert (Parser((("a", A), ("b", B))).costs(texts)[0] == dense).all()

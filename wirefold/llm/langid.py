@@ -13,7 +13,6 @@ parsed in blocks of ``BLOCK`` symbols, all blocks of a batch side by side.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,11 +22,11 @@ from pyspark.sql import functions as F
 
 from wirefold.llm.common import table
 
-#: Bounds of the sample: documents and characters of a language, characters of
-#: all languages together, and languages (the most frequent ones).
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MAX_LANGUAGES = 48, 40_000, 800_000, 100
-#: Letters with a symbol of their own; others share one.
-ALPHABET = 60
+#: Bounds of the sample: documents and characters of a language, and characters
+#: of all languages together (at least one character of each).
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 48, 40_000, 800_000
+#: Cells up to which an automaton's transitions are a dense table.
+DENSE_CELLS = 1 << 23
 #: Symbols of a block, and characters that are parsed at a time.
 BLOCK, BATCH_CHARS = 256, 3_000_000
 
@@ -90,34 +89,65 @@ class Parser:
 
         self.langs = [lang for lang, _ in samples]
         letters = letter_table()
-        seen = Counter()
-        for _, text in samples:
-            cps = letters[code_points(text)]
-            seen.update(dict(zip(*(x.tolist() for x in np.unique(cps[cps > 0], return_counts=True)), strict=True)))
-        own = sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]
-        rank = np.full(0x110000, OTHER, dtype=np.uint8)
-        rank[own] = np.arange(FIRST, FIRST + len(own), dtype=np.uint8)
+        own = np.unique(np.concatenate([np.zeros(0, np.int32), *(letters[code_points(text)] for _, text in samples)]))
+        own = own[own > 0]
+        rank = np.full(0x110000, OTHER, dtype=np.int32)
+        rank[own] = np.arange(FIRST, FIRST + len(own), dtype=np.int32)
         rank[0] = SPACE
         self.symbol_of = rank[letters]  # letters[i] is 0 for all that is no letter
         self.width = FIRST + len(own)
         self.tables, self.weights = [], []
         for _, text in samples:
             symbols = self.symbols(text)
-            states = suffix_automaton([s for s in symbols.tolist() if s != OTHER])
-            table_ = np.full((len(states), self.width), -1, dtype=np.int32)
-            for i, moves in enumerate(states):
-                for c, to in moves.items():
-                    table_[i, c] = to
-            start = np.maximum(table_[0], 0)  # a symbol that never occurs is a phrase by itself
-            # value: four times the offset of the next state's row, plus the phrases that end
-            # at this symbol: the one before it, and the symbol itself if the sample lacks it
-            ends, lacks = table_ < 0, (table_[0] < 0).astype(np.int32)
-            step = np.where(ends, start * self.width * 4 + 1 + lacks, table_ * self.width * 4)
-            step[0] = start * self.width * 4 + lacks
-            step[:, PAD] = np.arange(len(states)) * self.width * 4
-            self.tables.append(step.astype(np.int32).ravel())
+            self.tables.append(self._automaton(symbols))
             self.weights.append(max(1.0, float(np.log2(max(2, len(symbols))))))
 
+    def _automaton(self, symbols):
+        """(column of each symbol, width, dense steps, sparse transitions): a
+        language's columns are PAD, what its sample lacks, and each of its symbols."""
+        import numpy as np
+
+        present = np.unique(symbols)
+        column = np.ones(self.width, dtype=np.int32)
+        column[PAD] = 0
+        column[present] = np.arange(2, 2 + len(present), dtype=np.int32)
+        width = 2 + len(present)
+        states = suffix_automaton(column[symbols].tolist())
+        if len(states) * width > DENSE_CELLS:
+            moves = sorted((i * width + c, to) for i, row in enumerate(states) for c, to in row.items())
+            keys, to = (np.array(x, dtype=np.int64) for x in zip(*moves, strict=True))
+            start = np.zeros(width, dtype=np.int64)
+            start[list(states[0])] = list(states[0].values())
+            return column, width, None, (keys, to, start)
+        table_ = np.full((len(states), width), -1, dtype=np.int32)
+        for i, row in enumerate(states):
+            for c, to in row.items():
+                table_[i, c] = to
+        start = np.maximum(table_[0], 0)  # a symbol that never occurs is a phrase by itself
+        # value: four times the offset of the next state's row, plus the phrases that end
+        # at this symbol: the one before it, and the symbol itself if the sample lacks it
+        ends, lacks = table_ < 0, (table_[0] < 0).astype(np.int32)
+        step = np.where(ends, start * width * 4 + 1 + lacks, table_ * width * 4)
+        step[0] = start * width * 4 + lacks
+        step[:, PAD] = np.arange(len(states)) * width * 4
+        return column, width, step.astype(np.int32).ravel(), None
+
+    @staticmethod
+    def _sparse_counts(columns, column, width: int, keys, to, start):
+        import numpy as np
+
+        state = np.zeros(columns.shape[1], dtype=np.int64)
+        count = np.zeros(columns.shape[1], dtype=np.int32)
+        for symbols in columns:
+            c = column.take(symbols)
+            asked = state * width + c
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            ends, real = keys[at] != asked, c != PAD
+            count += real & ends & (state > 0)
+            count += c == 1
+            state = np.where(real, np.where(ends, start[c], to[at]), state)
+        return count + (state > 0)
+
     def symbols(self, text: str):
         import numpy as np
 
@@ -136,21 +166,24 @@ class Parser:
         letters = np.array([bool((p > SPACE).any()) for p in parts], dtype=bool)
         blocks = -(-lengths // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        grid = np.zeros((len(owner), BLOCK), dtype=np.uint8)
+        grid = np.zeros((len(owner), BLOCK), dtype=np.int32)
         row = 0
         for p, n in zip(parts, blocks.tolist(), strict=True):
             grid[row:row + n].reshape(-1)[:len(p)] = p
             row += n
-        columns = np.ascontiguousarray(grid.T).astype(np.int32)
+        columns = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.langs)))
-        for j, (step, weight) in enumerate(zip(self.tables, self.weights, strict=True)):
-            state = np.zeros(len(owner), dtype=np.int32)
-            count = np.zeros(len(owner), dtype=np.int32)
-            for c in columns:
-                value = step.take(state + c)
-                count += value & 3
-                state = value >> 2
-            count += state > 0  # the phrase that was open at the end
+        for j, ((column, width, step, sparse), weight) in enumerate(zip(self.tables, self.weights, strict=True)):
+            if step is None:
+                count = self._sparse_counts(columns, column, width, *sparse)
+            else:
+                state = np.zeros(len(owner), dtype=np.int32)
+                count = np.zeros(len(owner), dtype=np.int32)
+                for c in columns:
+                    value = step.take(state + column.take(c))
+                    count += value & 3
+                    state = value >> 2
+                count += state > 0  # the phrase that was open at the end
             out[:, j] = np.bincount(owner, weights=count, minlength=len(texts)) * weight
         return out / np.maximum(lengths, 1)[:, None], lengths, letters
 
@@ -166,15 +199,14 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     order of a hash of their id until the bound on characters is met (a first
     document that is longer is cut there)."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = [r["lang"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count()
-             .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    langs = labelled.select(lang_col).distinct().count()
     if not langs:
         return ()
-    bound = min(train_chars, TRAIN_TOTAL // len(langs))
+    bound = max(1, min(train_chars, TRAIN_TOTAL // langs))
     ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"),
-                          F.xxhash64(id_col).alias("h")).filter(F.col("lang").isin(langs))
+                          F.xxhash64(id_col).alias("h"))
     first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = (ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= train_docs)
+    chosen = (ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= min(train_docs, bound))
               .select(F.col("lang").alias("c_lang"), F.col("id").alias("c_id"), "n"))  # bounded: docs x languages
     rows = (labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"),
                             F.substring(F.col(text_col), 1, bound + 1).alias("text"))
