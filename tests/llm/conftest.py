@@ -23,3 +23,8 @@ EDGE_ROWS = [
 @pytest.fixture
 def edge_rows():
     return list(EDGE_ROWS)
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return "/root/testdata/sf0.001"
