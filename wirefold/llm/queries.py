@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wirefold.llm import (clustering, decontaminate, exact_dedup, langid, packing, pii, quality, sentencepieces, simhash,
-                          tool_calls, url_filter, warc)
+from wirefold.llm import (clustering, conversation_repair, decontaminate, exact_dedup, langid, packing, pii, quality,
+                          sentencepieces, simhash, tool_calls, url_filter, warc)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
+    "op11_repair": conversation_repair.op11_repair,
     "op12_pieces": sentencepieces.op12_pieces,
     "op13_centroids": clustering.op13_centroids,
 }
