@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from wirefold.functions import markup as M
 from wirefold.functions import text as T
 
 
@@ -57,7 +58,7 @@ def test_resolve_link(spark):
 
 
 def test_anchor_text(spark):
-    assert _one(spark, T.node_text_joined(F.lit("Bu <b>uzun</b> satır"))) == "Buuzunsatır"
+    assert _one(spark, M.node_text_joined(F.lit("Bu <b>uzun</b> satır"))) == "Buuzunsatır"
 
 
 def test_render(spark):

@@ -48,12 +48,6 @@ ENTITY_RX = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 NAMED_ENTITIES = {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}
 
 
-# The rest of a tag's attributes: ">" ends it outside quoted values only. A tag
-# starts with a letter, "/", "!" or "?"; another "<" is text.
-ATTRIBUTES = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
-TAG_RX = r"<[A-Za-z/!?]" + ATTRIBUTES + ">"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -200,35 +194,6 @@ def decode_entities(c) -> Column:
     return F.when(F.size(parts) <= 1, t).otherwise(F.concat(F.element_at(parts, 1), F.array_join(tail, "")))
 
 
-def strip_scripts(markup) -> Column:
-    """Remove comments, <script> and <style> elements (their text is not text)."""
-    h = blank_to_empty(markup)
-    h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
-    h = F.regexp_replace(h, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
-    h = F.regexp_replace(h, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
-    return h
-
-
-def html_to_text(markup) -> Column:
-    """Text of an HTML fragment with a space between text nodes.
-
-    Regex form: comments, scripts and styles go first, then every tag (">"
-    inside quoted values does not end it) becomes a space, then references are
-    decoded. Broken markup that a repairing parser would fix is outside this form.
-    """
-    h = strip_scripts(markup)
-    h = F.regexp_replace(h, TAG_RX, " ")
-    return decode_entities(h)
-
-
-def node_text_joined(inner_html) -> Column:
-    """Anchor text as ``get_text(strip=True)``: each text node decoded and
-    stripped, empty ones dropped, joined with no separator."""
-    pieces = F.split(blank_to_empty(inner_html), TAG_RX)
-    stripped = F.transform(pieces, lambda p: ws_trim(decode_entities(p)))
-    return F.array_join(F.filter(stripped, lambda p: p != ""), "")
-
-
 def tokens(normalized) -> Column:
     """Runs of two or more word characters; after ``normalize`` that is
     'split on the single space, keep length >= 2'."""

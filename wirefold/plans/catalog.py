@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirefold.functions import markup as M
 from wirefold.functions import text as T
 from wirefold.operators import dedup as D
 from wirefold.operators import select as SEL
@@ -325,7 +326,7 @@ def q_keyword_flag(spark, sf):
 @register("html_to_text", f"SELECT page_id, {Q.clean(Q.html_to_text('html'), 1_000_000_000)} AS text FROM pages")
 def q_html_to_text(spark, sf):
     p = TB.table(spark, sf, "pages")
-    return p.select("page_id", T.clean_text(T.html_to_text(F.col("html")), 1_000_000_000).alias("text"))
+    return p.select("page_id", T.clean_text(M.html_to_text(F.col("html")), 1_000_000_000).alias("text"))
 
 
 @register("rewrite_path", f"""

@@ -3,6 +3,7 @@ column functions, written for DuckDB so that results can be compared)."""
 
 from __future__ import annotations
 
+from wirefold.functions import markup as M
 from wirefold.functions import text as T
 
 
@@ -93,20 +94,16 @@ def decode_entities(x: str) -> str:
     return f"(CASE WHEN NOT contains({t}, '&') THEN {t} ELSE string_split({t}, '&')[1] || array_to_string({one}, '') END)"
 
 
-def strip_scripts(h: str) -> str:
-    h = f"regexp_replace(coalesce({h}, ''), '(?s)<!--.*?-->', ' ', 'g')"
-    h = f"regexp_replace({h}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g')"
-    h = f"regexp_replace({h}, '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
-    return h
+_MARKUP = "(?is)" + M.markup_rx("")  # this engine has no possessive sign and needs none
 
 
 def html_to_text(h: str) -> str:
-    return decode_entities(f"regexp_replace({strip_scripts(h)}, {q(T.TAG_RX)}, ' ', 'g')")
+    return decode_entities(f"regexp_replace(coalesce({h}, ''), {q(_MARKUP)}, ' ', 'g')")
 
 
 def node_text_joined(inner: str) -> str:
     return ("array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(" + inner +
-            f", ''), {q(T.TAG_RX)}), lambda p: " + ws_trim(decode_entities("p")) + "), lambda p: p <> ''), '')")
+            f", ''), {q(_MARKUP)}), lambda p: " + ws_trim(decode_entities("p")) + "), lambda p: p <> ''), '')")
 
 
 def terms_of(norm_expr: str) -> str:
@@ -166,22 +163,25 @@ items AS (SELECT doc_id, source, text, lang, rn AS pos,
                  {corpus('NULL', 'text')} AS norm FROM _d)"""
 
 
-from wirefold.sources.extract import ANCHOR_INNER_RX, ANCHOR_RX, ANCHOR_TAG_RX, ATTRIBUTE_RX  # noqa: E402
+_ATTRIBUTE = M.ATTRIBUTE.replace("++", "+").replace("*+", "*")
 
 
 def anchors_ctes(pages_sql: str = "SELECT page_id AS source_id, url AS page_url, html AS body FROM pages") -> str:
     """CTEs ending in ``anchors(source_id, page_url, pos, href, text)``."""
-    tag = f"regexp_extract(w, {q(ANCHOR_TAG_RX)}, 1)"
+    rx = f"(?is)({M.anchor_rx('')})|({M.markup_rx('')})"
+    tag = "split_part(w, chr(2), 1)"
+    plain = "translate(coalesce(body, ''), chr(1) || chr(2), '')"
+    marked = f"regexp_replace({plain}, {q(rx)}, chr(1) || '\\1' || chr(2) || '\\2', 'g')"
     return f"""
-_pg AS (SELECT source_id, page_url, {strip_scripts('body')} AS h FROM ({pages_sql})),
-_an0 AS (SELECT source_id, page_url, regexp_extract_all(h, {q(ANCHOR_RX)}) AS ws FROM _pg),
-_an1 AS (SELECT source_id, page_url, unnest(generate_series(1, len(ws))) AS k, unnest(ws) AS w FROM _an0),
-_an2 AS (SELECT *, regexp_extract_all({tag}, {q(ATTRIBUTE_RX)}, 1) AS ns, regexp_extract_all({tag}, {q(ATTRIBUTE_RX)}, 2) AS vs FROM _an1),
+_pg AS (SELECT source_id, page_url, string_split(replace({marked}, chr(1) || chr(2), ''), chr(1))[2:] AS ws FROM ({pages_sql})),
+_an1 AS (SELECT source_id, page_url, unnest(generate_series(1, len(ws))) AS k, unnest(ws) AS w FROM _pg),
+_an2 AS (SELECT *, regexp_extract_all({tag}, {q(_ATTRIBUTE)}, 1) AS ns, regexp_extract_all({tag}, {q(_ATTRIBUTE)}, 2) AS vs
+         FROM _an1 WHERE NOT starts_with(w, '</')),
 _an3 AS (SELECT *, vs[list_position(list_transform(ns, lambda n: lower(n)), 'href')] AS v FROM _an2),
 _an AS (SELECT source_id, page_url, w, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS pos,
                CASE WHEN v[1] IN ('"', chr(39)) THEN substring(v, 2, length(v) - 2) ELSE v END AS raw FROM _an3 WHERE v IS NOT NULL),
 anchors AS (SELECT source_id, page_url, pos, {decode_entities('raw')} AS href,
-                   {node_text_joined(f"regexp_extract(w, {q(ANCHOR_INNER_RX)}, 2)")} AS text FROM _an)"""
+                   {node_text_joined("substring(w, instr(w, chr(2)) + 1)")} AS text FROM _an)"""
 
 
 def page_links_ctes(min_title: int = 15, limit: int = 15, out: str = "links") -> str:

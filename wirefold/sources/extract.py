@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirefold.functions import markup as M
 from wirefold.functions import text as T
 
 FEED_LIMIT = 15
@@ -31,24 +32,9 @@ FEED_SCHEMA = (f"channel STRUCT<item: {_ITEM}>, item {_ITEM}, "
                "entry ARRAY<STRUCT<title: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, "
                "summary: STRING, published: STRING, updated: STRING>>")
 
-# A whole anchor that has attributes, its tag alone, and an attribute with a value.
-ANCHOR_RX = r"(?is)<a\s" + T.ATTRIBUTES + r">.*?</a\s*>"
-ANCHOR_TAG_RX = r"(?is)^<a(\s" + T.ATTRIBUTES + r")>"
-ANCHOR_INNER_RX = ANCHOR_TAG_RX + r"(.*)</a\s*>$"
-ATTRIBUTE_RX = r"""(?is)[\s"']([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-
-
-def class_tag(name: str, token: str) -> str:
-    """Regex of a start tag with ``token`` among its classes, in any attribute
-    order; group 1 is the tag's name."""
-    value = r"""(?:"(?:[^"]*\s)?%s(?:\s[^"]*)?"|'(?:[^']*\s)?%s(?:\s[^']*)?')""" % (token, token)
-    return f"(?is)<({name})(?:\\s{T.ATTRIBUTES})?\\sclass\\s*=\\s*{value}{T.ATTRIBUTES}>"
-
-
-ANY_TAG = "[a-z][a-z0-9]*"
-POST_BLOCK_RX = class_tag(ANY_TAG, "timeline-item")
-POST_CONTENT_RX = class_tag(ANY_TAG, "tweet-content")
-POST_LINK_RX = class_tag("a", "tweet-link")
+POST_BLOCK, POST_CONTENT, POST_LINK = "timeline-item", "tweet-content", "tweet-link"
+#: Put before a block's first part (no character of HTML).
+BLOCK = "\x03"
 
 ITEM_COLUMNS = ["source_type", "source_id", "pos", "title", "content", "url",
                 "published_at", "is_column"]
@@ -91,7 +77,7 @@ def feed_items(feeds: DataFrame, limit: int = FEED_LIMIT, id_col: str = "source_
     items = e.select(
         F.lit("rss").alias("source_type"), "source_id", "pos",
         title.alias("title"),
-        F.when(body != "", T.clean_text(T.html_to_text(body))).otherwise(F.lit("")).alias("content"),
+        F.when(body != "", T.clean_text(M.html_to_text(body))).otherwise(F.lit("")).alias("content"),
         link.alias("url"),
         F.nullif(T.first_nonempty(F.col("it.pubDate"), F.col("it.updated")), F.lit("")).alias("published_at"),
     ).filter((F.col("url") != "") & (F.col("title") != ""))
@@ -99,31 +85,17 @@ def feed_items(feeds: DataFrame, limit: int = FEED_LIMIT, id_col: str = "source_
         .select(*ITEM_COLUMNS)
 
 
-def attribute(tag, name: str):
-    """Value of an attribute of a start tag (its text from the first space on),
-    NULL if there is none. Quoted values are consumed whole, so names inside
-    them and names that only end alike (``data-href``) don't count."""
-    names = F.regexp_extract_all(tag, F.lit(ATTRIBUTE_RX), 1)
-    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE_RX), 2)
-    found = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.lower(x["n"]) == name)
-    value = F.get(found, F.lit(0))["v"]
-    quoted = value.startswith('"') | value.startswith("'")
-    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-
-
 def anchors(pages: DataFrame, id_col: str = "source_id", url_col: str = "url",
             body_col: str = "body") -> DataFrame:
     """(source_id, page_url, pos, href, text): every anchor with an href, in
     document order; text = decoded, stripped text nodes joined with ''. One
-    regex pass over a page finds the anchors; the rest reads those short texts."""
-    h = T.strip_scripts(F.col(body_col))
-    found = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("page_url"),
-                         F.regexp_extract_all(h, F.lit(ANCHOR_RX), 0).alias("whole"))
-    parts = F.transform("whole", lambda w: F.struct(
-        attribute(F.regexp_extract(w, ANCHOR_TAG_RX, 1), "href").alias("href"), w.alias("w")))
-    a = found.select("source_id", "page_url", F.posexplode(F.filter(parts, lambda x: x["href"].isNotNull())).alias("pos", "a"))
+    pass over a page cuts it at its anchors; the rest reads those short parts."""
+    parts = F.transform(M.anchor_parts(F.col(body_col)), lambda p: F.struct(
+        M.attribute(M.part_tag(p), "href").alias("href"), p.alias("part")))
+    a = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("page_url"),
+                     F.posexplode(F.filter(parts, lambda x: x["href"].isNotNull())).alias("pos", "a"))
     return a.select("source_id", "page_url", "pos", T.decode_entities(F.col("a.href")).alias("href"),
-                    T.node_text_joined(F.regexp_extract("a.w", ANCHOR_INNER_RX, 2)).alias("text"))
+                    M.node_text_joined(M.part_rest(F.col("a.part"))).alias("text"))
 
 
 def page_links(pages: DataFrame, limit: int = PAGE_LIMIT, min_title: int = T.MIN_LINK_TITLE,
@@ -155,30 +127,16 @@ def links_of(a: DataFrame, limit: int = PAGE_LIMIT, min_title: int = T.MIN_LINK_
 
 def timeline_blocks(timelines: DataFrame, id_col: str = "source_id",
                     body_col: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(source_id, *keep, pos, block): the timeline item blocks in page order."""
-    parts = F.split(F.col(body_col), POST_BLOCK_RX)
-    return timelines.select(F.col(id_col).alias("source_id"), *keep,
-                            F.posexplode(F.slice(parts, 2, 1 << 30)).alias("pos", "block"))
-
-
-def element_html(block, start_rx: str):
-    """Markup inside the first element whose start tag matches: up to the end
-    tag that closes it, elements of the same name inside it counted; NULL if
-    there is no such element. Without that end tag, up to the block's end."""
-    tag = F.regexp_extract(block, start_rx, 0)
-    name = F.regexp_extract(block, start_rx, 1)
-    rest = F.substring(block, F.instr(block, tag) + F.length(tag), F.lit(1 << 30))
-    rx = F.concat(F.lit("(?i)</?"), name, F.lit(r"\b"))
-    marks, parts = F.regexp_extract_all(rest, rx, 0), F.split(rest, rx)
-    # open elements after each mark; the first mark that leaves none ends the element
-    state = F.aggregate(marks, F.struct(F.lit(1).alias("open"), F.lit(0).alias("taken")), lambda st, m: F.when(
-        st["open"] == 0, st).otherwise(F.struct(
-            (st["open"] + F.when(m.startswith("</"), F.lit(-1)).otherwise(F.lit(1))).alias("open"),
-            (st["taken"] + 1).alias("taken"))))
-    # taken marks separate the parts inside; a part after a mark begins inside that mark's tag
-    count = F.when(state["open"] == 0, state["taken"]).otherwise(F.size(parts))
-    inside = F.transform(F.slice(parts, 1, count), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("<x"), x)))
-    return F.when(tag != "", F.array_join(inside, ""))
+    """(source_id, *keep, pos, parts): the timeline item blocks in page order,
+    each as its parts (a unit of markup and the text behind it). A block
+    reaches up to the next one's start."""
+    starts = lambda p: ~p.startswith("</") & M.has_class(M.part_tag(p), POST_BLOCK)
+    parts = F.transform(M.marked_parts(F.translate(F.col(body_col), BLOCK, "")),
+                        lambda p: F.when(starts(p), F.concat(F.lit(BLOCK), p)).otherwise(p))
+    blocks = F.split(F.array_join(parts, M.OPEN), BLOCK)
+    return (timelines.select(F.col(id_col).alias("source_id"), *keep,
+                             F.posexplode(F.slice(blocks, 2, 1 << 30)).alias("pos", "block"))
+            .select("source_id", *keep, "pos", F.split("block", M.OPEN).alias("parts")))
 
 
 def timeline_posts(timelines: DataFrame, limit: int = POST_LIMIT, id_col: str = "source_id",
@@ -189,11 +147,13 @@ def timeline_posts(timelines: DataFrame, limit: int = POST_LIMIT, id_col: str =
     link path on the post host. Never flagged as a column. Elements are found
     by class token, whatever the order of attributes."""
     b = timeline_blocks(timelines, id_col, body_col, keep).filter(F.col("pos") < limit)
-    b = b.select("source_id", *keep, "pos", element_html(F.col("block"), POST_CONTENT_RX).alias("inner"),
-                 F.regexp_extract("block", POST_LINK_RX, 0).alias("tag"))
-    b = b.filter(F.col("inner").isNotNull() & (F.col("tag") != ""))
-    b = b.select("source_id", *keep, "pos", T.clean_text(T.html_to_text(F.col("inner"))).alias("content"),
-                 T.decode_entities(attribute(F.substring("tag", 3, 1 << 30), "href")).alias("path"))
+    link = F.filter("parts", lambda p: F.lower(F.substring(p, 1, 2)).eqNullSafe("<a") & M.has_class(M.part_tag(p), POST_LINK)
+                    & F.regexp_like(p, F.lit(r"^<[aA][\s/]")))
+    b = b.select("source_id", *keep, "pos", M.element_text(F.col("parts"), POST_CONTENT).alias("inner"),
+                 F.get(link, F.lit(0)).alias("link"))
+    b = b.filter(F.col("inner").isNotNull() & F.col("link").isNotNull())
+    b = b.select("source_id", *keep, "pos", T.clean_text(F.col("inner")).alias("content"),
+                 T.decode_entities(M.attribute(M.part_tag(F.col("link")), "href")).alias("path"))
     b = b.filter(F.col("content") != "")
     return b.select(
         F.lit("x").alias("source_type"), "source_id", *keep, "pos",
