@@ -23,6 +23,8 @@ from wirefold.session import cut_lineage
 SIMILARITY_THRESHOLD = 0.75
 MAX_FEATURES = 5000
 NGRAM_MAX = 2
+#: Rounding that a bound may be off by.
+SLACK = 1e-9
 
 
 def corpus(items: DataFrame, batch: str = "batch", pos: str = "pos",
@@ -95,10 +97,12 @@ def idf(vocab: DataFrame, counts: DataFrame) -> DataFrame:
                     .alias("idf")))
 
 
-def tfidf(docs: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
+def tfidf(docs: DataFrame, max_features: int | None = MAX_FEATURES, names: bool = True) -> DataFrame:
     """(batch, pos, term, df, weight): L2-normalised TF-IDF of each row, over
     the batch's ``max_features`` most frequent terms, or over all its terms
-    (None). Rows with no vocabulary term have no rows here."""
+    (None). Rows with no vocabulary term have no rows here. Without ``names``
+    a term is a number of its own instead of its text, so that later joins
+    carry eight bytes."""
     # dealt out by row before the terms multiply, in a fixed number of parts
     # (AQE would merge the small texts into a few tasks)
     docs = docs.repartition(shuffle_parts(docs), "batch", "pos")
@@ -106,8 +110,11 @@ def tfidf(docs: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame
     tf = cut_lineage(term_freq(docs))
     dfs = doc_freq(tf)
     vocab = idf(dfs if max_features is None else vocabulary(dfs, max_features), valid_counts(docs))
+    if not names:  # numbered in a written table: the numbers stay
+        vocab = cut_lineage(vocab.withColumn("number", F.monotonically_increasing_id()))
     raw = tf.join(vocab, ["batch", "term"]).select(
-        "batch", "pos", "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
+        "batch", "pos", (F.col("term") if names else F.col("number")).alias("term"), "df",
+        (F.col("tf") * F.col("idf")).alias("w"))
     row = Window.partitionBy("batch", "pos")
     return cut_lineage(raw.select("batch", "pos", "term", "df",
                                   (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(row))).alias("weight")))
@@ -128,16 +135,45 @@ def prefix_terms(weights: DataFrame, threshold: float) -> DataFrame:
     rarely indexed, which keeps the candidate join far from quadratic.
     """
     maxw = weights.groupBy("batch", "term").agg(F.max("weight").alias("maxw"))
-    w = (Window.partitionBy("batch", "pos")
-         .orderBy(F.col("df").desc(), F.col("term").desc())
+    row = Window.partitionBy("batch", "pos")
+    w = (row.orderBy(F.col("df").desc(), F.col("term").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rest_l2 = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))
     rest_mw = F.sum(F.col("weight") * F.col("maxw")).over(w)
     # small slack so rounding never drops a needed candidate
+    indexed = F.col("bound") >= F.lit(threshold - SLACK)
     return (weights.join(maxw, ["batch", "term"])
             .withColumn("bound", F.least(rest_l2, rest_mw))
-            .filter(F.col("bound") >= F.lit(threshold - 1e-9))
-            .select("batch", "pos", "term"))
+            .withColumn("rest", F.coalesce(F.max(F.when(~indexed, F.col("bound"))).over(row), F.lit(0.0)))
+            .filter(indexed).select("batch", "pos", "term", "weight", "rest"))
+
+
+def candidates(first: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+    """(batch, i, j): pairs i < j of rows of two indexes (``prefix_terms``)
+    that share an indexed term and whose cosine can reach the threshold: what
+    their indexed terms give, and at most the larger ``rest`` of the two. (Of
+    the two rows, take the one whose index ends earlier in the common order of
+    terms. Whatever they share beyond its index is in its own rest.)"""
+    a = first.select("batch", F.col("pos").alias("i"), "term", F.col("weight").alias("wi"), F.col("rest").alias("ri"))
+    b = later.select("batch", F.col("pos").alias("j"), "term", F.col("weight").alias("wj"), F.col("rest").alias("rj"))
+    return (a.join(b, ["batch", "term"]).filter(F.col("i") < F.col("j"))
+            .groupBy("batch", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("part"),
+                                            F.max(F.greatest("ri", "rj")).alias("rest"))
+            .filter(F.col("part") + F.col("rest") >= F.lit(threshold - SLACK)).select("batch", "i", "j"))
+
+
+def verified(cand: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """(batch, i, j, sim) of the candidates with cosine >= threshold, by exact
+    dot products; only rows of some candidate bring their weights."""
+    used = (cand.select("batch", F.col("i").alias("pos")).unionByName(cand.select("batch", F.col("j").alias("pos")))
+            .distinct())
+    near = weights.join(used, ["batch", "pos"], "left_semi")
+    wi = near.select("batch", F.col("pos").alias("i"), "term", F.col("weight").alias("wi"))
+    wj = near.select("batch", F.col("pos").alias("j"), "term", F.col("weight").alias("wj"))
+    dots = (cand.join(wi, ["batch", "i"])
+            .join(wj, ["batch", "j", "term"])
+            .groupBy("batch", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")))
+    return dots.filter(F.col("sim") >= F.lit(threshold))
 
 
 def similar_pairs(weights: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
@@ -152,16 +188,4 @@ def similar_pairs(weights: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
     if members is not None:
         weights = weights.join(members.select("batch", "pos"), ["batch", "pos"], "left_semi")
     idx = cut_lineage(prefix_terms(weights, threshold))
-    a = idx.select("batch", F.col("pos").alias("i"), "term")
-    b = idx.select("batch", F.col("pos").alias("j"), "term")
-    cand = cut_lineage(a.join(b, ["batch", "term"]).filter(F.col("i") < F.col("j"))
-                       .select("batch", "i", "j").distinct())
-    used = (cand.select("batch", F.col("i").alias("pos")).unionByName(cand.select("batch", F.col("j").alias("pos")))
-            .distinct())
-    near = weights.join(used, ["batch", "pos"], "left_semi")
-    wi = near.select("batch", F.col("pos").alias("i"), "term", F.col("weight").alias("wi"))
-    wj = near.select("batch", F.col("pos").alias("j"), "term", F.col("weight").alias("wj"))
-    dots = (cand.join(wi, ["batch", "i"])
-            .join(wj, ["batch", "j", "term"])
-            .groupBy("batch", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")))
-    return dots.filter(F.col("sim") >= F.lit(threshold))
+    return verified(cut_lineage(candidates(idx, idx, threshold)), weights, threshold)
