@@ -8,7 +8,9 @@ pass over the documents: no shuffle, memory bounded by one Arrow batch.
 
 The vocabulary file is a parameter. Its pre-tokeniser always cuts before a
 single space between two printable characters, so a text is split there and
-each distinct chunk is encoded once per task (a bounded cache).
+each distinct chunk is encoded once; a bounded cache of them lives as long as
+its Python worker. A text that holds one of the tokenizer's special tokens goes
+through the tokenizer whole, by its default treatment of them.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ from wirefold.llm.common import table
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Distinct chunks that a task remembers, and the longest that it does.
+#: Distinct chunks that a worker remembers, and the longest that it does.
 CACHE_CHUNKS, CACHE_CHARS = 800_000, 48
 #: Characters of text that are encoded at a time.
 BATCH_CHARS = 2_000_000
 
 SPLIT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
+PLAIN = re.compile("[!-~¡-ɏ](?:[^ ]*[!-~¡-ɏ])?", re.DOTALL)
+#: Chunks that go through the tokenizer as one text, and how its vocabulary writes the byte of a space.
+JOINED, SPACE_BYTE = 256, "Ġ"
 UNSURE = re.compile("[^ -~\n¡-ɏ]")
 
 
@@ -62,7 +67,10 @@ class ChunkEncoder:
 
         self.np = np
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE_BYTE)]] = True
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
@@ -71,8 +79,25 @@ class ChunkEncoder:
         ends = list(accumulate(map(len, found), initial=0))
         return [line[4 * a:4 * b] for a, b in pairwise(ends)]
 
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks behind a space. Chunks that hold no space and start and
+        end with printable characters are encoded many at a time, as one text:
+        it is cut before every space, and only there an id starts with one."""
+        np = self.np
+        plain = [c for c in chunks if PLAIN.fullmatch(c)]
+        parts = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        found: dict[str, bytes] = {}
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join([" " + c for c in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = [*(np.flatnonzero(self.spaced[ids]) * 4).tolist(), 4 * len(ids)]
+            line = ids.tobytes()
+            found.update(zip(part, [line[a:b] for a, b in pairwise(cuts)], strict=True))
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self._encode([" " + c for c in rest]), strict=True))
+        return [found[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [split_text(t) for t in texts]
+        split = [[t] if any(s in t for s in self.special) else split_text(t) for t in texts]
         cache = self.cache
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
@@ -81,7 +106,7 @@ class ChunkEncoder:
             need.update(chunks[1:])
         new = list(need.difference(cache))
         # all chunks but a text's first follow a space, which is theirs
-        cache.update(zip(new, self._encode([" " + c for c in new]), strict=True))
+        cache.update(zip(new, self._encode_chunks(new), strict=True))
         look = cache.__getitem__
         firsts = self._encode([chunks[0] for chunks in split])
         out = [first + b"".join(map(look, chunks[1:])) for first, chunks in zip(firsts, split, strict=True)]
@@ -91,6 +116,16 @@ class ChunkEncoder:
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """The encoder of ``path``, made once per Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def binary_lengths(n: int, most: int) -> list[int]:
     """``n`` as blocks of ``most`` (a power of two) and then the binary digits of the rest."""
     rest = n % most
@@ -115,7 +150,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = chunk_encoder(tokenizer_path)
         names = [f.name for f in PIECES.fields]
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                             ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("bucket", pa.int32())])
