@@ -42,7 +42,7 @@ def brute_model(texts):
 
 
 def frame(spark, texts):
-    return spark.createDataFrame(list(enumerate(texts)), "t_id long, text string")
+    return spark.createDataFrame(list(enumerate(texts)), "__t_id long, text string")
 
 
 def test_joined_scores_equal_brute_force(spark):
@@ -51,7 +51,7 @@ def test_joined_scores_equal_brute_force(spark):
     model, symbols = ngrams.train(frame(spark, texts), discounts)
     lp = brute_model(texts)
     asked = texts + ["zzz", "abz é", "доброе утро", "x" * 100, None, ""]
-    got = {r["t_id"]: r["lp"] for r in ngrams.score(frame(spark, asked), model, symbols).collect()}
+    got = {r["__t_id"]: r["lp"] for r in ngrams.score(frame(spark, asked), model, symbols).collect()}
     assert len(got) == len(asked)
     for i, t in enumerate(asked):
         assert got[i] is None if not t else abs(got[i] - lp(t)) <= 1e-4 * abs(lp(t)), t
@@ -62,14 +62,14 @@ def test_texts_with_more_symbols_than_a_packed_key_holds(spark):
     model, symbols = ngrams.train(frame(spark, texts), discounts)
     lp = brute_model(texts)
     for r in ngrams.score(frame(spark, texts), model, symbols).collect():
-        assert abs(r["lp"] - lp(texts[r["t_id"]])) <= 1e-4 * abs(r["lp"])
+        assert abs(r["lp"] - lp(texts[r["__t_id"]])) <= 1e-4 * abs(r["lp"])
 
 
 def test_letters_of_any_script_are_told_apart(spark):
     greek, thai = ("".join(chr(a + i % 20) for i in range(400)) for a in (0x3B1, 0xE01))
     latin = "".join(chr(33 + i % 90) for i in range(4000))
     model, symbols = ngrams.train(frame(spark, [latin, latin, greek]), discounts)
-    lp = {r["t_id"]: r["lp"] for r in ngrams.score(frame(spark, [greek, thai]), model, symbols).collect()}
+    lp = {r["__t_id"]: r["lp"] for r in ngrams.score(frame(spark, [greek, thai]), model, symbols).collect()}
     assert lp[0] > lp[1] / 4
 
 
@@ -85,10 +85,10 @@ def test_no_document_is_judged_by_a_model_that_has_read_it(spark):
     rnd = random.Random(11)
     texts = ["".join(rnd.choice("abcde ") for _ in range(50)) for _ in range(20)]
     rows = frame(spark, texts)
-    side = {r["t_id"]: r["s"] for r in rows.select("t_id", F.pmod(F.xxhash64("t_id"), F.lit(2)).alias("s")).collect()}
+    side = {r["__t_id"]: r["s"] for r in rows.select("__t_id", F.pmod(F.xxhash64("__t_id"), F.lit(2)).alias("s")).collect()}
     lp = {s: brute_model([t for i, t in enumerate(texts) if side[i] != s]) for s in (0, 1)}
-    got = cross_scores(rows, rows.select("t_id")).collect()
+    got = cross_scores(rows, rows.select("__t_id")).collect()
     assert len(got) == len(texts) and {*side.values()} == {0, 1}
     for r in got:
-        want = lp[side[r["t_id"]]](texts[r["t_id"]])
+        want = lp[side[r["__t_id"]]](texts[r["__t_id"]])
         assert abs(r["lp"] - want) <= 1e-4 * abs(want)

@@ -1,63 +1,10 @@
-import math
-import random
-from collections import Counter, defaultdict
+import inspect
+import re
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from wirefold.llm.quality import BITS, ORDER, Symbols, discounts, quality_stage, score_quality, train
-
-
-def brute_model(texts, symbols):
-    """Interpolated modified Kneser-Ney by dictionaries."""
-    counts = {k: Counter() for k in range(1, ORDER + 1)}
-    for t in texts:
-        line = [0] * (ORDER - 1) + [int(symbols.of[ord(c)]) for c in t]
-        for i in range(ORDER - 1, len(line)):
-            counts[ORDER][tuple(line[i - ORDER + 1:i + 1])] += 1
-    for k in range(ORDER - 1, 0, -1):
-        for g in counts[k + 1]:
-            counts[k][g[1:]] += 1
-    cuts = {}
-    for k, c in counts.items():
-        n = Counter(c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
-        cuts[k] = [min(max(j - (j + 1) * y * b / a if a else 0.5 * j, 0.05), j - 0.05) for j, a, b in
-                   ((1, n[1], n[2]), (2, n[2], n[3]), (3, n[3], n[4]))]
-    total, held = defaultdict(float), defaultdict(float)
-    for k, c in counts.items():
-        for g, n in c.items():
-            total[k, g[:-1]] += n
-            held[k, g[:-1]] += cuts[k][min(n, 3) - 1]
-
-    def p(gram):
-        k = len(gram)
-        low = p(gram[1:]) if k > 1 else 1 / (1 << BITS)
-        h = (k, gram[:-1])
-        if h not in total:
-            return low
-        n = counts[k][gram]
-        return (n - cuts[k][min(n, 3) - 1] if n else 0) / total[h] + held[h] / total[h] * low
-    return p
-
-
-def test_model_equals_brute_force(spark):
-    rnd = random.Random(5)
-    texts = ["".join(rnd.choice("abcde é") for _ in range(rnd.randrange(0, 60))) for _ in range(40)]
-    model = train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    symbols, logs = Symbols(model.alphabet), model.log_probabilities()
-    p = brute_model(texts, symbols)
-    for t in texts[:10] + ["zzz", "abz é", "eeee"]:
-        codes, _ = symbols.codes([t])
-        line = [0] * (ORDER - 1) + [int(symbols.of[ord(c)]) for c in t]
-        want = [math.log(p(tuple(line[i:i + ORDER]))) for i in range(len(t))]
-        np.testing.assert_allclose(logs[codes], want, rtol=1e-3, atol=1e-4)
-
-
-def test_probabilities_of_a_context_sum_to_one(spark):
-    model = train(spark.createDataFrame([("the cat sat on the mat and the cat ate",)], "text string"))
-    sums = np.exp(model.log_probabilities()).reshape(-1, 1 << BITS).sum(axis=1)
-    np.testing.assert_allclose(sums, 1, atol=1e-3)
+from wirefold.llm import quality
+from wirefold.llm.quality import discounts, quality_stage, score_quality
 
 
 def test_discounts_without_counts(spark):
@@ -78,6 +25,17 @@ def test_edge_rows(spark, docs_frame, edge_rows):
     assert {r["__kept"] for r in out if r["doc_id"] in (3, 4)} == {False}
 
 
+def test_own_names_of_the_code_do_not_clash(spark, docs_frame):
+    labels = labels_of(spark, [(1, 1, 0), (2, 1, 0)])
+    rows = [(1, "good text here", "en"), (2, "more good text", "en"), (3, "zzzzqqq", None)]
+    plain = {r["doc_id"]: r["__kept"] for r in score_quality(docs_frame(rows), labels).collect()}
+    names = set(re.findall(r'"([a-z]+(?:_[a-z]+)*)"', inspect.getsource(quality))) - {"doc_id", "text", "lang"}
+    docs = docs_frame(rows).drop(*names)
+    for name in names:
+        docs = docs.withColumn(name, F.lit("clash"))
+    assert {r["doc_id"]: r["__kept"] for r in score_quality(docs, labels).collect()} == plain
+
+
 def test_nothing_trusted_and_empty(spark, docs_frame, edge_rows):
     none = labels_of(spark, [])
     assert {r["__kept"] for r in score_quality(docs_frame([(1, "abc", "en")]), none).collect()} == {True}

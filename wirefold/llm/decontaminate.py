@@ -120,9 +120,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The documents that overlap with no benchmark item, with the columns of ``docs``."""
     content = F.xxhash64("text")
     leaks = find_leaks(docs.withColumn("__content", content), table(spark, sf_dir, "benchmark"), keys=("__content",))
-    found = stored(leaks.select(F.col("doc_id").alias("l_id"), F.col("__content").alias("l_content")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(found), F.col("doc_id").eqNullSafe(F.col("l_id"))
-                     & (content == F.col("l_content")), "left_anti").select(*docs.columns)
+    found = stored(leaks.select(F.col("doc_id").alias("__l_id"), F.col("__content").alias("__l_content")).distinct(), "leaks")
+    return docs.join(broadcast_if_small(found), F.col("doc_id").eqNullSafe(F.col("__l_id"))
+                     & (content == F.col("__l_content")), "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

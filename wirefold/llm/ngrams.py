@@ -25,7 +25,7 @@ from wirefold.llm.common import stored
 
 ORDER, BITS, START = 6, 21, 1
 #: Characters of a group of texts, and symbols worked on at a time.
-GROUP_CHARS, BATCH_SYMBOLS = 16_000_000, 4_000_000
+GROUP_CHARS, BATCH_SYMBOLS = 8_000_000, 2_000_000
 #: Symbols that a packed key can tell apart: ``ORDER`` of them fit in 60 bits.
 LOCAL_BITS = 10
 
@@ -115,16 +115,18 @@ def wanted(texts: list[str]):
     """(hi, lo): each distinct n-gram and context of every length in ``texts``."""
     import numpy as np
 
-    found = [(np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]  # the empty context
+    have = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)  # the empty context
     for part in _batches(texts):
         line, real, _ = _line(part)
+        found = [have]
         for keys, own in _segments(line, real):
             grams, contexts = np.unique(keys), None
             for length in range(ORDER, 0, -1):
                 asked = grams if contexts is None else np.union1d(grams, contexts)
                 found.append(_unpack(asked, own, length))
                 contexts, grams = grams >> LOCAL_BITS, np.unique(grams & _mask(length - 1))
-    return _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        have = _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return have
 
 
 class Found:
@@ -134,11 +136,19 @@ class Found:
         import numpy as np
 
         self.p, self.w, self.base = p, w, 1.0 / (symbols + 1)
-        self.parts = np.stack([(x >> (BITS * i)) & ((1 << BITS) - 1) for x in (lo, hi) for i in range(3)]).astype(np.int32)
-        self.length = (self.parts > 0).sum(axis=0)
+        self.parts = np.empty((2 * 3, len(lo)), dtype=np.int32)
+        for i in range(2 * 3):
+            self.parts[i] = ((lo, hi)[i // 3] >> (BITS * (i % 3))) & ((1 << BITS) - 1)
+        self.length = (self.parts > 0).sum(axis=0, dtype=np.int8)
+        self.last = None, None
 
     def _tables(self, own):
-        """(keys, p, w) by length, of rows whose symbols are all in ``own``."""
+        """(keys, p, w) by length, of rows whose symbols are all in ``own``; those asked last are kept."""
+        if self.last[0] != own.tobytes():
+            self.last = own.tobytes(), self._made_tables(own)
+        return self.last[1]
+
+    def _made_tables(self, own):
         import numpy as np
 
         rank = np.full(0x110003, -1, dtype=np.int64)
@@ -237,9 +247,8 @@ def train(texts: DataFrame, discounts) -> tuple[DataFrame, int]:
 def score(rows: DataFrame, model: DataFrame, symbols: int, group_chars: int = GROUP_CHARS) -> DataFrame:
     """``rows`` without the column ``text``, with its log-probability ``lp``
     (null for null and empty texts)."""
-    spark = rows.sparkSession
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // group_chars))
+    groups = max(1, -(-size // group_chars))  # by size alone: more groups would ask for more rows
     keys = [c for c in rows.columns if c != "text"]
     dealt = rows.withColumn("__group", F.pmod(F.xxhash64(*rows.columns), F.lit(groups)).cast("int"))
     schema = T.StructType([rows.schema[c] for c in keys]).add("lp", "double")
@@ -247,10 +256,13 @@ def score(rows: DataFrame, model: DataFrame, symbols: int, group_chars: int = GR
     def ask(group: pa.Table) -> pa.Table:
         hi, lo = wanted([t.as_py() or "" for t in group.column("text")])
         at = pa.array([group.column("__group")[0].as_py()] * len(hi), pa.int32())
+        pa.default_memory_pool().release_unused()  # a worker that waits holds none of an earlier group
         return pa.table([at, pa.array(hi), pa.array(lo)], names=["__group", "hi", "lo"])
 
     def judge(group: pa.Table, got: pa.Table) -> pa.Table:
         found = Found(*(got.column(c).to_numpy() for c in ("hi", "lo", "p", "w")), symbols)
+        del got
+        pa.default_memory_pool().release_unused()
         lp = []
         for part in _batches(t.as_py() or "" for t in group.column("text")):
             lp += [v if t else None for t, v in zip(part, found.log_probabilities(part).tolist(), strict=True)]

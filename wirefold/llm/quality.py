@@ -6,9 +6,6 @@ counts, continuation counts, discounts and the scores of documents come from
 joins of them; nothing of the model goes through the driver or a broadcast. Each
 document is scored by the model of trusted text of the other half of identifiers.
 
-``train`` and ``Model`` here are the dense model of order 4 over 64 symbols,
-kept for texts that fit one process; no registered query uses it.
-
 A document is rejected when its perplexity exceeds the quantile that trusted
 documents of its language have. A text's mean log-probability is taken with
 ``PRIOR_CHARS`` more characters at the mean of all trusted text, so that a text
@@ -17,102 +14,16 @@ of a few words isn't rejected by chance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirefold.llm import ngrams
 from wirefold.llm.common import broadcast_if_small, stored, table
 
-ORDER = 4
-BITS = 6
-ALPHABET = (1 << BITS) - 2
 #: Share of trusted documents of a language that stay.
 QUANTILE = 0.97
 #: Characters at the mean of trusted text that are added to each text.
 PRIOR_CHARS = 50
-#: Symbols counted or scored at a time.
-BATCH_SYMBOLS = 2_000_000
-START, OTHER = 0, 1
-
-
-class Symbols:
-    """Characters to symbols, texts to n-gram codes."""
-
-    def __init__(self, alphabet: list[int]):
-        import numpy as np
-
-        self.of = np.full(0x110000, OTHER, dtype=np.uint8)
-        self.of[alphabet] = np.arange(2, 2 + len(alphabet), dtype=np.uint8)
-
-    def codes(self, texts: list[str], order: int = ORDER):
-        """(codes, lengths): an n-gram for each character, with start symbols before the first."""
-        import numpy as np
-
-        parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
-        lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        pad = order - 1
-        line = np.zeros(int(lengths.sum()) + pad * len(parts), dtype=np.int32)
-        at, where = 0, np.zeros(len(line), dtype=bool)
-        for p in parts:
-            line[at + pad:at + pad + len(p)] = self.of[p]
-            where[at + pad:at + pad + len(p)] = True
-            at += pad + len(p)
-        code = np.zeros(len(line), dtype=np.int32)
-        for back in range(order):
-            code[back:] |= line[:len(line) - back] << (BITS * back)
-        return code[where], lengths
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[str]]:
-    texts, size = [], 0
-    for batch in batches:
-        for t in batch.column(column):
-            texts.append(t.as_py() or "")
-            size += len(texts[-1])
-            if size >= BATCH_SYMBOLS:
-                yield texts
-                texts, size = [], 0
-    if texts:
-        yield texts
-
-
-def learn_alphabet(texts: DataFrame, size: int = ALPHABET) -> list[int]:
-    """The most frequent code points of the column ``text``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        total = np.zeros(0x110000, dtype=np.int64)
-        for part in _texts(batches):
-            for t in part:
-                found = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
-                total[:len(found)] += found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["cp", "n"])
-
-    counts = texts.select("text").mapInArrow(run, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n"))
-    return sorted(r["cp"] for r in counts.orderBy(F.desc("n"), "cp").limit(size).collect())
-
-
-def count_ngrams(texts: DataFrame, alphabet: list[int], order: int = ORDER) -> DataFrame:
-    """(code, n) over all rows of the column ``text``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        symbols = Symbols(alphabet)
-        total = np.zeros(1 << (BITS * order), dtype=np.uint32)  # a task has fewer symbols than 2^32
-        for part in _texts(batches):
-            codes, _ = symbols.codes(part, order)
-            np.add.at(total, codes, 1)  # in place: no second array of that size
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen].astype(np.int64))],
-                                         names=["code", "n"])
-
-    return (texts.select("text").mapInArrow(run, "code int, n long")
-            .groupBy("code").agg(F.sum("n").alias("n")))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -127,111 +38,21 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(found)
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (code, p: discounted share) of seen n-grams and
-    (context, w: weight of the next lower order). The lower orders use
-    continuation counts: the number of different symbols that precede."""
-    tables = {order: counts}
-    for k in range(order - 1, 0, -1):
-        tables[k] = stored(tables[k + 1].groupBy(F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("code"))
-                           .agg(F.count(F.lit(1)).alias("n")), "kn-counts")
-    out = []
-    for k in range(1, order + 1):
-        d1, d2, d3 = discounts(tables[k])
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        grams = tables[k].withColumn("context", F.shiftright("code", BITS)).withColumn("cut", cut)
-        contexts = grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("held"))
-        shares = grams.join(contexts, "context").select("code", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p"))
-        out.append((shares, contexts.select("context", (F.col("held") / F.col("total")).alias("w"))))
-    return out
-
-
-class Model:
-    """Log-probabilities of n-grams, from the tables of ``kneser_ney`` as arrays."""
-
-    def __init__(self, alphabet, levels):
-        self.alphabet = alphabet
-        self.levels = levels  # (codes, p, contexts, w) by order
-
-    def log_probabilities(self):
-        """By code, as one array of 2^(6 x order) floats, made in place."""
-        import numpy as np
-
-        lower = np.full(1, 1.0 / (1 << BITS), dtype=np.float32)  # order 0: uniform
-        for k, (codes, p, contexts, w) in enumerate(self.levels, 1):
-            weight = np.ones(1 << (BITS * (k - 1)), dtype=np.float32)
-            weight[contexts] = w
-            if k == 1:
-                here = np.full(1 << BITS, lower[0] * weight[0], dtype=np.float32)
-            else:
-                # context (a, rest), symbol c: back off to (rest, c)
-                here = (weight.reshape(1 << BITS, -1, 1) * lower.reshape(-1, 1 << BITS)[None]).reshape(-1)
-            here[codes] += p
-            lower = here
-        np.maximum(lower, np.float32(1e-12), out=lower)
-        return np.log(lower, out=lower)
-
-
-def train(texts: DataFrame) -> Model:
-    """The model of all rows of the column ``text``; of an empty table, the uniform one."""
-    import numpy as np
-
-    alphabet = learn_alphabet(texts)
-    counts = stored(count_ngrams(texts, alphabet), "kn-counts")
-    levels = []
-    for shares, contexts in kneser_ney(counts):
-        # at most 2^24 and 2^18 rows of a few bytes
-        arrays = [t.column(i).to_numpy() for t in (shares.toArrow(), contexts.toArrow()) for i in (0, 1)]
-        levels.append(tuple(a.astype(k) for a, k in zip(arrays, (np.int32, np.float32) * 2, strict=True)))
-    return Model(alphabet, levels)
-
-
-def log_probability(spark: SparkSession, model: Model, text):
-    """Log-probability of a text column; null where the text is null or empty."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        # the dense table is a task's own: a worker that waits for other work holds none
-        symbols, logs = Symbols(shared.value.alphabet), shared.value.log_probabilities()
-        for texts in batches:
-            yield _scores(texts, symbols, logs)
-
-    return score(text)
-
-
-def _scores(texts: pd.Series, symbols: Symbols, logs) -> pd.Series:
-    import numpy as np
-
-    out, values = [], texts.fillna("").tolist()
-    while values:
-        size = take = 0
-        while take < len(values) and size < BATCH_SYMBOLS:
-            size += len(values[take])
-            take += 1
-        codes, lengths = symbols.codes(values[:take])
-        del values[:take]
-        ends = np.r_[0, np.cumsum(logs[codes], dtype=np.float64)][np.r_[0, np.cumsum(lengths)]]
-        out.append(np.where(lengths > 0, np.diff(ends), np.nan))
-    found = pd.Series(np.concatenate(out) if out else [], dtype="float64")
-    return found.where(found.notna(), None)
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Identifiers that labels call good and none calls bad or toxic."""
-    return (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("t_id"))
+    return (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__t_id"))
             .agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q"),
                  F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t"))
-            .filter("q = 1 AND t = 0").select("t_id"))
+            .filter("q = 1 AND t = 0").select("__t_id"))
 
 
 def cross_scores(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` (t_id, text and others) with lp instead of the text. A hash of
+    """``rows`` (__t_id, text and others) with lp instead of the text. A hash of
     the identifier deals rows into two halves; each is scored by the model of
     the other half's trusted text, so that no document is judged by a model
     that has read it. If a half has no trusted text, both have one model."""
-    side = F.pmod(F.xxhash64("t_id"), F.lit(2))
-    trusted = rows.filter("length(text) > 0").join(ids, "t_id")
+    side = F.pmod(F.xxhash64("__t_id"), F.lit(2))
+    trusted = rows.filter("length(text) > 0").join(ids, "__t_id")
     sides = {r["side"] for r in trusted.select(side.alias("side")).distinct().collect()}
     if len(sides) < 2:
         return stored(ngrams.score(rows, *ngrams.train(trusted, discounts)), "scores")
@@ -253,28 +74,28 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     spark = docs.sparkSession
     ids = broadcast_if_small(stored(trusted_ids(labels), "trusted"))
     key = F.xxhash64(F.col(text_col))
-    slim = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("t_lang"),
-                       key.alias("t_key"))
+    slim = docs.select(F.col(id_col).alias("__t_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("__t_lang"),
+                       key.alias("__t_key"))
     scores = cross_scores(slim.withColumn("n", F.char_length("text")), ids)
-    raw = scores.join(ids, "t_id").filter("lp IS NOT NULL")
+    raw = scores.join(ids, "__t_id").filter("lp IS NOT NULL")
     mean = raw.agg((F.sum("lp") / F.sum("n")).alias("m")).first()["m"]
     weight = prior_chars if mean is not None else 0.0
     perplexity = lambda lp, n: F.exp(-(lp + F.lit(weight * (mean or 0.0))) / (n + F.lit(float(weight))))
-    good = raw.select("t_lang", perplexity(F.col("lp"), F.col("n")).alias("ppl"))
+    good = raw.select("__t_lang", perplexity(F.col("lp"), F.col("n")).alias("ppl"))
     cut = F.percentile_approx("ppl", quantile, 10_000)
-    by_lang = good.groupBy("t_lang").agg(cut.alias("cut"))
-    overall = good.agg(cut.alias("cut")).first()["cut"]
+    by_lang = good.groupBy("__t_lang").agg(cut.alias("__cut"))
+    overall = good.agg(cut.alias("__cut")).first()["__cut"]
     thresholds = broadcast_if_small(stored(by_lang, "thresholds"))
     # a row's score by identifier and text: repeated rows have one score
-    once = stored(scores.groupBy(F.col("t_id").alias("s_id"), F.col("t_key").alias("s_key"))
-                  .agg(F.first("lp").alias("s_lp")), "scores")
-    scored = (docs.join(broadcast_if_small(once), F.col(id_col).eqNullSafe(F.col("s_id")) & (key == F.col("s_key")), "left")
-              .withColumn("__perplexity", perplexity(F.col("s_lp"), F.char_length(text_col))).drop("s_id", "s_key", "s_lp"))
-    joined = scored.join(thresholds, F.col(lang_col).eqNullSafe(F.col("t_lang")), "left")
-    limit = F.coalesce(F.col("cut"), F.lit(overall).cast("double"), F.lit(float("inf")))
+    once = stored(scores.groupBy(F.col("__t_id").alias("__s_id"), F.col("__t_key").alias("__s_key"))
+                  .agg(F.first("lp").alias("__s_lp")), "scores")
+    scored = (docs.join(broadcast_if_small(once), F.col(id_col).eqNullSafe(F.col("__s_id")) & (key == F.col("__s_key")), "left")
+              .withColumn("__perplexity", perplexity(F.col("__s_lp"), F.char_length(text_col))).drop("__s_id", "__s_key", "__s_lp"))
+    joined = scored.join(thresholds, F.col(lang_col).eqNullSafe(F.col("__t_lang")), "left")
+    limit = F.coalesce(F.col("__cut"), F.lit(overall).cast("double"), F.lit(float("inf")))
     return (joined.withColumn("__threshold", limit)
             .withColumn("__kept", F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.lit(False)))
-            .drop("t_lang", "cut"))
+            .drop("__t_lang", "__cut"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
