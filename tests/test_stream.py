@@ -2,6 +2,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from wirefold.operators.state import first_per_key
@@ -33,25 +34,63 @@ def test_stream_single_file_equals_batch(spark):
     assert got == want
 
 
-def test_replayed_batch_changes_nothing_and_errors_surface(spark, tmp_path):
-    import pytest
-
-    from wirefold.streaming.ingest import ingest_batch
-    rows = lambda ids: spark.createDataFrame([(i % 7, i) for i in ids], "k long, o long")
-    table = f"{tmp_path}/t"
-    ingest_batch(rows(range(5)), 0, table, ["k"], ["o"], buckets=4)
-    ingest_batch(rows(range(3, 12)), 1, table, ["k"], ["o"], buckets=4)
-    read = lambda: sorted((r["k"], r["o"]) for r in spark.read.parquet(table).collect())
-    once = read()
-    assert once == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)]
-    ingest_batch(rows(range(3, 12)), 1, table, ["k"], ["o"], buckets=4)
-    assert read() == once
-    # a table that can't be read is an error, not an empty state
-    bad = tmp_path / "t" / "batch_id=0" / "bucket=0"
-    bad.mkdir(exist_ok=True)
-    for b in range(4):
-        folder = tmp_path / "t" / "batch_id=0" / f"bucket={b}"
-        folder.mkdir(exist_ok=True)
-        (folder / "part-x.parquet").write_bytes(b"not a table")
-    with pytest.raises(Exception, match="(?i)parquet|magic|footer"):
-        ingest_batch(rows(range(20)), 2, table, ["k"], ["o"], buckets=4)
+def _files(spark, root, batches):
+    """One source file per batch, in this order."""
+    for i, rows in enumerate(batches):
+        part = f"{root}/part-{i}"
+        spark.createDataFrame(rows, "k long, o long, v string").coalesce(1).write.parquet(part)
+        name = next(f for f in os.listdir(part) if f.endswith(".parquet"))
+        os.makedirs(f"{root}/source", exist_ok=True)
+        os.rename(f"{part}/{name}", f"{root}/source/{i}.parquet")
+        os.utime(f"{root}/source/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return f"{root}/source"
+
+
+def _read(spark, path):
+    return sorted((tuple(r) for r in spark.read.parquet(path).select("k", "o", "v").collect()), key=repr)
+
+
+SCHEMA = "k long, o long, v string"
+BATCHES = [[(1, 5, "a"), (1, 4, "b"), (2, 1, "c"), (None, 1, "n")], [(1, 1, "late"), (3, 9, "d"), (None, 1, "n")],
+           [(2, 0, "later"), (3, 1, "e"), (4, 2, "f"), (4, 2, "f")]]
+WANT = [(1, 4, "b"), (2, 1, "c"), (3, 9, "d"), (4, 2, "f"), (None, 1, "n"), (None, 1, "n")]
+
+
+def test_late_keys_nulls_and_repeats(spark, tmp_path):
+    src = _files(spark, tmp_path, BATCHES)
+    path = stream_ingest(spark, src, SCHEMA, ["k"], ["o"], str(tmp_path / "out"), max_files_per_trigger=1)
+    assert _read(spark, path) == WANT
+    # a later run goes on where this one ended: the state still knows every key
+    os.utime(_files(spark, tmp_path / "more", [[(1, 0, "x"), (9, 1, "new")]]) + "/0.parquet")
+    os.rename(tmp_path / "more" / "source" / "0.parquet", f"{src}/9.parquet")
+    stream_ingest(spark, src, SCHEMA, ["k"], ["o"], str(tmp_path / "out"), max_files_per_trigger=1)
+    assert _read(spark, path) == sorted([*WANT, (9, 1, "new")], key=repr)
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    """The stream stops after a batch's rows are written but before it is committed; the next run repeats it."""
+    from wirefold.streaming import ingest
+    src, whole = _files(spark, tmp_path, BATCHES), ingest.write_batch
+
+    def broken(rows, batch_id, path):
+        whole(rows, batch_id, path)
+        if batch_id == 1:
+            raise RuntimeError("lost after writing")
+
+    monkeypatch.setattr(ingest, "write_batch", broken)
+    with pytest.raises(Exception, match="lost after writing"):
+        stream_ingest(spark, src, SCHEMA, ["k"], ["o"], str(tmp_path / "out"), max_files_per_trigger=1)
+    monkeypatch.setattr(ingest, "write_batch", whole)
+    path = stream_ingest(spark, src, SCHEMA, ["k"], ["o"], str(tmp_path / "out"), max_files_per_trigger=1)
+    assert _read(spark, path) == WANT
+
+
+def test_a_batch_reads_its_own_rows_only(spark, tmp_path):
+    """However many keys are stored, a batch reads as many rows as it brings."""
+    batches = [[(i, i, "v") for i in range(3000)], [(i, i, "v") for i in range(3000, 3010)], [(5, 0, "w")]]
+    seen = []
+    stream_ingest(spark, _files(spark, tmp_path, batches), SCHEMA, ["k"], ["o"], str(tmp_path / "out"),
+                  max_files_per_trigger=1, progress=seen)
+    rows = [p["numInputRows"] for p in seen if p["numInputRows"]]
+    assert [r // rows[2] for r in rows] == [3000, 10, 1]
+    assert seen[2]["stateOperators"][0]["numRowsTotal"] == 3010

@@ -6,6 +6,8 @@ All operators take and return DataFrames. Tie-break of "newest" is fixed as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,16 +80,58 @@ def unsent_ranks(ranked: DataFrame, sent: DataFrame, chats: DataFrame, limit: in
             .select("chat_id", "rank", "r"))
 
 
+#: Newest rows that are looked at first; the window grows by ``WINDOW_GROWTH`` for chats that need more.
+FIRST_WINDOW, WINDOW_GROWTH = 2_000, 8
+
+
+def window_starts(news: DataFrame, first: int = FIRST_WINDOW, growth: int = WINDOW_GROWTH) -> list:
+    """Days, newest first: at least ``first`` rows are at or after the first of
+    them, ``growth`` times as many at or after the next, and so on; the last
+    is None (all rows). Only a count per day comes to the driver."""
+    days = news.groupBy(F.col("fetched_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()
+    starts, seen, want = [], 0, first
+    for r in sorted((r for r in days if r["day"] is not None), key=lambda r: r["day"], reverse=True):
+        seen += r["n"]
+        if seen >= want:
+            starts.append(r["day"])
+            want *= growth
+    return [*starts, None]
+
+
+def _pending_ranks(known: DataFrame, news: DataFrame, sent: DataFrame, chats: DataFrame, limit: int,
+                   chat_col: str, first: int) -> tuple[DataFrame, DataFrame]:
+    """(ranks of the pending rows by chat, ids by rank of the largest window read)."""
+    todo, settled = cut_lineage(chats.select("chat_id").distinct()), []
+    for start in window_starts(news, first):
+        window = known if start is None else known.filter(F.col("fetched_at") >= F.lit(start))
+        ranked = cut_lineage(keyed_ordinal(window.select("id", "fetched_at"), [], newest_order(), out="r").select("id", "r"))
+        size = ranked.count()
+        log = sent.join(todo.withColumnRenamed("chat_id", chat_col), chat_col, "left_semi")
+        ranks = cut_lineage(unsent_ranks(ranked, log, todo, limit, chat_col).filter(F.col("r") <= size))
+        full = ranks.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == limit)
+        if start is None:
+            settled.append(ranks)
+            break
+        settled.append(ranks.join(full, "chat_id", "left_semi"))
+        todo = cut_lineage(todo.join(full, "chat_id", "left_anti"))
+        if todo.isEmpty():
+            break
+    return reduce(lambda a, b: a.unionByName(b), settled), ranked
+
+
 def unsent_per_chat(news: DataFrame, sources: DataFrame, sent: DataFrame, chats: DataFrame,
-                    limit: int = PENDING_LIMIT, chat_col: str = "sent_to_chat_id") -> DataFrame:
+                    limit: int = PENDING_LIMIT, chat_col: str = "sent_to_chat_id",
+                    first_window: int = FIRST_WINDOW) -> DataFrame:
     """Newest ``limit`` unsent rows for every chat at once: (chat_id, rank, ...).
 
-    News ids are ranked newest first once, over narrow columns; the ranks that
-    each chat needs follow from ``unsent_ranks``; only the news rows that some
-    chat needs fetch their texts and source names."""
+    Only a window of the newest days is ranked, and only the log rows of its
+    news are counted (``unsent_ranks``). A chat that has ``limit`` unsent rows
+    there is settled; for the others the window grows, up to all rows. Ranks
+    start at the newest row, so they are the same in every window. The day
+    filter reaches the scan of ``news``; only the news rows that some chat
+    needs fetch their texts and source names."""
     known = news.join(sources.select(F.col("id").alias("_sid")), F.col("source_id") == F.col("_sid"), "left_semi")
-    ranked = keyed_ordinal(known.select("id", "fetched_at"), [], newest_order(), out="r").select("id", "r")
-    ranks = cut_lineage(unsent_ranks(ranked, sent, chats, limit, chat_col))
+    ranks, ranked = _pending_ranks(known, news, sent, chats, limit, chat_col, first_window)
     needed = ranked.join(ranks.select("r").distinct(), "r", "left_semi").select(F.col("id").alias("_id"), "r")
     rows = with_source(news.join(needed, F.col("id") == F.col("_id")).drop("_id"), sources)
     return ranks.join(rows, "r").drop("r")

@@ -997,3 +997,107 @@ def q_stream_ingest(spark, sf):
     path = SI.stream_ingest(spark, f"{base}/source", events.schema, ["user_id"], ["ts", "event_id"], base,
                             max_files_per_trigger=1)
     return spark.read.parquet(path).select("user_id", "event_id", "ts")
+
+
+# ---------------------------------------------------------------------------
+# Stored state: A8, A9, I1, I3, I5, J3, J4
+# ---------------------------------------------------------------------------
+from wirefold.operators import stored as SD  # noqa: E402
+from wirefold.streaming import cycles as SC  # noqa: E402
+
+
+def _stored_path(spark, label: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@register("stored_insert", f"""
+WITH {_LINK_STATE_SQL}
+SELECT url, source_id, pos, title FROM _st UNION ALL SELECT url, source_id, pos, title FROM _new""")
+def q_stored_insert(spark, sf):
+    """Two written rounds of insert-or-ignore, the second one twice."""
+    state, changes = _link_state(spark, sf)
+    table = SD.KeyedTable(spark, _stored_path(spark, "stored-insert"), state.schema, ["url"], 16).create(state)
+    for _ in range(2):
+        table.insert_or_ignore(changes, ["url"], ["source_type", "source_id", "pos"])
+    return table.read()
+
+
+_ROUND = "abs(event_id) % 2"
+
+
+@register("stored_upsert", f"""
+WITH _st AS (SELECT user_id, false AS admin, max(ts) AS last_fetch_at FROM events
+             WHERE event_type = 'signup' AND value > 10 GROUP BY user_id),
+_ch AS (SELECT user_id, arg_max(ts, ({_ROUND}, ts, event_id)) AS ts FROM events WHERE event_type = 'click' GROUP BY user_id)
+SELECT coalesce(s.user_id, c.user_id) AS user_id,
+       CASE WHEN s.user_id IS NOT NULL THEN s.admin ELSE false END AS admin,
+       CASE WHEN c.user_id IS NOT NULL THEN c.ts ELSE s.last_fetch_at END AS last_fetch_at
+FROM _st s FULL OUTER JOIN _ch c ON c.user_id = s.user_id""")
+def q_stored_upsert(spark, sf):
+    """Two written rounds of upserts (even, then odd events), the second one twice."""
+    ev = TB.table(spark, sf, "events")
+    state = (ev.filter((F.col("event_type") == "signup") & (F.col("value") > 10))
+             .groupBy("user_id").agg(F.lit(False).alias("admin"), F.max("ts").alias("last_fetch_at")))
+    clicks = ev.filter(F.col("event_type") == "click").select("user_id", "event_id", "ts", F.col("ts").alias("last_fetch_at"))
+    table = SD.KeyedTable(spark, _stored_path(spark, "stored-upsert"), state.schema, ["user_id"], 16).create(state)
+    for part in (0, 1, 1):
+        table.upsert(clicks.filter(F.expr(_ROUND) == part), ["user_id"], ["last_fetch_at"], ["ts", "event_id"],
+                     defaults={"admin": F.lit(False)})
+    return table.read()
+
+
+@register("stored_cascade", """
+WITH _gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING'))
+SELECT 'sources' AS tbl, c_custkey AS id, NULL::BIGINT AS parent FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM _gone)
+UNION ALL SELECT 'news', o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM _gone)
+UNION ALL SELECT 'sent', l_linenumber, l_orderkey FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM _gone))""")
+def q_stored_cascade(spark, sf):
+    """Two written rounds of cascading deletes, the second one twice."""
+    cust = TB.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    orders = TB.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    items = TB.table(spark, sf, "lineitem").select("l_linenumber", "l_orderkey")
+    store = lambda df, by: SD.KeyedTable(spark, _stored_path(spark, f"stored-{by}"), df.schema, [by], 8).create(df)
+    s, n, li = store(cust, "c_custkey"), store(orders, "o_custkey"), store(items, "l_orderkey")
+    for segment in ("AUTOMOBILE", "BUILDING", "BUILDING"):
+        doomed = cust.filter(F.col("c_mktsegment") == segment).select("c_custkey")
+        SD.delete_stored_cascade([(s, "c_custkey"), (n, "o_orderkey"), (li, "l_linenumber")], doomed, "c_custkey")
+    rows = lambda df, tbl, key, parent: df.select(F.lit(tbl).alias("tbl"), F.col(key).cast("long").alias("id"),
+                                                  parent.cast("long").alias("parent"))
+    return (rows(s.read(), "sources", "c_custkey", F.lit(None)).unionByName(rows(n.read(), "news", "o_orderkey", F.col("o_custkey")))
+            .unionByName(rows(li.read(), "sent", "l_linenumber", F.col("l_orderkey"))))
+
+
+_KINDS = ["rss", "web", "x"]  # one landed file each, in this order
+
+
+def _stream_cycles_sql() -> str:
+    """Three cycles, each with the items of one kind; arrival is by kind, so
+    the ids are those of one ingest of all of them."""
+    parts, sent = [], "_sent0"
+    for k, kind in enumerate(_KINDS, 1):
+        upto = ", ".join(f"'{x}'" for x in _KINDS[:k])
+        cycle = _cycle_sql(f"c{k}_", sent).replace("JOIN _news n ON true", f"JOIN _news{k} n ON true")
+        cycle = cycle.replace(f"c{k}_pend AS (SELECT * FROM (", f"c{k}_pend AS (SELECT * FROM (SELECT * FROM (", 1)
+        cycle = cycle.replace('WHERE "rank" <= 50)', f"""WHERE "rank" <= 50) WHERE EXISTS (SELECT 1 FROM _items WHERE source_type = '{kind}'))""", 1)
+        parts.append(f"""
+_news{k} AS (SELECT p.id, p.source_id, p.title, p.content, p.url, p.published_at, p.fetched_at, {"p.summary_tr" if k == 1 else f"coalesce(d.summ, p.summary_tr) AS summary_tr"}, p.is_column
+   FROM (SELECT * FROM _prior UNION ALL SELECT n.* FROM _new n JOIN _fresh f ON f.url = n.url WHERE f.source_type IN ({upto})) p
+   {"" if k == 1 else f"LEFT JOIN (SELECT DISTINCT id, summ FROM {' UNION SELECT id, summ FROM '.join(f'c{i}_kept' for i in range(1, k))}) d ON d.id = p.id"}),
+{cycle},
+_sent{k} AS (SELECT news_id, chat FROM {sent} UNION ALL SELECT news_id, chat_id FROM c{k}_out)""")
+        sent = f"_sent{k}"
+    outs = " UNION ALL ".join(f'SELECT {k - 1} AS cycle, chat_id, "rank", news_id, message FROM c{k}_out' for k in range(1, len(_KINDS) + 1))
+    return f"WITH RECURSIVE {_CYCLE_BASE_SQL}, {','.join(parts)} {outs}"
+
+
+@register("stream_cycles", _stream_cycles_sql())
+def q_stream_cycles(spark, sf):
+    """Three micro-batches of landed files, a delivery cycle each, on stored news, summaries, outbox and sent log."""
+    sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
+    root = _stored_path(spark, "stream-cycles")
+    for kind in _KINDS:
+        land.filter(F.col("source_type") == kind).coalesce(1).write.parquet(f"{root}/landing/{kind}")
+    store = SC.CycleStore.create(f"{root}/flow", news, sent)
+    SC.stream_cycles(store, f"{root}/landing", land.schema, sources, chats, now)
+    return store.outbox().select(F.col("batch_id").cast("int").alias("cycle"), "chat_id", "rank", "news_id", "message")

@@ -97,8 +97,8 @@ def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: Da
                summarize: Callable[[pd.DataFrame], pd.DataFrame] = EN.first_sentence_summaries,
                batch_size: int = EN.BATCH_SIZE, against_history: bool = False) -> dict[str, DataFrame]:
     """Run one cycle for every chat in ``chats`` (chat_id). Returns news' (with
-    the new summaries), the rows added, the pending rows and the outbox
-    (chat_id, rank, news_id, message). ``against_history`` also compares the
+    the new summaries), the rows added, the pending rows, the outbox
+    (chat_id, rank, news_id, message) and the summaries found (id, summary_tr). ``against_history`` also compares the
     pending rows with what each chat was sent before."""
     # the fetched items feed both the ingest and the "anything fetched" guard
     items = cut_lineage(X.fetch_all_active(sources, landing))
@@ -116,19 +116,24 @@ def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: Da
     outbox = kept.select("chat_id", "rank", F.col("id").alias("news_id"), T.render_message(
         F.col("title"), F.col("summary_tr"), F.col("content"), F.col("source_name"), F.col("url"),
         F.col("is_column")).alias("message"))
-    return {"news": news3, "new_rows": new_rows, "pending": pending, "outbox": outbox}
+    return {"news": news3, "new_rows": new_rows, "pending": pending, "outbox": outbox, "summaries": stored}
 
 
-def delivery_log(sent: DataFrame, results: DataFrame) -> DataFrame:
-    """Sent log after a delivery round: rows whose send succeeded (``ok``)
-    are appended, once per (news_id, chat_id) of this round; a failed send is
-    not logged and comes back next cycle. Re-applying the same results adds
-    nothing (anti join on the pair against the log)."""
+def delivered(sent: DataFrame, results: DataFrame) -> DataFrame:
+    """Rows to append to the sent log after a delivery round, in its schema:
+    sends that succeeded (``ok``), once per (news_id, chat_id) of this round; a
+    failed send is not logged and comes back next cycle. Re-applying the same
+    results adds nothing (anti join on the pair against the log)."""
     done = (results.filter(F.col("ok"))
             .select("news_id", F.col("chat_id").alias("sent_to_chat_id"), "message_id")
             .dropDuplicates(["news_id", "sent_to_chat_id"]))
     fresh = done.join(sent.select("news_id", "sent_to_chat_id"), ["news_id", "sent_to_chat_id"], "left_anti")
-    return ST.append_rows(sent, fresh)
+    return ST.append_rows(sent.limit(0), fresh)
+
+
+def delivery_log(sent: DataFrame, results: DataFrame) -> DataFrame:
+    """Sent log after a delivery round (``delivered`` appended)."""
+    return ST.append_rows(sent, delivered(sent, results))
 
 
 def cycle_counts(new_rows: DataFrame, pending: DataFrame, outbox: DataFrame) -> DataFrame:

@@ -1,77 +1,87 @@
 """Incremental ingest as a Structured Streaming query.
 
-Each micro-batch keeps the first arrival per key inside the batch (an
-aggregate, so a hot key combines map-side), drops keys already in the table
-(anti join against what earlier batches wrote) and appends the rest. The
-table is the state: no watermark, a key may come back after any delay and is
-still ignored, as in the rule being matched.
+The keys seen so far live in the stream's state store (RocksDB on the
+executors' disks, its changes in the stream's checkpoint): a grouped minimum of
+(time of the micro-batch, arrival order, row) per key, without a watermark, so
+a key that comes back after any delay is still ignored. An earlier batch has an
+earlier time, so the stored row wins; within a batch the first by order does.
+The minimum combines map-side, so a hot key is one row per task. A batch reads
+its own rows and the state of their keys; it never reads the table.
 
-Rows lie in ``batch_id=N/bucket=B`` folders, the bucket a hash of the key; a
-batch reads only the buckets that its own keys fall into.
+Rows whose key holds a NULL never clash and pass by the state.
 
-Exactly once: a batch writes to its own ``batch_id=N`` folder in overwrite
-mode and reads only the folders of earlier batches, so a replayed batch
-rewrites the same rows and changes nothing else. The caller names the table's
-folder, which must be one that all executors share.
+Exactly once: the batch's time is part of the stream's own log, so a replayed
+batch gives the same rows, and it writes them to its own ``batch_id=N`` folder
+in overwrite mode. The caller names the root folder, which must be one that
+all executors share.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirefold.operators.state import first_per_key
-from wirefold.session import cut_lineage
-
-BUCKETS = 64
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder exists, asked of the file system that Spark writes to."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _earlier(spark: SparkSession, table_path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows of earlier batches; other errors than a table not yet begun surface."""
-    full = T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
-    if not _exists(spark, table_path):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(table_path).filter(F.col("batch_id") < batch_id)
+def first_arrivals(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows of a stream to insert under a unique key, in update mode: for
+    each key that no earlier micro-batch had, the first row by ``order``."""
+    now = F.current_timestamp()  # one instant per micro-batch
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    rest = [c for c in stream.columns if c not in keys and c not in order]
+    first = (stream.filter(~null_key).withColumn("_seen", now).groupBy(*keys)
+             .agg(F.min(F.struct("_seen", *order, *rest)).alias("_first"))
+             .filter(F.col("_first._seen") == now))
+    named = [F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in stream.columns]
+    return first.select(*named).unionByName(stream.filter(null_key))
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, table_path: str, keys: list[str],
-                 order: list[str], buckets: int = BUCKETS) -> None:
-    """One micro-batch: first per key, minus keys already stored, appended.
-    ``buckets`` must stay the same over a table's life."""
-    spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    firsts = cut_lineage(first_per_key(cut_lineage(batch), keys, order).withColumn("bucket", bucket))
-    schema = T.StructType(list(batch.schema.fields))
-    touched = [r["bucket"] for r in firsts.select("bucket").distinct().collect()]  # at most ``buckets``
-    known = _earlier(spark, table_path, schema, batch_id).filter(F.col("bucket").isin(touched)).select(*keys)
-    fresh = firsts.join(known, keys, "left_anti")
-    (fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-     .parquet(f"{table_path}/batch_id={batch_id}"))
+def write_batch(rows: DataFrame, batch_id: int, table_path: str) -> None:
+    """One micro-batch's rows in a folder of their own; a replay replaces it."""
+    rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType | str, keys: list[str],
                   order: list[str], root: str, glob: str = "*.parquet",
-                  max_files_per_trigger: int | None = None, buckets: int = BUCKETS) -> str:
+                  max_files_per_trigger: int | None = None, progress: list | None = None) -> str:
     """Run the stream over the parquet files in ``source_dir`` until all
     available files are processed (``availableNow``); return the table's path.
-    ``root`` holds the table and the stream's checkpoint."""
+    ``root`` holds the table and the stream's checkpoint, whose state keeps the
+    number of shuffle partitions it began with. ``progress`` collects the
+    stream's reports of its micro-batches."""
     table_path = f"{root.rstrip('/')}/table"
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-    q = (stream.writeStream
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, table_path, keys, order, buckets))
-         .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint")
-         .trigger(availableNow=True)
-         .start())
-    q.awaitTermination()
+    with settings(spark, STATE_STORE):
+        q = (first_arrivals(reader.parquet(source_dir), keys, order).writeStream
+             .outputMode("update")
+             .foreachBatch(lambda df, bid: write_batch(df, bid, table_path))
+             .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint")
+             .trigger(availableNow=True)
+             .start())
+        q.awaitTermination()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return table_path
