@@ -38,6 +38,41 @@ def test_unsent_per_chat_equals_brute_force(spark):
     assert {(r["chat_id"], r["rank"], r["id"]) for r in got} == want and len(got) == len(want)
 
 
+def test_growing_windows_equal_brute_force(spark, monkeypatch):
+    import datetime as dt
+    import random
+    monkeypatch.setattr(SEL, "WINDOW_GROWTH", 2)
+    rnd = random.Random(5)
+    day = dt.datetime(2024, 1, 1)
+    news = [(i, i % 3, None if i % 50 == 0 else day + dt.timedelta(hours=rnd.randrange(300))) for i in range(1, 400)]
+    sent = [(i, "old only") for i, _, t in news if t and t > day + dt.timedelta(hours=60)]
+    sent += [(i, "some") for i, _, _ in news if rnd.random() < .6] + [(i, "all") for i, _, _ in news]
+    chats = ["old only", "some", "all", "none"]
+    frame = spark.createDataFrame(news, "id long, source_id long, fetched_at timestamp_ntz")
+    starts = SEL.window_starts(frame, 20, 2)
+    assert len(starts) > 3 and starts[-1] is None and starts[:-1] == sorted(starts[:-1], reverse=True)
+    got = SEL.unsent_per_chat(frame, spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id long, name string"),
+                              spark.createDataFrame(sent, "news_id long, sent_to_chat_id string"),
+                              spark.createDataFrame([(c,) for c in chats], "chat_id string"), limit=30, first_window=20).collect()
+    order = sorted(news, key=lambda r: (r[2] or dt.datetime.min, r[0]), reverse=True)
+    want = {(c, k + 1, r[0]) for c in chats for k, r in enumerate([r for r in order if (r[0], c) not in set(sent)][:30])}
+    assert {(r["chat_id"], r["rank"], r["id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_fresh_rows_are_found_in_the_newest_window(spark, monkeypatch):
+    """Chats with fresh rows are settled by the first window; the rest of the news is not ranked."""
+    sizes = []
+    whole = SEL.unsent_ranks
+    monkeypatch.setattr(SEL, "unsent_ranks", lambda ranked, *a: sizes.append(ranked.count()) or whole(ranked, *a))
+    news = spark.range(1, 20_001).selectExpr("id", "0 AS source_id", "timestamp_seconds(id) AS fetched_at")
+    sources = spark.createDataFrame([(0, "a")], "id long, name string")
+    sent = spark.range(1, 19_901).selectExpr("id AS news_id", "'c' AS sent_to_chat_id")
+    chats = spark.createDataFrame([("c",), ("d",)], "chat_id string")
+    out = SEL.unsent_per_chat(news, sources, sent, chats, limit=50, first_window=200)
+    assert out.count() == 100 and out.agg({"id": "min"}).first()[0] == 19_951
+    assert len(sizes) == 1 and sizes[0] <= 400
+
+
 def test_unsent_for_many_chats_without_a_product(spark):
     news = spark.range(1, 3001).selectExpr("id", "id % 2 AS source_id", "id AS fetched_at")
     sources = spark.createDataFrame([(0, "a"), (1, "b")], "id long, name string")

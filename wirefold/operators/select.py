@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirefold.operators.ordinal import keyed_ordinal
 from wirefold.session import cut_lineage
@@ -85,17 +86,20 @@ FIRST_WINDOW, WINDOW_GROWTH = 2_000, 8
 
 
 def window_starts(news: DataFrame, first: int = FIRST_WINDOW, growth: int = WINDOW_GROWTH) -> list:
-    """Days, newest first: at least ``first`` rows are at or after the first of
-    them, ``growth`` times as many at or after the next, and so on; the last
-    is None (all rows). Only a count per day comes to the driver."""
-    days = news.groupBy(F.col("fetched_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()
-    starts, seen, want = [], 0, first
-    for r in sorted((r for r in days if r["day"] is not None), key=lambda r: r["day"], reverse=True):
-        seen += r["n"]
-        if seen >= want:
-            starts.append(r["day"])
-            want *= growth
-    return [*starts, None]
+    """Values of ``fetched_at``, newest first: about ``first`` rows are at or
+    after the first of them, ``growth`` times as many at or after the next, and
+    so on; the last is None (all rows). They are quantiles of one narrow
+    aggregate; how exact they are changes the windows' sizes only."""
+    kind = news.schema["fetched_at"].dataType
+    total = news.count()
+    shares, size = [], first
+    while size < total and isinstance(kind, (T.NumericType, T.DatetimeType)):
+        shares.append(1.0 - size / total)
+        size *= growth
+    if not shares:
+        return [None]
+    found = news.agg(F.percentile_approx("fetched_at", shares, 100_000)).first()[0] or []
+    return [*dict.fromkeys(found), None]
 
 
 def _pending_ranks(known: DataFrame, news: DataFrame, sent: DataFrame, chats: DataFrame, limit: int,
@@ -124,12 +128,13 @@ def unsent_per_chat(news: DataFrame, sources: DataFrame, sent: DataFrame, chats:
                     first_window: int = FIRST_WINDOW) -> DataFrame:
     """Newest ``limit`` unsent rows for every chat at once: (chat_id, rank, ...).
 
-    Only a window of the newest days is ranked, and only the log rows of its
+    Only a window of the newest rows is ranked, and only the log rows of its
     news are counted (``unsent_ranks``). A chat that has ``limit`` unsent rows
     there is settled; for the others the window grows, up to all rows. Ranks
-    start at the newest row, so they are the same in every window. The day
-    filter reaches the scan of ``news``; only the news rows that some chat
-    needs fetch their texts and source names."""
+    start at the newest row, so they are the same in every window. The filter
+    on ``fetched_at`` reaches the scan of ``news`` (rows without a time are in
+    the last window only); only the news rows that some chat needs fetch their
+    texts and source names."""
     known = news.join(sources.select(F.col("id").alias("_sid")), F.col("source_id") == F.col("_sid"), "left_semi")
     ranks, ranked = _pending_ranks(known, news, sent, chats, limit, chat_col, first_window)
     needed = ranked.join(ranks.select("r").distinct(), "r", "left_semi").select(F.col("id").alias("_id"), "r")

@@ -242,6 +242,18 @@ def q_dedup_corpus(spark, sf):
     return D.dedup_flags(docs, THRESHOLD, max_features=None).select(F.col("pos").alias("doc_id"), "keep")
 
 
+@register("similar_pairs_lsh", None)
+def q_similar_pairs_lsh(spark, sf):
+    """Pairs of the whole corpus with candidates from hyperplane signatures (H11's opt-in form): no
+    exact SQL form, as some pairs are missed; tests hold it against the exact pairs."""
+    d = TB.table(spark, sf, "documents")
+    docs = d.select(F.lit("all").alias("batch"), F.col("doc_id").alias("pos"),
+                    T.corpus_text(F.lit(None).cast("string"), F.col("text")).alias("norm"))
+    reps = cut_lineage(D.first_copies(docs).filter(F.col("pos") == F.col("rep")).select("batch", "pos"))
+    pairs = S.similar_pairs_lsh(cut_lineage(S.tfidf(docs, None).join(reps, ["batch", "pos"], "left_semi")), THRESHOLD)
+    return pairs.select(F.col("i").alias("doc_i"), F.col("j").alias("doc_j"), F.round("sim", 6).alias("sim"))
+
+
 @register("dedup_report", f"""
 WITH RECURSIVE {_ITEMS}, {Q.tfidf_ctes('items')}, {Q.pairs_cte(THRESHOLD)}, {Q.greedy_ctes()},
 _by AS (SELECT p.batch, p.j, min({{'i': p.i, 's': p.sim}}) AS m FROM pairs p
