@@ -25,7 +25,7 @@ from wirefold.llm.common import stored
 
 ORDER, BITS, START = 6, 21, 1
 #: Characters of a group of texts, and symbols worked on at a time.
-GROUP_CHARS, BATCH_SYMBOLS = 8_000_000, 2_000_000
+GROUP_CHARS, BATCH_SYMBOLS = 8_000_000, 1_000_000
 #: Symbols that a packed key can tell apart: ``ORDER`` of them fit in 60 bits.
 LOCAL_BITS = 10
 
@@ -60,13 +60,19 @@ def _line(texts: list[str]):
     return line, real, lengths
 
 
-def _segments(line, real):
+def _symbols(line):
+    import numpy as np
+
+    return np.flatnonzero(np.bincount(line)) if len(line) else np.zeros(0, dtype=np.int64)
+
+
+def _segments(line, real, own=None):
     """(keys of the n-grams at the characters, symbols by rank): pieces of the
     line with few enough symbols for packed keys; a piece of 2^LOCAL_BITS
-    symbols always has."""
+    symbols always has. ``own`` are symbols that hold all of the line's."""
     import numpy as np
 
-    own = np.flatnonzero(np.bincount(line)) if len(line) else np.zeros(0, dtype=np.int64)
+    own = _symbols(line) if own is None else own
     if len(own) > 1 << LOCAL_BITS:
         half = max(ORDER, len(line) // 2)
         yield from _segments(line[:half], real[:half])
@@ -148,6 +154,11 @@ class Found:
             self.last = own.tobytes(), self._made_tables(own)
         return self.last[1]
 
+    def keep_only(self, own) -> None:
+        """Make the lookup table of ``own`` and forget the rows, for texts of no other symbols."""
+        self._tables(own)
+        del self.parts, self.length, self.p, self.w
+
     def _made_tables(self, own):
         import numpy as np
 
@@ -165,8 +176,9 @@ class Found:
             out.append((key[order], self.p[mine][order], self.w[mine][order]))
         return out
 
-    def log_probabilities(self, texts: list[str]):
-        """The sum over each text's characters."""
+    def log_probabilities(self, texts: list[str], own=None):
+        """The sum over each text's characters. With symbols ``own`` that hold
+        those of several lists of texts, the lookup table is made once for all."""
         import numpy as np
 
         def pick(keys, values, asked, missing):
@@ -177,7 +189,7 @@ class Found:
 
         line, real, lengths = _line(texts)
         logs = []
-        for keys, own in _segments(line, real):
+        for keys, own in _segments(line, real, own):
             tables = self._tables(own)
             grams = [None] * (ORDER + 1)
             grams[ORDER] = np.unique(keys)
@@ -260,12 +272,19 @@ def score(rows: DataFrame, model: DataFrame, symbols: int, group_chars: int = GR
         return pa.table([at, pa.array(hi), pa.array(lo)], names=["__group", "hi", "lo"])
 
     def judge(group: pa.Table, got: pa.Table) -> pa.Table:
+        import numpy as np
+
         found = Found(*(got.column(c).to_numpy() for c in ("hi", "lo", "p", "w")), symbols)
         del got
         pa.default_memory_pool().release_unused()
-        lp = []
-        for part in _batches(t.as_py() or "" for t in group.column("text")):
-            lp += [v if t else None for t, v in zip(part, found.log_probabilities(part).tolist(), strict=True)]
+        texts, lp, own = group.column("text"), [], np.zeros(0, dtype=np.int64)
+        for part in _batches(t.as_py() or "" for t in texts):
+            own = np.union1d(own, _symbols(_line(part)[0]))
+        own = own if len(own) <= 1 << LOCAL_BITS else None
+        if own is not None:
+            found.keep_only(own)
+        for part in _batches(t.as_py() or "" for t in texts):
+            lp += [v if t else None for t, v in zip(part, found.log_probabilities(part, own).tolist(), strict=True)]
         return pa.table([*(group.column(c) for c in keys), pa.array(lp, pa.float64())], names=[*keys, "lp"])
 
     asked = dealt.groupBy("__group").applyInArrow(ask, "__group int, hi long, lo long")
