@@ -1,11 +1,13 @@
 """Stored state: repeated writes, buckets that stay, cycles that are run again."""
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests_cycle_frames import frames
 from wirefold.operators import stored as SD
+from wirefold.plans import cycle as CY
 from wirefold.streaming import cycles as SC
 
 
@@ -133,3 +135,25 @@ def test_failed_deliveries_come_back(spark, tmp_path):
     assert {(r["news_id"], r["sent_to_chat_id"]) for r in store.sent().collect()} == {(i, c) for i in (1, 3) for c in "ab"}
     store.run_cycle(1, landing, sources, chats, now)
     assert {(r["news_id"], r["chat_id"]) for r in store.outbox().filter("batch_id = 1").collect()} == {(2, "a"), (2, "b")}
+
+
+def test_failed_enrichment_holds_back_its_rows_only(spark, tmp_path):
+    """One bad batch gives its rows an error; the others are sent, and the bad ones come back."""
+    words = ["apple", "river", "stone", "cloud", "violin", "harbor", "pepper", "candle"]
+    sources, landing, news, sent, chats = frames(spark, words)
+    now = F.lit("2024-01-01").cast("timestamp")
+
+    def hook(pdf):
+        if (pdf["id"] == 2).any():
+            raise ValueError("no answer")
+        return pd.DataFrame({"id": pdf["id"], "summary": "s"})
+
+    store = SC.CycleStore.create(str(tmp_path / "flow"), news, sent)
+    found = CY.news_cycle(sources, landing, news, sent, chats, now, summarize=hook, batch_size=3)
+    failed = {r["id"]: r["error"] for r in found["failed"].collect()}
+    assert len(failed) == 3 and set(failed.values()) == {"ValueError: no answer"} and 2 in failed
+    assert {r["news_id"] for r in found["outbox"].collect()} == set(range(1, 9)) - set(failed)
+    store.run_cycle(0, landing, sources, chats, now, summarize=hook, batch_size=3)
+    store.run_cycle(1, landing, sources, chats, now, batch_size=3)
+    assert {r["news_id"] for r in store.outbox().filter("batch_id = 1").collect()} == set(failed)
+    assert [tuple(r) for r in store.counts().orderBy("batch_id").collect()] == [(8, 16, 6, 10, 0), (0, 6, 0, 6, 1)]

@@ -39,10 +39,21 @@ def first_sentence_summaries(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def enrich_batches(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
-                   batch_keys: list[str], schema: str = "id long, summary string") -> DataFrame:
-    """Call ``fn`` once per batch (rows of equal ``batch_keys``)."""
+                   batch_keys: list[str], schema: str = "id long, summary string", errors: bool = False) -> DataFrame:
+    """Call ``fn`` once per batch (rows of equal ``batch_keys``). With
+    ``errors`` there is a column ``error`` too: a batch whose call raises gives
+    its ids with the error's text and no summary, and the others go on;
+    otherwise the error ends the job."""
     dealt = rows.repartition(*batch_keys).sortWithinPartitions(*batch_keys)
 
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
+        if not errors:
+            return fn(batch)
+        try:
+            return fn(batch).assign(error=None)
+        except Exception as e:  # the user's function: any error is its batch's answer
+            return pd.DataFrame({"id": batch["id"], "summary": None, "error": f"{type(e).__name__}: {e}"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in frames:
@@ -54,11 +65,11 @@ def enrich_batches(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
             last = number == number.iloc[-1]  # goes on in the next frame, maybe
             rest = pdf[last]
             for _, batch in pdf[~last].groupby(number[~last], sort=False):
-                yield fn(batch.reset_index(drop=True))
+                yield call(batch.reset_index(drop=True))
         if rest is not None and len(rest):
-            yield fn(rest.reset_index(drop=True))
+            yield call(rest.reset_index(drop=True))
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(run, schema + (", error string" if errors else ""))
 
 
 def apply_summaries(pending: DataFrame, summaries: DataFrame, id_col: str = "id",

@@ -1083,7 +1083,7 @@ def q_stored_cascade(spark, sf):
 _KINDS = ["rss", "web", "x"]  # one landed file each, in this order
 
 
-def _stream_cycles_sql() -> str:
+def _stream_cycles_sql(counts: bool = False) -> str:
     """Three cycles, each with the items of one kind; arrival is by kind, so
     the ids are those of one ingest of all of them."""
     parts, sent = [], "_sent0"
@@ -1100,16 +1100,64 @@ _news{k} AS (SELECT p.id, p.source_id, p.title, p.content, p.url, p.published_at
 _sent{k} AS (SELECT news_id, chat FROM {sent} UNION ALL SELECT news_id, chat_id FROM c{k}_out)""")
         sent = f"_sent{k}"
     outs = " UNION ALL ".join(f'SELECT {k - 1} AS cycle, chat_id, "rank", news_id, message FROM c{k}_out' for k in range(1, len(_KINDS) + 1))
+    if counts:
+        outs = " UNION ALL ".join(f"""SELECT {k - 1} AS cycle, (SELECT count(*) FROM _fresh WHERE source_type = '{kind}') AS n_added,
+  (SELECT count(*) FROM c{k}_pend) AS n_pending, (SELECT count(*) FROM c{k}_pend) - (SELECT count(*) FROM c{k}_out) AS n_removed,
+  (SELECT count(*) FROM c{k}_out) AS n_sent""" for k, kind in enumerate(_KINDS, 1))
     return f"WITH RECURSIVE {_CYCLE_BASE_SQL}, {','.join(parts)} {outs}"
 
 
 @register("stream_cycles", _stream_cycles_sql())
 def q_stream_cycles(spark, sf):
     """Three micro-batches of landed files, a delivery cycle each, on stored news, summaries, outbox and sent log."""
+    return (_streamed(spark, sf).outbox()
+            .select(F.col("batch_id").cast("int").alias("cycle"), "chat_id", "rank", "news_id", "message"))
+
+
+@register("stream_cycle_counts", _stream_cycles_sql(counts=True))
+def q_stream_cycle_counts(spark, sf):
+    """Rows added, pending, removed and sent by each of three streamed cycles, observed by the jobs that write them."""
+    return (_streamed(spark, sf).counts()
+            .select(F.col("batch_id").cast("int").alias("cycle"), "n_added", "n_pending", "n_removed", "n_sent"))
+
+
+def _streamed(spark, sf):
     sources, land, news, sent, chats, now = _cycle_inputs(spark, sf)
     root = _stored_path(spark, "stream-cycles")
     for kind in _KINDS:
         land.filter(F.col("source_type") == kind).coalesce(1).write.parquet(f"{root}/landing/{kind}")
     store = SC.CycleStore.create(f"{root}/flow", news, sent)
     SC.stream_cycles(store, f"{root}/landing", land.schema, sources, chats, now)
-    return store.outbox().select(F.col("batch_id").cast("int").alias("cycle"), "chat_id", "rank", "news_id", "message")
+    return store
+
+
+# ---------------------------------------------------------------------------
+# Bucketed state: C2, C6, I1 without a shuffle of the state
+# ---------------------------------------------------------------------------
+from wirefold.sources import bucketed as BU  # noqa: E402
+
+
+def _bucketed(spark, df, label: str, keys: list[str], buckets: int = 8):
+    return BU.save_bucketed(df, f"{label}_{uuid.uuid4().hex}", _stored_path(spark, label), keys, buckets)
+
+
+@register("bucketed_insert", f"""
+WITH {_LINK_STATE_SQL}
+SELECT url, source_id, pos, title FROM _st UNION ALL SELECT url, source_id, pos, title FROM _new""")
+def q_bucketed_insert(spark, sf):
+    """Insert-or-ignore on a table bucketed by url: only the changes are exchanged."""
+    state, changes = _link_state(spark, sf)
+    return ST.apply_insert_or_ignore(_bucketed(spark, state, "news_by_url", ["url"]), changes, ["url"],
+                                     ["source_type", "source_id", "pos"])
+
+
+@register("bucketed_unsent", f"""
+WITH {_NEWS_SQL}
+SELECT id, source_id, fetched_at, source_name FROM _n
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = _n.id AND l.l_returnflag = '{CHAT}')
+ORDER BY fetched_at DESC, id DESC LIMIT 50""")
+def q_bucketed_unsent(spark, sf):
+    """Pending rows of a chat on news and log that are both bucketed by the news id."""
+    news = _bucketed(spark, TB.news_orders(spark, sf), "news_by_id", ["id"])
+    sent = _bucketed(spark, TB.sent_lineitem(spark, sf), "sent_by_news", ["news_id"])
+    return SEL.unsent_news(news, TB.sources_large(spark, sf), sent, CHAT).select("id", "source_id", "fetched_at", "source_name")

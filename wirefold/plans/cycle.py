@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wirefold.functions import text as T
@@ -84,21 +84,24 @@ def sent_rows(news: DataFrame, sent: DataFrame, chats: DataFrame, chat_col: str
 
 def enrich_pending(kept: DataFrame, summarize: Callable[[pd.DataFrame], pd.DataFrame],
                    batch_size: int = EN.BATCH_SIZE) -> DataFrame:
-    """(id, summary) of the rows without a summary; a row that is pending for
-    several chats goes to ``summarize`` once."""
+    """(id, summary, error) of the rows without a summary; a row that is pending
+    for several chats goes to ``summarize`` once. Rows of a batch whose call
+    failed have the error and no summary."""
     todo = kept.filter(F.coalesce(F.col("summary_tr"), F.lit("")) == "").select("id", "content").dropDuplicates(["id"])
     todo = EN.summary_batches(cut_lineage(todo), [], ["id"], batch_size)
-    return cut_lineage(EN.enrich_batches(todo, summarize, ["batch_no"]).dropDuplicates(["id"]))
+    return cut_lineage(EN.enrich_batches(todo, summarize, ["batch_no"], errors=True).dropDuplicates(["id"]))
 
 
 def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: DataFrame,
                chats: DataFrame, now: Column, limit: int = SEL.PENDING_LIMIT,
                threshold: float = S.SIMILARITY_THRESHOLD,
                summarize: Callable[[pd.DataFrame], pd.DataFrame] = EN.first_sentence_summaries,
-               batch_size: int = EN.BATCH_SIZE, against_history: bool = False) -> dict[str, DataFrame]:
+               batch_size: int = EN.BATCH_SIZE, against_history: bool = False,
+               count_pending: Observation | None = None) -> dict[str, DataFrame]:
     """Run one cycle for every chat in ``chats`` (chat_id). Returns news' (with
     the new summaries), the rows added, the pending rows, the outbox
-    (chat_id, rank, news_id, message) and the summaries found (id, summary_tr). ``against_history`` also compares the
+    (chat_id, rank, news_id, message), the summaries found (id, summary_tr) and
+    the rows whose enrichment failed (id, error), which are not in the outbox. ``against_history`` also compares the
     pending rows with what each chat was sent before."""
     # the fetched items feed both the ingest and the "anything fetched" guard
     items = cut_lineage(X.fetch_all_active(sources, landing))
@@ -107,16 +110,22 @@ def news_cycle(sources: DataFrame, landing: DataFrame, news: DataFrame, sent: Da
     # guards: nothing fetched this cycle, or no active source -> nothing sent
     # (pending is at most limit rows per chat; written once, read by every
     # later step instead of re-running the fetch and ingest)
-    pending = cut_lineage(pending.filter(items.exists()))
+    pending = pending.filter(items.exists())
+    if count_pending is not None:  # counted while it is written
+        pending = pending.observe(count_pending, F.count(F.lit(1)).alias("n"))
+    pending = cut_lineage(pending)
     kept = cut_lineage(dedup_pending(pending, threshold, sent_rows(news2, sent, chats) if against_history else None))
-    summaries = enrich_pending(kept, summarize, batch_size)
-    kept = EN.apply_summaries(kept, summaries)
+    answers = enrich_pending(kept, summarize, batch_size)
+    failed = answers.filter(F.col("error").isNotNull()).select("id", "error")
+    summaries = answers.filter(F.col("error").isNull()).select("id", "summary")
+    # rows whose enrichment failed are not sent: they come back in the next cycle
+    kept = EN.apply_summaries(kept.join(failed.select("id"), "id", "left_anti"), summaries)
     stored = summaries.select("id", F.col("summary").alias("summary_tr"))
     news3 = ST.update_by_key(news2, stored, ["id"], ["summary_tr"], flag=None)
     outbox = kept.select("chat_id", "rank", F.col("id").alias("news_id"), T.render_message(
         F.col("title"), F.col("summary_tr"), F.col("content"), F.col("source_name"), F.col("url"),
         F.col("is_column")).alias("message"))
-    return {"news": news3, "new_rows": new_rows, "pending": pending, "outbox": outbox, "summaries": stored}
+    return {"news": news3, "new_rows": new_rows, "pending": pending, "outbox": outbox, "summaries": stored, "failed": failed}
 
 
 def delivered(sent: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 News, summaries, outbox and sent log are append-only tables with a folder per
 batch. A cycle reads the folders of earlier batches only and writes its own in
-overwrite mode, the sent log last; so a batch that was lost between two writes
+overwrite mode, the sent log last but for the counts; so a batch that was lost between two writes
 is run again and gives the same tables, and a delivery that was not logged
 comes back in a later cycle.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,10 @@ from wirefold.plans import cycle as CY
 SUMMARIES = T.StructType([T.StructField("id", T.LongType()), T.StructField("summary_tr", T.StringType())])
 
 
+#: Rows added, pending, held back (near-duplicates, failed enrichment) and logged as sent.
+COUNTS = "n_added long, n_pending long, n_removed long, n_sent long"
+
+
 def all_delivered(outbox: DataFrame) -> DataFrame:
     """Delivery results (news_id, chat_id, ok, message_id) when every send succeeds."""
     return outbox.select("news_id", "chat_id", F.lit(True).alias("ok"), F.lit(None).cast("long").alias("message_id"))
@@ -50,6 +54,10 @@ class CycleStore:
     def sent(self, before: int | None = None) -> DataFrame:
         return read_batches(self.spark, f"{self.root}/sent", self.sent_schema, before)
 
+    def counts(self) -> DataFrame:
+        """One row per cycle (``COUNTS`` and batch_id)."""
+        return self.spark.read.parquet(f"{self.root}/counts")
+
     def outbox(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/outbox")
 
@@ -58,12 +66,17 @@ class CycleStore:
         """One cycle (``cycle.news_cycle``) over the tables as the batches
         before ``batch_id`` left them."""
         sent = self.sent(batch_id)
-        found = CY.news_cycle(sources, landing, self.news(batch_id), sent, chats, now, **options)
-        append_batch(found["new_rows"].select(*self.news_schema.names), f"{self.root}/news", batch_id)
+        seen = {name: Observation() for name in ("added", "pending", "rendered", "sent")}
+        counted = lambda rows, name: rows.observe(seen[name], F.count(F.lit(1)).alias("n"))
+        found = CY.news_cycle(sources, landing, self.news(batch_id), sent, chats, now, count_pending=seen["pending"], **options)
+        append_batch(counted(found["new_rows"].select(*self.news_schema.names), "added"), f"{self.root}/news", batch_id)
         append_batch(found["summaries"], f"{self.root}/summaries", batch_id)
-        append_batch(found["outbox"], f"{self.root}/outbox", batch_id)
+        append_batch(counted(found["outbox"], "rendered"), f"{self.root}/outbox", batch_id)
         outbox = self.outbox().filter(F.col("batch_id") == batch_id)
-        append_batch(CY.delivered(sent, deliver(outbox)), f"{self.root}/sent", batch_id)
+        append_batch(counted(CY.delivered(sent, deliver(outbox)), "sent"), f"{self.root}/sent", batch_id)
+        n = {name: o.get["n"] for name, o in seen.items()}  # counted by the jobs that wrote the rows
+        append_batch(self.spark.createDataFrame([(n["added"], n["pending"], n["pending"] - n["rendered"], n["sent"])], COUNTS),
+                     f"{self.root}/counts", batch_id)
 
 
 def stream_cycles(store: CycleStore, landing_dir: str, schema: T.StructType, sources: DataFrame, chats: DataFrame,
