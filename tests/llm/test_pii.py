@@ -75,3 +75,35 @@ def test_accounts_reach_their_end():
     for text, want in cases:
         assert [text[a:b] for a, b in find_spans(text, AUTOMATON)["account"]] == [want], text[:60]
     assert find_spans("IBAN: DE89370400440532013001 BIC", AUTOMATON)["account"] == []
+
+
+def test_schemes_and_cues_inside_a_run_are_read_once():
+    import time
+    t = time.time()
+    assert find_spans("mailto:" * 150_000, AUTOMATON)["address"] == []
+    assert find_spans("tokenx-" * 150_000, AUTOMATON)["account"] == []
+    assert time.time() - t < 4
+    mails = "mailto:" * 3 + "a@b.c mailto:x http://u@h mailto:@ mailto:@@ mailto:a@"
+    assert [mails[a:b] for a, b in find_spans(mails, AUTOMATON)["address"]] == ["mailto:mailto:mailto:a@b.c", "http://u@h"]
+    inner = "tokenx-tokenx-token: 12345678 tokenx-tokenis'abcd1234'"
+    assert [inner[a:b] for a, b in find_spans(inner, AUTOMATON)["account"]] == ["12345678", "abcd1234"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["mailto:", "http://", "@", "a", "/", " ", "token", "is", "-", "x1", "1234", ":", "'"]), max_size=25))
+def test_added_kinds_equal_a_search_from_every_anchor(parts):
+    from wirefold.llm import pii
+    text, low = "".join(parts), "".join(parts).lower()
+    address, account, a_end, c_end = [], [], 0, 0
+    for at, (kind, length) in AUTOMATON.iter(low):
+        start = at - length + 1
+        if kind == "scheme" and start >= a_end and (m := pii.AUTHORITY.match(text, at + 1)) and "@" in m.group()[1:-1]:
+            a_end = m.end()
+            address.append((start, a_end))
+        if kind == "cue" and start >= c_end and not text[start - 1:start].isalnum() and text[start - 1:start] != "_":
+            m = pii.CUE_VALUE.match(text, at + 1)
+            if m and sum(c.isdigit() for c in m.group(1)) >= 4:
+                c_end = m.end(1)
+                account.append(m.span(1))
+    found = find_spans(text, AUTOMATON)
+    assert (found["address"], found["account"]) == (address, account)

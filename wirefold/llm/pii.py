@@ -101,6 +101,8 @@ def find_spans(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     end_of = dict.fromkeys(KINDS, 0)  # no new match of a kind starts before this
     digits_end = 0  # end of the digit run entered last
+    authority_end = last_sign = 0  # of the authority read last: its end, its last at-sign before the final character
+    refused = 0, 0  # the value read last after a cue that has too few digits
     for at, (anchor, length) in automaton.iter(lowered(text)):
         start = at - length + 1
         if anchor == "digit":
@@ -130,23 +132,31 @@ def find_spans(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
                 if 9 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
                     out["phone"].append(m.span())
         elif anchor == "scheme":
-            m = AUTHORITY.match(text, at + 1)
+            # a scheme inside an authority ends where that one does: each is read once
+            if at + 1 >= authority_end and (m := AUTHORITY.match(text, at + 1)):
+                authority_end = m.end()
+                last_sign = text.rfind("@", at + 2, authority_end - 1)
             # a web address is personal when it carries user data before an at-sign
-            if start >= end_of["address"] and m and "@" in m.group()[1:-1]:
-                end_of["address"] = m.end()
-                out["address"].append((start, m.end()))
+            if start >= end_of["address"] and at + 1 < authority_end and last_sign > at + 1:
+                end_of["address"] = authority_end
+                out["address"].append((start, authority_end))
         else:
             before = text[start - 1:start]
             if start < end_of["account"] or before.isalnum() or before == "_":
                 continue
+            if refused[0] <= at + 1 and at + 3 < refused[1]:
+                continue  # its value would be the end of one with too few digits
             if text[start:at + 1].lower() == "iban":
                 skip = re.compile(r"[\s:=#]{0,4}").match(text, at + 1).end()
                 if end := iban_end(text, skip):
                     end_of["account"] = end
                     out["account"].append((skip, end))
-            elif (m := CUE_VALUE.match(text, at + 1)) and sum(c.isdigit() for c in m.group(1)) >= 4:
-                end_of["account"] = m.end(1)
-                out["account"].append(m.span(1))
+            elif m := CUE_VALUE.match(text, at + 1):
+                if sum(c.isdigit() for c in m.group(1)) >= 4:
+                    end_of["account"] = m.end(1)
+                    out["account"].append(m.span(1))
+                else:
+                    refused = m.span(1)
     return out
 
 
