@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wirefold.llm.langid import BLOCK, Parser, identify_language, suffix_automaton
+from wirefold.llm.langid import BLOCK, Parser, identify_language, predict_language, suffix_automaton
 
 A = "the quick brown fox jumps over the lazy dog while the other animals watch from the hill and say nothing "
 B = "der schnelle braune fuchs springt ueber den faulen hund waehrend die anderen tiere zusehen und schweigen "
@@ -35,13 +35,14 @@ def test_automaton_accepts_exactly_the_substrings():
 
 def test_phrase_counts_equal_brute_force():
     parser = Parser((("a", A), ("b", B)))
-    for text in (A[10:90], B[5:70], "zzz foo the fox qqq", "dog", "x", A + B):
-        symbols = parser.symbols(text).tolist()
+    rnd = random.Random(8)
+    mixed = " ".join(rnd.choice(("the quick", "fox jumps over", "schnelle braune", "zz", "hill")) for _ in range(900))
+    for text in (A[10:90], B[5:70], "zzz foo the fox qqq", "dog", "x", A + B, A * 9, "a" * (2 * BLOCK), "a" * (2 * BLOCK + 1), mixed):
+        symbols = "".join(map(chr, parser.symbols(text).tolist()))
         cost, n, _ = parser.costs([text])
         for j, sample in enumerate((A, B)):
             s = "".join(map(chr, parser.symbols(sample).tolist()))
-            blocks = ["".join(map(chr, symbols[i:i + BLOCK])) for i in range(0, len(symbols), BLOCK)]
-            want = sum(brute_phrases(b, s) for b in blocks)
+            want = brute_phrases(symbols, s)
             assert abs(cost[0, j] * n[0] / parser.weights[j] - want) < 1e-6, (text, j)
 
 
@@ -73,7 +74,20 @@ def test_languages_of_many_scripts_and_labels(docs_frame):
 
 
 def test_sparse_transitions_equal_dense_ones(monkeypatch):
-    texts = [A[10:90], B[5:70], "zzz foo the fox qqq ж", A + B]
+    texts = [A[10:90], B[5:70], "zzz foo the fox qqq ж", A + B, "", (A + B) * 8, "x" * 600]
     dense = Parser((("a", A), ("b", B))).costs(texts)[0]
     monkeypatch.setattr("wirefold.llm.langid.DENSE_CELLS", 0)
     assert (Parser((("a", A), ("b", B))).costs(texts)[0] == dense).all()
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    docs = spark.createDataFrame([(1, "common words of both"), (2, "words"), (3, "both" * 200)], "doc_id long, text string")
+    samples = (("aa", "common words of both"), ("bb", "common words of both"))
+    assert {(r["lang_pred"], r["score"]) for r in predict_language(docs, samples, ["doc_id"]).collect()} == {("aa", 0.0)}
+
+
+def test_costs_do_not_depend_on_the_other_texts():
+    parser = Parser((("a", A), ("b", B)))
+    texts = [A * 7, "", B * 11, "dog", (A[:40] + B[:50]) * 20]
+    together = parser.costs(texts)[0]
+    assert all((parser.costs([t])[0][0] == together[i]).all() for i, t in enumerate(texts))

@@ -8,7 +8,10 @@ wins. Letters are lower-cased and every run of other characters is one space.
 
 The sample is bounded by documented parameters and chosen by a hash of the
 identifier; prediction reads every whole text in one narrow pass. Texts are
-parsed in blocks of ``BLOCK`` symbols, all blocks of a batch side by side.
+parsed in blocks of ``BLOCK`` symbols, all blocks of a batch side by side: first
+each from the automaton's start, then again those that the block before them
+leaves in another state, until none is. So phrases run across blocks, and the
+counts are those of one parse from end to end.
 """
 
 from __future__ import annotations
@@ -133,10 +136,10 @@ class Parser:
         return column, width, step.astype(np.int32).ravel(), None
 
     @staticmethod
-    def _sparse_counts(columns, column, width: int, keys, to, start):
+    def _sparse_counts(columns, state, column, width: int, keys, to, start):
+        """(phrases that end in each block, states after it) from the states before it."""
         import numpy as np
 
-        state = np.zeros(columns.shape[1], dtype=np.int64)
         count = np.zeros(columns.shape[1], dtype=np.int32)
         for symbols in columns:
             c = column.take(symbols)
@@ -146,7 +149,18 @@ class Parser:
             count += real & ends & (state > 0)
             count += c == 1
             state = np.where(real, np.where(ends, start[c], to[at]), state)
-        return count + (state > 0)
+        return count, state
+
+    @staticmethod
+    def _dense_counts(columns, state, column, step):
+        import numpy as np
+
+        count = np.zeros(columns.shape[1], dtype=np.int32)
+        for c in columns:
+            value = step.take(state + column.take(c))
+            count += value & 3
+            state = value >> 2
+        return count, state
 
     def symbols(self, text: str):
         import numpy as np
@@ -173,17 +187,27 @@ class Parser:
             row += n
         columns = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.langs)))
+        first = np.ones(len(owner), dtype=bool)
+        first[1:] = owner[1:] != owner[:-1]
         for j, ((column, width, step, sparse), weight) in enumerate(zip(self.tables, self.weights, strict=True)):
-            if step is None:
-                count = self._sparse_counts(columns, column, width, *sparse)
-            else:
-                state = np.zeros(len(owner), dtype=np.int32)
-                count = np.zeros(len(owner), dtype=np.int32)
-                for c in columns:
-                    value = step.take(state + column.take(c))
-                    count += value & 3
-                    state = value >> 2
-                count += state > 0  # the phrase that was open at the end
+            def parse(blocks, before):
+                if step is None:
+                    return self._sparse_counts(blocks, before, column, width, *sparse)  # noqa: B023
+                return self._dense_counts(blocks, before, column, step)  # noqa: B023
+
+            before = np.zeros(len(owner), dtype=np.int64 if step is None else np.int32)
+            count, after = parse(columns, before)
+            while True:
+                # phrases run across blocks: parse again what begins in another state than assumed
+                true = np.zeros_like(before)
+                true[1:] = np.where(first[1:], 0, after[:-1])
+                again = np.flatnonzero(true != before)
+                if not len(again):
+                    break
+                before[again] = true[again]
+                count[again], after[again] = parse(columns[:, again], before[again])
+            last = np.r_[first[1:], np.ones(min(1, len(owner)), dtype=bool)]
+            count = count + (last & (after > 0))  # the phrase that is open at a text's end
             out[:, j] = np.bincount(owner, weights=count, minlength=len(texts)) * weight
         return out / np.maximum(lengths, 1)[:, None], lengths, letters
 
