@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from wirefold.llm.common import stored
 from wirefold.llm.tool_calls import QUERY_SCHEMAS, canonical_json, link_tool_calls, op5_tool_calls, quoted, topological_levels
 
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", True), "note": ("string", False)}, "go": {"where": ("object", False), "tags": ("array", False)}}
@@ -60,6 +62,50 @@ def test_levels_are_longest_paths(spark):
     assert {r["call_id"]: r["level"] for r in got.collect()} == want
 
 
+def levels(spark, nodes, links):
+    got = topological_levels(spark.createDataFrame(nodes, "conv_id long, call_id string"),
+                             spark.createDataFrame(links, "conv_id long, call_id string, parent string"))
+    rows = [((r["conv_id"], r["call_id"]), r["level"]) for r in got.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from wirefold.llm import tool_calls
+    writes = []
+    monkeypatch.setattr(tool_calls, "stored", lambda df, label: writes.append(label) or stored(df, label))
+    nodes = [(c, str(i)) for c in (1, 2) for i in range(500)]
+    links = [(c, str(i), str(i - 1)) for c in (1, 2) for i in range(1, 500)]
+    assert levels(spark, nodes, links) == {(c, str(i)): i for c in (1, 2) for i in range(500)}
+    assert len(writes) <= 16  # 11 of them doublings
+
+
+def test_levels_of_random_graphs_with_cycles(spark):
+    rnd = random.Random(3)
+    nodes, links, want = [], [], {}
+    for conv in range(40):
+        n = rnd.randrange(1, 14)
+        mine = {(str(i), str(rnd.randrange(n) if rnd.random() < 0.08 else rnd.randrange(i)))
+                for i in range(1, n) for _ in range(rnd.choice((0, 1, 1, 1, 2)))}
+        nodes += [(conv, str(i)) for i in range(n)]
+        links += [(conv, c, p) for c, p in mine]
+        level = {}
+        for _ in range(n):
+            for i in map(str, range(n)):
+                parents = [p for c, p in mine if c == i]
+                if all(p in level for p in parents):
+                    level[i] = max((level[p] + 1 for p in parents), default=0)
+        want |= {(conv, str(i)): level.get(str(i)) for i in range(n)}
+    assert levels(spark, nodes, links) == want and None in want.values()
+
+
+def test_query_links_a_conversation_of_many_turns(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for t in range(200)] + [(2, 0, "user", "hi"), (2, 4, "user", "gap")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): (r["level"], r["status"]) for r in op5_tool_calls(spark, str(tmp_path)).collect()}
+    assert got == {(1, t): (t // 2, "linked") for t in range(0, 200, 2)} | {(2, 0): (0, "no_result"), (2, 4): (0, "no_result")}
+
+
 def test_empty_tables(spark):
     calls = spark.createDataFrame([], "conv_id long, call_id string, turn long, tool string, arguments string, parents array<string>")
     results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")

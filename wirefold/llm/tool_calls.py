@@ -1,8 +1,9 @@
 """Tool-call linking for chat data (DataFrame operations only).
 
 Calls and results are hash-joined by (conversation, call id). The links that
-calls have to earlier calls are put in topological order level by level: a
-call whose links all lead to placed calls is placed next. Arguments are parsed
+calls have to earlier calls are put in topological order: a call whose links all
+lead to placed calls is placed next, and a whole run of calls that wait for one
+call each is placed with its head, by pointer doubling. Arguments are parsed
 to variants, checked against the schemas, and written as canonical JSON (keys
 sorted, no white space). Every join key holds the call id, so a conversation
 with a third of all rows is spread over all tasks; nothing is collected per
@@ -62,28 +63,65 @@ def argument_errors(tool: Column, arguments: Column, schemas: Schemas) -> Column
     return F.array_sort(F.when(is_object, checks).otherwise(F.array(F.lit("malformed"))))
 
 
+def _run_heads(singles: DataFrame) -> DataFrame:
+    """``singles`` (conv_id, call_id, parent, least, steps): each row's level is
+    the larger of ``least`` and its parent's level + ``steps``. Returns them with
+    ``parent`` moved along the run to the first call that is not itself one of
+    ``singles``. Rows on or behind a cycle keep one of them as parent."""
+    hops = singles
+    for _ in range(max(1, singles.count().bit_length() + 1)):
+        beyond = hops.select("conv_id", F.col("call_id").alias("parent"), F.col("parent").alias("b_parent"),
+                             F.col("least").alias("b_least"), F.col("steps").alias("b_steps"))
+        hops = stored(hops.join(beyond.hint("shuffle_hash"), ["conv_id", "parent"], "left").select(
+            "conv_id", "call_id", F.coalesce("b_parent", "parent").alias("parent"),
+            F.greatest("least", F.col("b_least") + F.col("steps")).alias("least"),
+            (F.col("steps") + F.coalesce("b_steps", F.lit(0))).alias("steps"),
+            F.col("b_parent").isNotNull().alias("moved")), "call-hops")
+        if hops.filter("moved").isEmpty():
+            break
+        hops = hops.drop("moved")
+    return hops.drop("moved")
+
+
 def topological_levels(calls: DataFrame, links: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without links, else one more than the
     deepest linked call; null on or behind a cycle. ``links`` (conv_id, call_id,
     parent) to calls that don't exist are ignored, and so are calls with a null
-    key. One round per level."""
+    key. A run of n calls with one open link each takes about log2(n) joins; a
+    round is needed for each further call that waits for two or more at once."""
     key = ["conv_id", "call_id"]
     nodes = stored(calls.select(*key).dropna().distinct(), "call-nodes")
     open_links = (links.filter("parent IS NOT NULL").select("conv_id", "call_id", "parent").distinct()
                   .join(nodes, key, "left_semi")
                   .join(nodes.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi"))
     open_links = stored(open_links, "call-links")
-    placed, waiting, level = [], nodes, 0
+    placed, waiting = [], nodes.withColumn("least", F.lit(0).cast("long"))
     while True:
-        ready = stored(waiting.join(open_links, key, "left_anti"), "call-ready")
+        degree = open_links.groupBy(*key).agg(F.count(F.lit(1)).alias("waits"), F.min("parent").alias("parent"))
+        state = stored(waiting.join(degree, key, "left"), "call-state")
+        ready = state.filter("waits IS NULL").select(*key, F.col("least").alias("level"))
         if ready.isEmpty():
             break
-        placed.append(ready.withColumn("level", F.lit(level).cast("long")))
-        waiting = stored(waiting.join(ready, key, "left_anti"), "call-waiting")
-        open_links = stored(open_links.join(ready.select("conv_id", F.col("call_id").alias("parent")),
-                                            ["conv_id", "parent"], "left_anti"), "call-links")
-        level += 1
-    out = waiting.withColumn("level", F.lit(None).cast("long"))
+        done = ready
+        singles = state.filter("waits = 1").select(*key, "parent", "least", F.lit(1).cast("long").alias("steps"))
+        if not singles.isEmpty():
+            heads = ready.select("conv_id", F.col("call_id").alias("parent"), "level")
+            done = done.unionAll(_run_heads(singles).join(heads, ["conv_id", "parent"]).select(
+                *key, F.greatest("least", F.col("level") + F.col("steps")).alias("level")))
+        done = stored(done, "call-levels")
+        placed.append(done)
+        left = state.select(*key, "least").join(done, key, "left_anti")
+        if left.isEmpty():
+            waiting = left
+            break
+        parents = done.select("conv_id", F.col("call_id").alias("parent"), "level")
+        reached = (open_links.join(parents, ["conv_id", "parent"]).groupBy(*key)
+                   .agg((F.max("level") + 1).alias("reached")))
+        waiting = stored(left.join(reached, key, "left")
+                         .select(*key, F.greatest("least", "reached").alias("least")), "call-waiting")
+        open_links = stored(open_links.join(parents, ["conv_id", "parent"], "left_anti")
+                            .join(waiting, key, "left_semi").select(*key, "parent"), "call-links")
+    out = waiting.select(*key, F.lit(None).cast("long").alias("level"))
     for p in placed:
         out = out.unionAll(p)
     return out
@@ -140,13 +178,13 @@ QUERY_SCHEMAS: Schemas = {
 def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Calls and results from the conversations: each user turn calls a tool
     with its whole text, and each assistant turn answers the turn before it.
-    A call follows the user's last one in the same eight turns."""
+    A call follows the call two turns before, so a conversation is one chain."""
     rows = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     tool = F.element_at(F.array(F.lit("search"), F.lit("translate"), F.lit("summarise")), (F.pmod(F.expr("turn div 2"), F.lit(3)) + 1).cast("int"))
     arguments = F.to_json(F.struct(F.size(F.split("text", " ")).alias("words"), F.col("text")))
     before = F.col("turn") - 2
-    parents = F.when(F.expr("(turn - 2) div 8 = turn div 8 AND turn >= 2"), F.array(name(before)))
+    parents = F.array(name(before))
     calls = rows.filter("role = 'user'").select("conv_id", name(F.col("turn")).alias("call_id"), "turn", tool.alias("tool"),
                                                 arguments.alias("arguments"), parents.alias("parents"))
     results = rows.filter("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn",
