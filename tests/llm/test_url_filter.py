@@ -25,7 +25,7 @@ def rule_of(host, path):
     return best or (None, None)
 
 
-def brute(pages, labels, depth, support, z, reject, tw=5.0, hw=10.0):
+def brute(pages, labels, support, z, reject, tw=5.0, hw=10.0):
     bad = {}
     for i, b in labels:
         if i is not None and b is not None:
@@ -41,9 +41,9 @@ def brute(pages, labels, depth, support, z, reject, tw=5.0, hw=10.0):
         if i in bad:
             s[1] += 1
             s[2] += bad[i]
-    for level in range(depth):
+    for level in range(max(len(k[1].split("/")) for k in leaf)):
         branch, node = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])
-        seg = {k: (k[1].split("/")[1:] + [None] * 99)[level] for k in leaf}
+        seg = {k: dict(enumerate(k[1].split("/")[1:])).get(level) for k in leaf}
         for k, t in leaf.items():
             if seg[k] is not None:
                 for j in range(3):
@@ -56,7 +56,6 @@ def brute(pages, labels, depth, support, z, reject, tw=5.0, hw=10.0):
             if n >= support and lab > 0 and abs(b - lab * share) >= z * (lab * share * (1 - share)) ** .5:
                 keep.add((h, t, g))
         leaf = {k: t if seg[k] is None else t + "/" + (seg[k] if (k[0], t, seg[k]) in keep else "*") for k, t in leaf.items()}
-    leaf = {k: t + ("/**" if len(k[1].split("/")) > depth + 1 else "") for k, t in leaf.items()}
     temp, host = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for k, t in leaf.items():
         for s in (temp[k[0], t], host[k[0]]):
@@ -92,11 +91,21 @@ def test_equals_brute_force(frames):
             labels.append((i, int(part == "spam" or i % 17 == 0)))
     p, l = frames(pages, labels)
     got = filter_urls(p, l, min_support=5).select("page_id", "host", "path", "rule", "verdict", "template").collect()
-    want = brute(pages, labels, 6, 5, 2.0, 0.5)
+    want = brute(pages, labels, 5, 2.0, 0.5)
     assert Counter(tuple(r) for r in got) == want
     assert any(r[5].startswith("/spam/") and r[4] == "block" and r[3] is None for r in want)
 
 
+def test_a_deep_segment_tells_urls_apart(frames):
+    pages = [(i, f"http://h.net/{'d/' * 11}{'spam' if i % 2 else 'news'}/{i}/{i % 3}.html") for i in range(200)]
+    labels = [(i, i % 2) for i in range(0, 200, 3)]
+    p, l = frames(pages, labels)
+    got = filter_urls(p, l).select("page_id", "host", "path", "rule", "verdict", "template").collect()
+    assert Counter(tuple(r) for r in got) == brute(pages, labels, 20, 2.0, 0.5)
+    assert {(r["page_id"] % 2, r["verdict"]) for r in got} == {(0, "allow"), (1, "block")}
+    assert {r["template"].split("/")[12] for r in got} == {"spam", "news"}
+
+
 def test_empty_tables(frames):
     p, l = frames([], [])
     assert filter_urls(p, l).count() == 0

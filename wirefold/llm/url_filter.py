@@ -6,7 +6,7 @@ judged by a template tree, grown one path segment at a time:
 
 1. Digits in a segment are generalised to ``*``, and urls of a host with the
    same such path are one row with counts from here on.
-2. Below each node, a segment stays literal if it is frequent and its labelled
+2. Below each node, however deep, a segment stays literal if it is frequent and its labelled
    share of bad pages differs from the node's own (a z-test); rare segments and
    branches that are statistically alike merge into the wildcard branch.
 3. A template's purity is its labelled bad share, smoothed towards its host's,
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from wirefold.llm.common import LOWER, UPPER, stored, table
 
-#: Segments with a level of the tree of their own; deeper ones are one wildcard.
-DEPTH = 6
 #: Pages below which a segment is generalised.
 MIN_SUPPORT = 20
 #: Standard errors by which a branch must differ from its node to stay apart.
@@ -75,32 +73,36 @@ def lexical_path(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "*")
 
 
-def template_tree(paths: DataFrame, depth: int = DEPTH, min_support: int = MIN_SUPPORT, z: float = Z,
-                  salts: int = SALTS) -> DataFrame:
+def template_tree(paths: DataFrame, min_support: int = MIN_SUPPORT, z: float = Z, salts: int = SALTS) -> DataFrame:
     """``paths``: one row per (host, lexical) with n, labelled and bad counts.
-    Returns them with ``template``."""
-    segments = F.slice(F.split(F.col("lexical"), "/"), 2, depth)
-    tree = paths.withColumn("segments", segments).withColumn("deeper", F.size(F.split(F.col("lexical"), "/")) > depth + 1)
-    tree = tree.withColumn("template", F.lit(""))
+    Returns them with ``template``. One round per level, down to the last at
+    which a node has ``min_support`` pages: below it no segment can be frequent,
+    as a node's pages are among those of the node above."""
+    parts = F.split(F.col("lexical"), "/")
+    tree = paths.withColumn("segments", F.slice(parts, F.lit(2), F.size(parts))).withColumn("template", F.lit(""))
     counts = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    for level in range(depth):
+    level = 0
+    while True:
         tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
         branch = (tree.filter(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(*counts))
         branch = stored(branch, "url-branches")
         node = branch.groupBy("host", "template").agg(
-            F.sum("labelled").alias("of_labelled"), F.sum("bad").alias("of_bad"))
+            F.sum("labelled").alias("of_labelled"), F.sum("bad").alias("of_bad"), F.sum("n").alias("of_n"))
+        if node.filter(F.col("of_n") >= min_support).isEmpty():
+            break
         frequent = branch.filter(F.col("n") >= min_support)
         share = (F.col("of_bad") + 1.0) / (F.col("of_labelled") + 2.0)
         apart = F.abs(F.col("bad") - F.col("labelled") * share) >= z * F.sqrt(F.col("labelled") * share * (1 - share))
-        literal = (salted_join(frequent, node, ["host", "template"], ["segment"], salts, "inner")
+        literal = (salted_join(frequent, node.drop("of_n"), ["host", "template"], ["segment"], salts, "inner")
                    .filter(apart & (F.col("labelled") > 0)).select("host", "template", "segment", F.lit(True).alias("literal")))
         tree = (salted_join(tree, stored(literal, "url-literal"), ["host", "template", "segment"], ["lexical"], salts)
                 .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat(
                     "template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))))
                 .drop("literal", "segment"))
         tree = stored(tree, "url-tree")
-    return (tree.withColumn("template", F.when(F.col("deeper"), F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-            .drop("segments", "deeper"))
+        level += 1
+    rest = F.greatest(F.size("segments") - level, F.lit(0))
+    return tree.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segments", "segment")
 
 
 def template_purity(tree: DataFrame, template_weight: float = TEMPLATE_WEIGHT, host_weight: float = HOST_WEIGHT) -> DataFrame:
@@ -116,8 +118,8 @@ def template_purity(tree: DataFrame, template_weight: float = TEMPLATE_WEIGHT, h
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id",
-                url_col: str = "url", reject: float = REJECT, depth: int = DEPTH, min_support: int = MIN_SUPPORT,
-                z: float = Z, salts: int = SALTS) -> DataFrame:
+                url_col: str = "url", reject: float = REJECT, min_support: int = MIN_SUPPORT, z: float = Z,
+                salts: int = SALTS) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, purity.
 
     ``labels`` has page_id and bad (0 or 1; null is no label; of repeated labels
@@ -134,7 +136,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     paths = stored(marked.groupBy("host", lexical_path(F.col("path")).alias("lexical")).agg(
         F.count(F.lit(1)).alias("n"), F.count("is_bad").alias("labelled"),
         F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad")), "url-paths")
-    tree = template_tree(paths, depth, min_support, z, salts)
+    tree = template_tree(paths, min_support, z, salts)
     judged = stored(salted_join(tree.select("host", "lexical", "template"), template_purity(tree), ["host", "template"],
                                 ["lexical"], salts), "url-judged")
     found = longest_rule(F.col("host"), F.col("path"), rules)
@@ -152,7 +154,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-def _sql() -> str:
+def _sql(depth: int = 8) -> str:
+    """The same in SQL, which has no loop over levels here: ``depth`` of them are
+    spelled out, and segments below them are wildcards."""
     rules = "CASE " + " ".join(
         f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND path LIKE '/{r.partition('/')[2]}%' THEN {{{i}}}"
         for i, (_, r) in enumerate(sorted(RULES, key=lambda x: -len(x[1])))) + " END"
@@ -160,7 +164,7 @@ def _sql() -> str:
     rule = rules.format(*[f"'{r}'" for _, r in ordered])
     verdict = rules.format(*[f"'{v}'" for v, _ in ordered])
     levels, last = [], "t0"
-    for k in range(DEPTH):
+    for k in range(depth):
         levels.append(f"""
 b{k} AS (SELECT host, template, parts[{k + 2}] AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad
   FROM {last} WHERE len(parts) >= {k + 2} GROUP BY 1, 2, 3),
@@ -180,7 +184,7 @@ k AS (SELECT doc_id, max(1 - quality) AS is_bad FROM labels WHERE quality IS NOT
 p AS (SELECT host, regexp_replace(path, '[0-9]+', '*', 'g') AS lexical, count(*) AS n, count(is_bad) AS labelled,
   coalesce(sum(is_bad), 0) AS bad FROM u LEFT JOIN k ON u.page_id = k.doc_id GROUP BY 1, 2),
 t0 AS (SELECT *, string_split(lexical, '/') AS parts, '' AS template FROM p),{''.join(levels)}
-t AS (SELECT host, lexical, labelled, bad, CASE WHEN len(parts) > {DEPTH + 1} THEN template || '/**' ELSE template END AS template FROM {last}),
+t AS (SELECT host, lexical, labelled, bad, template || repeat('/*', greatest(len(parts) - {depth + 1}, 0)) AS template FROM {last}),
 h AS (SELECT host, sum(labelled) AS hl, sum(bad) AS hb FROM t GROUP BY 1),
 e AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0e0) AS share FROM t),
 q AS (SELECT t.host, t.template, (sum(bad) + {TEMPLATE_WEIGHT:e} * ((any_value(hb) + {HOST_WEIGHT:e} * any_value(share)) / (any_value(hl) + {HOST_WEIGHT:e})))
