@@ -1,9 +1,11 @@
 import gzip
 import hashlib
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from wirefold.llm.warc import base32_sha1, read_warc, write_warc
+from wirefold.llm.warc import base32_sha1, read_warc, sort_key, write_warc
 
 
 @pytest.fixture
@@ -66,6 +68,36 @@ def test_archives_do_not_depend_on_the_partitions(spark, pages, tmp_path):
     assert sums[0] == sums[1]
 
 
+def test_shards_follow_bytes_and_files_the_roll_size(spark, pages, tmp_path):
+    rnd = random.Random(2)
+    text = lambda: "".join(rnd.choices("abcdefghijklmnop <>/", k=2000))
+    rows = [(i, "u", text()) for i in range(150)] + [(None, "n", text()) for _ in range(150)] + [(9, "m", text()) for _ in range(150)]
+    rows += [(2 ** 62, "far", text()), (-2 ** 63, "low", text()), (2 ** 63 - 1, "high", "")]
+    folder = f"{tmp_path}/plain"  # no scheme: the cluster's default file system
+    manifest = write_warc(pages(rows).repartition(3), folder, shard_bytes=100_000, roll_bytes=20_000)
+    files = manifest.collect()
+    shards = {}
+    for r in files:
+        shards.setdefault(r["shard"], []).append(r)
+    assert sorted(shards) == list(range(len(shards))) and len(shards) >= 11
+    assert all(sum(r["records"] for r in x) <= 41 for x in shards.values())  # 2,512 bytes each
+    for x in shards.values():
+        x.sort(key=lambda r: r["seq"])
+        assert len(x) > 1 or x[0]["shard"] == len(shards) - 1
+        assert all(20_000 <= r["bytes"] < 24_000 for r in x[:-1])
+    back = read_warc(manifest, folder)
+    assert back.rdd.getNumPartitions() == len(files)
+    got = [(r["page_id"], r["payload"].decode(), r["digest_ok"]) for r in back.collect()]
+    assert sorted(got, key=repr) == sorted(((i, t, True) for i, _, t in rows), key=repr)
+
+
+def test_sort_key_sorts_as_ids_and_digests(spark):
+    rows = [(i, bytes([b]) * 20) for i in (None, -2 ** 63, -1, 0, 1, 2 ** 62, 2 ** 63 - 1) for b in (0, 9, 160, 255)]
+    df = spark.createDataFrame(rows, "page_id long, sha1 binary")
+    keys = [r[0] for r in df.select(sort_key(F.col("page_id"), F.col("sha1"))).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+
+
 def test_empty_table(spark, pages, tmp_path):
     folder = f"file://{tmp_path}/e"
     manifest = write_warc(pages([]), folder)

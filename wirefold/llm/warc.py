@@ -1,12 +1,13 @@
 """Deterministic sharded WARC writer and reader.
 
 Writing. Payload digests are computed in the scan; of equal payloads the
-smallest page id is the response. Those marks and the records meet in one
-shuffle by shard (a range of page ids whose width follows from the table's
-smallest and largest id and its bytes), sorted by page id and digest, so the
-archives don't depend on how the input was cut. A task streams its shards to
-gzip members, one a record, and rolls to the next file once ``roll_bytes`` of
-compressed data are written; headers, record ids and digests are made anew.
+smallest page id is the response. Records are sorted by page id and digest: the
+running sum of their bytes in that order cuts them into shards of equal bytes,
+whatever the ids are, and a null or repeated id is cut between its digests. Marks
+and records meet in one shuffle by shard, so the archives don't depend on how
+the input was cut. A task streams its shard to gzip members, one a record, and
+rolls to the next file once ``roll_bytes`` of compressed data are written;
+headers, record ids and digests are made anew.
 
 Commit. Tasks write under temporary names of their own attempt and return one
 manifest row per file. Spark keeps the rows of successful attempts only; the
@@ -24,16 +25,22 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirefold.llm.common import broadcast_if_small, scratch, stored, table
-
-ROLL_BYTES = 256 << 20
-SHARD_BYTES = 16 << 20
+from wirefold.operators.ordinal import keyed_ordinal
+
+#: Bytes of a shard, and shards of a table: beyond their product shards are larger.
+SHARD_BYTES, MAX_SHARDS = 16 << 20, 50_000
+#: A file takes this part of its shard's bytes, compressed.
+ROLL_SHARE = 4
+#: Bytes that a record's headers count for.
+HEADER_BYTES = 512
 #: The record date, the name space of record ids, the revisit profile.
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -55,6 +62,16 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI: one without scheme lies on the cluster's default
+    file system, also for readers and writers outside Spark."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+
+
 def record_id(page_id, digest: str, copy: int) -> str:
     return f"urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{digest}/{copy}')}"
 
@@ -102,8 +119,7 @@ class RollingFiles:
         if shard != self.shard:
             self.shard, self.seq = shard, 0
         if self.out is None:
-            # shard numbers may be negative: ids may be
-            self.name = f"shard-{shard}-{self.seq:05d}.warc.gz"
+            self.name = f"shard-{shard:05d}-{self.seq:05d}.warc.gz"
             self.temporary = f"_temporary/{self.name}.{self.attempt}"
             self.out = self.fs.open_output_stream(f"{self.root}/{self.temporary}", compression=None)
             self.size, self.records, self.sha1 = 0, 0, hashlib.sha1()
@@ -137,20 +153,39 @@ def _rename(folder: str):
     return run
 
 
+def sort_key(page_id: Column, sha1: Column) -> Column:
+    """A text that sorts as (page id with nulls first, digest) does."""
+    number = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), number), F.lit("0")), F.hex(sha1))
+
+
+def shard_bounds(marks: DataFrame, shard_bytes: int) -> list[str]:
+    """The first sort key of each shard but for the first one: shards hold about
+    ``shard_bytes`` each. ``marks``: page_id, sha1 and n (bytes). A row per
+    shard comes to the driver."""
+    sizes = (marks.groupBy(sort_key(F.col("page_id"), F.col("sha1")).alias("key"))
+             .agg(F.sum(F.col("n") + HEADER_BYTES).cast("double").alias("size")))
+    placed = keyed_ordinal(sizes, [], ["key"], measure="size", cum_out="before",
+                           num_partitions=int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min("key").alias("key"))
+    return sorted(r["key"] for r in first.filter("shard > 0").select("key").collect())
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+               least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int | None = None) -> DataFrame:
     """Write one record per row of ``pages`` to ``folder`` and return its manifest.
 
     Null payloads are empty. Of records with equal payloads of at least
     ``least_bytes`` bytes the one with the smallest id is a response (of
     repeated rows with that id, the first one written) and the others revisit
-    it; smaller ones are all responses. Null ids sort first and go to a shard
-    of their own; they name no response while a group has another id, and a
-    group of null ids has one response, revisited without a name. Null urls
-    get no target header. An empty table gives an empty manifest and no file;
-    further columns are not read.
+    it; smaller ones are all responses. Null ids sort first; they name no
+    response while a group has another id, and a group of null ids has one
+    response, revisited without a name. Null urls get no target header. Rows of
+    one id and payload stay in one shard. An empty table gives an empty manifest
+    and no file; further columns are not read.
     """
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     marks = stored(rows.select("page_id", F.unhex(F.sha1("payload")).alias("sha1"),
@@ -158,19 +193,22 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     first = (marks.filter(F.col("n") >= least_bytes).groupBy("sha1")
              .agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
              .select("sha1", "refers_to"))
-    span = marks.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(F.col("n") + 512).alias("total")).first()
-    n_shards = max(1, -(-(span["total"] or 0) // shard_bytes))
-    width = max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // n_shards))
-    shard = F.coalesce(F.floor((F.col("page_id").cast("double") - F.lit(float(span["lo"] or 0))) / F.lit(float(width))), F.lit(-1)).cast("long")
+    total = marks.agg(F.sum(F.col("n") + HEADER_BYTES)).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-total // MAX_SHARDS))
+    roll_bytes = roll_bytes or max(1, shard_bytes // ROLL_SHARE)
+    bounds = shard_bounds(marks, shard_bytes)
+    place = F.udf(lambda key: bisect_right(bounds, key), "long", useArrow=True)
+    shard = place(sort_key(F.col("page_id"), F.col("sha1")))
     # marks of rows in groups of copies, one per id and digest, sort before their records
     noted = (marks.join(broadcast_if_small(stored(first, "warc-first")), "sha1")
              .select("page_id", "sha1", "refers_to").distinct())
-    lines = (rows.select(shard.alias("shard"), "page_id", F.unhex(F.sha1("payload")).alias("sha1"), F.lit(1).alias("kind"),
-                         F.lit(None).cast("long").alias("refers_to"), "url", "payload")
+    lines = (rows.withColumn("sha1", F.unhex(F.sha1("payload")))
+             .select(shard.alias("shard"), "page_id", "sha1", F.lit(1).alias("kind"),
+                     F.lit(None).cast("long").alias("refers_to"), "url", "payload")
              .unionAll(noted.select(shard.alias("shard"), "page_id", "sha1", F.lit(0).alias("kind"), "refers_to",
                                     F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))))
     order = ["shard", "page_id", "sha1", "kind", "url"]
-    dealt = lines.repartition(n_shards + 1, "shard").sortWithinPartitions(*order)
+    dealt = lines.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = RollingFiles(folder, roll_bytes)
@@ -199,7 +237,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                                   ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
     pending = stored(dealt.mapInArrow(run, MANIFEST), "warc-pending")
-    placed = pending.repartition(F.col("file")).mapInArrow(_rename(folder), MANIFEST).drop("temporary")
+    movers = min(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = (pending.repartitionById(movers, F.pmod("shard", F.lit(movers)).cast("int"))
+              .mapInArrow(_rename(folder), MANIFEST).drop("temporary"))
     path = f"{folder.rstrip('/')}/manifest"
     placed.write.parquet(path)
     return spark.read.schema(placed.schema).parquet(path)
@@ -234,7 +274,12 @@ def parse_record(data: bytes) -> dict:
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the files that ``manifest`` names: page_id, url,
     record_id, record_type, refers_to, payload_bytes, payload_digest, payload
-    (null for a revisit) and digest_ok (block and payload digests hold)."""
+    (null for a revisit) and digest_ok (block and payload digests hold). A task
+    reads about one file."""
+    spark = manifest.sparkSession
+    folder = qualified(spark, folder)
+    files = max(1, manifest.count())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -269,7 +314,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield emit(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, RECORDS)
+    return manifest.select("file").repartition(files, "file").mapInArrow(run, RECORDS)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
