@@ -141,11 +141,10 @@ class Found:
     def __init__(self, hi, lo, p, w, symbols: int):
         import numpy as np
 
-        self.p, self.w, self.base = p, w, 1.0 / (symbols + 1)
-        self.parts = np.empty((2 * 3, len(lo)), dtype=np.int32)
-        for i in range(2 * 3):
-            self.parts[i] = ((lo, hi)[i // 3] >> (BITS * (i % 3))) & ((1 << BITS) - 1)
-        self.length = (self.parts > 0).sum(axis=0, dtype=np.int8)
+        self.hi, self.lo, self.p, self.w, self.base = hi, lo, p, w, 1.0 / (symbols + 1)
+        self.length = np.zeros(len(lo), dtype=np.int8)
+        for i in range(ORDER):  # no symbol is 0, so a long's size tells how many it holds
+            self.length += (lo, hi)[i // 3] >= 1 << (BITS * (i % 3))
         self.last = None, None
 
     def _tables(self, own):
@@ -157,7 +156,7 @@ class Found:
     def keep_only(self, own) -> None:
         """Make the lookup table of ``own`` and forget the rows, for texts of no other symbols."""
         self._tables(own)
-        del self.parts, self.length, self.p, self.w
+        del self.hi, self.lo, self.length, self.p, self.w
 
     def _made_tables(self, own):
         import numpy as np
@@ -167,11 +166,12 @@ class Found:
         out = []
         for length in range(ORDER + 1):
             mine = np.flatnonzero(self.length == length)
-            ranks = rank[self.parts[:length, mine]]
-            mine, ranks = mine[(ranks >= 0).all(axis=0)], ranks[:, (ranks >= 0).all(axis=0)]
-            key = np.zeros(len(mine), dtype=np.int64)
-            for back in range(length):
-                key |= ranks[back] << (LOCAL_BITS * back)
+            key, known = np.zeros(len(mine), dtype=np.int64), np.ones(len(mine), dtype=bool)
+            for i in range(length):
+                one = rank[((self.lo, self.hi)[i // 3][mine] >> (BITS * (i % 3))) & ((1 << BITS) - 1)]
+                known &= one >= 0
+                key |= one << (LOCAL_BITS * i)
+            mine, key = mine[known], key[known]
             order = np.argsort(key)
             out.append((key[order], self.p[mine][order], self.w[mine][order]))
         return out
