@@ -4,12 +4,14 @@ joins.
 
 A symbol is a code point + 2 (``START`` before a text, 0 for none), so an
 n-gram of up to six symbols is exact in two longs of 63 bits, whatever the
-script; the zeros tell its length. No table is collected or broadcast.
-
-Scoring: texts are dealt into groups of about ``GROUP_CHARS`` characters. Each
-group asks once for each distinct n-gram that it needs (of every length), the
-questions are joined with the sharded model, and the rows found go back to the
-group, which interpolates and sums them by text.
+script; the zeros tell its length. No table of the model is collected, and only
+those of single symbols (at most one row per code point) are broadcast.
+
+Scoring: the distinct n-grams of all texts are looked up once. Those the model
+has are done after one join; the others go on with their shorter ending and the
+weight of the context, so each round has fewer rows. Then texts are dealt into
+groups of about ``GROUP_CHARS`` characters. Each group asks once for each
+distinct n-gram of six symbols, gets one number for it and sums by text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from wirefold.llm.common import stored
 
 ORDER, BITS, START = 6, 21, 1
 #: Characters of a group of texts, and symbols worked on at a time.
-GROUP_CHARS, BATCH_SYMBOLS = 8_000_000, 1_000_000
+GROUP_CHARS, BATCH_SYMBOLS = 32_000_000, 1_000_000
+#: Distinct n-grams that a task holds before it passes them on.
+HELD_NGRAMS = 2_000_000
 #: Symbols that a packed key can tell apart: ``ORDER`` of them fit in 60 bits.
 LOCAL_BITS = 10
 
@@ -60,19 +64,21 @@ def _line(texts: list[str]):
     return line, real, lengths
 
 
-def _symbols(line):
+def _distinct(keys):
+    """Sorted distinct values, by a sort: numpy's own hashes them, at nine times the cost."""
     import numpy as np
 
-    return np.flatnonzero(np.bincount(line)) if len(line) else np.zeros(0, dtype=np.int64)
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
-def _segments(line, real, own=None):
+def _segments(line, real):
     """(keys of the n-grams at the characters, symbols by rank): pieces of the
     line with few enough symbols for packed keys; a piece of 2^LOCAL_BITS
-    symbols always has. ``own`` are symbols that hold all of the line's."""
+    symbols always has."""
     import numpy as np
 
-    own = _symbols(line) if own is None else own
+    own = np.flatnonzero(np.bincount(line)) if len(line) else np.zeros(0, dtype=np.int64)
     if len(own) > 1 << LOCAL_BITS:
         half = max(ORDER, len(line) // 2)
         yield from _segments(line[:half], real[:half])
@@ -91,169 +97,169 @@ def _segments(line, real, own=None):
     yield key[real], own
 
 
-def _unpack(keys, own, length: int):
+def _unpack(keys, own):
     """(hi, lo) of packed keys."""
     import numpy as np
 
     hi, lo = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-    for back in range(length):
+    for back in range(ORDER):
         symbol = own[(keys >> (LOCAL_BITS * back)) & ((1 << LOCAL_BITS) - 1)]
         (lo if back < 3 else hi)[:] |= symbol << (BITS * (back % 3))
     return hi, lo
 
 
-def _mask(length: int) -> int:
-    return (1 << (LOCAL_BITS * length)) - 1
-
-
-def _merged(hi, lo):
-    """Distinct pairs."""
+def _summed(parts):
+    """(hi, lo, n) of several such, each n-gram once."""
     import numpy as np
 
+    hi, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((lo, hi))
-    hi, lo = hi[order], lo[order]
-    first = np.ones(len(hi), dtype=bool)
-    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-    return hi[first], lo[first]
+    hi, lo, n = hi[order], lo[order], n[order]
+    first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.zeros(0, dtype=np.int64)
+    return hi[first], lo[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def wanted(texts: list[str]):
-    """(hi, lo): each distinct n-gram and context of every length in ``texts``."""
+def _counted(texts: Iterator[str], held: int | None = None):
+    """(hi, lo, n) of the n-grams of ``texts``, each once; passed on, and begun
+    anew, whenever there are more than ``held``."""
     import numpy as np
 
-    have = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)  # the empty context
+    empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    have, new, size = empty, [], 0
     for part in _batches(texts):
         line, real, _ = _line(part)
-        found = [have]
         for keys, own in _segments(line, real):
-            grams, contexts = np.unique(keys), None
-            for length in range(ORDER, 0, -1):
-                asked = grams if contexts is None else np.union1d(grams, contexts)
-                found.append(_unpack(asked, own, length))
-                contexts, grams = grams >> LOCAL_BITS, np.unique(grams & _mask(length - 1))
-        have = _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
-    return have
+            keys = np.sort(keys)
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+            new.append((*_unpack(keys[first], own), np.diff(np.r_[first, len(keys)])))
+            size += len(first)
+        if size > max(len(have[0]), BATCH_SYMBOLS):
+            have, new, size = _summed([have, *new]), [], 0
+            if held is not None and len(have[0]) > held:
+                yield have
+                have = empty
+    yield _summed([have, *new])
 
 
-class Found:
-    """Model rows that a group has got, and log-probabilities of its texts."""
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """(hi, lo, n) of length ``ORDER`` over all rows of the column ``text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _counted((t.as_py() or "" for batch in batches for t in batch.column(0)), HELD_NGRAMS):
+            yield from _sliced(found)
 
-    def __init__(self, hi, lo, p, w, symbols: int):
-        import numpy as np
+    return texts.select("text").mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
-        self.hi, self.lo, self.p, self.w, self.base = hi, lo, p, w, 1.0 / (symbols + 1)
-        self.length = np.zeros(len(lo), dtype=np.int8)
-        for i in range(ORDER):  # no symbol is 0, so a long's size tells how many it holds
-            self.length += (lo, hi)[i // 3] >= 1 << (BITS * (i % 3))
-        self.last = None, None
 
-    def _tables(self, own):
-        """(keys, p, w) by length, of rows whose symbols are all in ``own``; those asked last are kept."""
-        if self.last[0] != own.tobytes():
-            self.last = own.tobytes(), self._made_tables(own)
-        return self.last[1]
+def distinct_ngrams(texts: DataFrame) -> DataFrame:
+    """(hi, lo) of length ``ORDER`` that are in the column ``text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _counted((t.as_py() or "" for batch in batches for t in batch.column(0)), HELD_NGRAMS):
+            yield from _sliced(found[:2])
 
-    def keep_only(self, own) -> None:
-        """Make the lookup table of ``own`` and forget the rows, for texts of no other symbols."""
-        self._tables(own)
-        del self.hi, self.lo, self.length, self.p, self.w
+    return texts.select("text").mapInArrow(run, "hi long, lo long").distinct()
 
-    def _made_tables(self, own):
-        import numpy as np
 
-        rank = np.full(0x110003, -1, dtype=np.int64)
-        rank[own] = np.arange(len(own))
-        out = []
-        for length in range(ORDER + 1):
-            mine = np.flatnonzero(self.length == length)
-            key, known = np.zeros(len(mine), dtype=np.int64), np.ones(len(mine), dtype=bool)
-            for i in range(length):
-                one = rank[((self.lo, self.hi)[i // 3][mine] >> (BITS * (i % 3))) & ((1 << BITS) - 1)]
-                known &= one >= 0
-                key |= one << (LOCAL_BITS * i)
-            mine, key = mine[known], key[known]
-            order = np.argsort(key)
-            out.append((key[order], self.p[mine][order], self.w[mine][order]))
-        return out
-
-    def log_probabilities(self, texts: list[str], own=None):
-        """The sum over each text's characters. With symbols ``own`` that hold
-        those of several lists of texts, the lookup table is made once for all."""
-        import numpy as np
+def _sliced(columns, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + rows]) for c in columns], names=["hi", "lo", "n"][:len(columns)])
 
-        def pick(keys, values, asked, missing):
-            if not len(keys):
-                return np.full(len(asked), missing)
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            return np.where(keys[at] == asked, values[at], missing)
 
-        line, real, lengths = _line(texts)
-        logs = []
-        for keys, own in _segments(line, real, own):
-            tables = self._tables(own)
-            grams = [None] * (ORDER + 1)
-            grams[ORDER] = np.unique(keys)
-            for length in range(ORDER - 1, -1, -1):
-                grams[length] = np.unique(grams[length + 1] & _mask(length))
-            lower = np.full(len(grams[0]), self.base)
-            for length in range(1, ORDER + 1):
-                asked = grams[length]
-                share = pick(tables[length][0], tables[length][1], asked, 0.0)
-                weight = pick(tables[length - 1][0], tables[length - 1][2], asked >> LOCAL_BITS, 1.0)
-                lower = share + weight * lower[np.searchsorted(grams[length - 1], asked & _mask(length - 1))]
-            logs.append(np.log(np.maximum(lower, 1e-300))[np.searchsorted(grams[ORDER], keys)])
-        ends = np.r_[0.0, np.cumsum(np.concatenate(logs) if logs else np.zeros(0))]
-        return np.diff(ends[np.r_[0, np.cumsum(lengths)]])
+class Found:
+    """The log-probabilities of the n-grams that a group has asked for, and of its texts."""
+
+    def __init__(self, hi, lo, lp):
+        import numpy as np
 
+        self.his, self.los = _distinct(hi), _distinct(lo)
+        at = self._place(hi, lo)
+        order = np.argsort(at)
+        self.known, self.lp = at[order], lp[order]
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(hi, lo, n) of length ``ORDER`` over all rows of the column ``text``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _place(self, hi, lo):
         import numpy as np
 
-        for part in _batches(t.as_py() or "" for batch in batches for t in batch.column(0)):
-            line, real, _ = _line(part)
-            for keys, own in _segments(line, real):
-                grams, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*_unpack(grams, own, ORDER), n)], names=["hi", "lo", "n"])
+        return np.searchsorted(self.his, hi) << 32 | np.searchsorted(self.los, lo)
 
-    return texts.select("text").mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    def log_probabilities(self, texts: list[str]):
+        """The sum over each text's characters."""
+        import numpy as np
+
+        line, real, lengths = _line(texts)
+        logs = [np.zeros(0)]
+        for keys, own in _segments(line, real):
+            grams = _distinct(keys)
+            values = self.lp[np.searchsorted(self.known, self._place(*_unpack(grams, own)))].astype(np.float64)
+            logs.append(values[np.searchsorted(grams, keys)])
+        ends = np.r_[0.0, np.cumsum(np.concatenate(logs))]
+        return np.diff(ends[np.r_[0, np.cumsum(lengths)]])
 
 
 def _suffix(length: int) -> tuple[Column, Column]:
+    """The last ``length`` symbols of the n-gram in hi, lo."""
     cut = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << (BITS * max(0, min(3, k)))) - 1))
     return cut("hi", length - 3).alias("hi"), cut("lo", length).alias("lo")
 
 
-def _context() -> tuple[Column, Column]:
-    last = F.col("hi").bitwiseAND(F.lit((1 << BITS) - 1))
-    return F.shiftright("hi", BITS).alias("chi"), F.shiftright("lo", BITS).bitwiseOR(F.shiftleft(last, 2 * BITS)).alias("clo")
+def _context(length: int) -> tuple[Column, Column]:
+    """Those symbols without the last."""
+    hi, lo = _suffix(length)
+    last = hi.bitwiseAND(F.lit((1 << BITS) - 1))
+    return F.shiftright(hi, BITS).alias("chi"), F.shiftright(lo, BITS).bitwiseOR(F.shiftleft(last, 2 * BITS)).alias("clo")
+
+
+def _part(model: DataFrame, kind: str, length: int, value: str) -> DataFrame:
+    """(chi, clo, value) of one kind and length. Of single symbols, and of none,
+    there is at most one row per code point: those are broadcast."""
+    rows = (model.filter((F.col("kind") == kind) & (F.col("length") == length))
+            .select(F.col("hi").alias("chi"), F.col("lo").alias("clo"), F.col("value").alias(value)))
+    return F.broadcast(rows) if length < 2 else rows
+
+
+def _joined(rows: DataFrame, part: DataFrame, key: tuple[Column, Column], how: str) -> DataFrame:
+    return rows.withColumns({"chi": key[0], "clo": key[1]}).join(part, ["chi", "clo"], how).drop("chi", "clo")
 
 
 def train(texts: DataFrame, discounts) -> tuple[DataFrame, int]:
-    """The model of the column ``text`` as a stored table (hi, lo, p, w), and
-    its number of symbols. p is an n-gram's discounted share after its context,
-    w the weight of the next shorter n-gram after it as a context; lengths
-    below ``ORDER`` have continuation counts. ``discounts`` gives the three
-    discounts of a table of counts."""
+    """The model of the column ``text``, (kind, length, hi, lo, value) over
+    stored tables, and its number of symbols. A row of kind 'p' is an n-gram's
+    probability after its context, interpolated down to the uniform one; one of
+    kind 'w' is the weight that a context gives to the next shorter n-gram.
+    Lengths below ``ORDER`` have continuation counts. ``discounts`` gives the
+    three discounts of a table of counts."""
     tables = {ORDER: stored(count_ngrams(texts), "kn-counts")}
     for k in range(ORDER - 1, 0, -1):
         tables[k] = stored(tables[k + 1].groupBy(*_suffix(k)).agg(F.count(F.lit(1)).alias("n")), "kn-counts")
-    rows = None
-    for k, counts in tables.items():
-        d1, d2, d3 = discounts(counts)
+    symbols, model = tables[1].count(), None
+    for k in range(1, ORDER + 1):
+        d1, d2, d3 = discounts(tables[k])
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        grams = counts.select("hi", "lo", "n", *_context(), cut.alias("cut"))
-        contexts = grams.groupBy("chi", "clo").agg(F.sum("n").alias("total"), F.sum("cut").alias("held"))
-        if k == 1:
-            contexts = F.broadcast(contexts)  # one row: the empty context
-        none = F.lit(None).cast("double")
-        here = (grams.join(contexts, ["chi", "clo"]).select("hi", "lo", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p"), none.alias("w"))
-                .unionAll(contexts.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), none.alias("p"), (F.col("held") / F.col("total")).alias("w"))))
-        rows = here if rows is None else rows.unionAll(here)
-    model = rows.groupBy("hi", "lo").agg(F.coalesce(F.max("p"), F.lit(0.0)).cast("float").alias("p"),
-                                         F.coalesce(F.max("w"), F.lit(1.0)).cast("float").alias("w"))
-    return stored(model, "kn-model"), tables[1].count()
+        grams = tables[k].withColumn("cut", cut)
+        held = stored(grams.groupBy(*_context(k)).agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight")), "kn-weights")
+        known = _joined(grams, F.broadcast(held) if k < 3 else held, _context(k), "inner")
+        low = F.lit(1.0 / (symbols + 1))
+        if k > 1:
+            known, low = _joined(known, _part(model, "p", k - 1, "low"), _suffix(k - 1), "inner"), F.col("low")
+        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * low
+        known = stored(known.select("hi", "lo", p.cast("float").alias("value")), "kn-shares")
+        rows = [known.select(F.lit("p").alias("kind"), F.lit(k).alias("length"), "hi", "lo", "value"),
+                held.select(F.lit("w").alias("kind"), F.lit(k - 1).alias("length"), F.col("chi").alias("hi"),
+                            F.col("clo").alias("lo"), F.col("weight").cast("float").alias("value"))]
+        model = rows[0].unionAll(rows[1]) if model is None else model.unionAll(rows[0]).unionAll(rows[1])
+    return model, symbols
+
+
+def look_up(grams: DataFrame, model: DataFrame, symbols: int) -> DataFrame:
+    """``grams`` (hi, lo; distinct, of length ``ORDER``) with the natural
+    logarithm ``lp`` of their probability: that of the longest ending that the
+    model has, times the weights of the longer contexts that it has."""
+    wait, done = grams.withColumn("weight", F.lit(1.0)), None
+    for k in range(ORDER, 0, -1):
+        step = stored(_joined(wait, _part(model, "p", k, "p"), _suffix(k), "left"), "kn-looked-up")
+        found = step.filter("p IS NOT NULL").select("hi", "lo", F.log(F.col("weight") * F.col("p")).cast("float").alias("lp"))
+        done = found if done is None else done.unionAll(found)
+        wait = (_joined(step.filter("p IS NULL"), _part(model, "w", k - 1, "w"), _context(k), "left")
+                .select("hi", "lo", (F.col("weight") * F.coalesce("w", F.lit(1.0))).alias("weight")))
+    return done.unionAll(wait.select("hi", "lo", F.log(F.col("weight") / F.lit(symbols + 1.0)).cast("float").alias("lp")))
 
 
 def score(rows: DataFrame, model: DataFrame, symbols: int, group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -261,32 +267,25 @@ def score(rows: DataFrame, model: DataFrame, symbols: int, group_chars: int = GR
     (null for null and empty texts)."""
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     groups = max(1, -(-size // group_chars))  # by size alone: more groups would ask for more rows
+    looked_up = stored(look_up(distinct_ngrams(rows.select("text").coalesce(groups)), model, symbols), "kn-scores")
     keys = [c for c in rows.columns if c != "text"]
     dealt = rows.withColumn("__group", F.pmod(F.xxhash64(*rows.columns), F.lit(groups)).cast("int"))
     schema = T.StructType([rows.schema[c] for c in keys]).add("lp", "double")
 
     def ask(group: pa.Table) -> pa.Table:
-        hi, lo = wanted([t.as_py() or "" for t in group.column("text")])
+        hi, lo, _ = next(_counted(t.as_py() or "" for t in group.column("text")))
         at = pa.array([group.column("__group")[0].as_py()] * len(hi), pa.int32())
         pa.default_memory_pool().release_unused()  # a worker that waits holds none of an earlier group
         return pa.table([at, pa.array(hi), pa.array(lo)], names=["__group", "hi", "lo"])
 
     def judge(group: pa.Table, got: pa.Table) -> pa.Table:
-        import numpy as np
-
-        found = Found(*(got.column(c).to_numpy() for c in ("hi", "lo", "p", "w")), symbols)
+        found, lp = Found(*(got.column(c).to_numpy() for c in ("hi", "lo", "lp"))), []
         del got
         pa.default_memory_pool().release_unused()
-        texts, lp, own = group.column("text"), [], np.zeros(0, dtype=np.int64)
-        for part in _batches(t.as_py() or "" for t in texts):
-            own = np.union1d(own, _symbols(_line(part)[0]))
-        own = own if len(own) <= 1 << LOCAL_BITS else None
-        if own is not None:
-            found.keep_only(own)
-        for part in _batches(t.as_py() or "" for t in texts):
-            lp += [v if t else None for t, v in zip(part, found.log_probabilities(part, own).tolist(), strict=True)]
+        for part in _batches(t.as_py() or "" for t in group.column("text")):
+            lp += [v if t else None for t, v in zip(part, found.log_probabilities(part).tolist(), strict=True)]
         return pa.table([*(group.column(c) for c in keys), pa.array(lp, pa.float64())], names=[*keys, "lp"])
 
     asked = dealt.groupBy("__group").applyInArrow(ask, "__group int, hi long, lo long")
-    got = asked.join(model.hint("shuffle_merge"), ["hi", "lo"]).select("__group", "hi", "lo", "p", "w")
+    got = asked.join(looked_up.hint("shuffle_merge"), ["hi", "lo"]).select("__group", "hi", "lo", "lp")
     return dealt.groupBy("__group").cogroup(got.groupBy("__group")).applyInArrow(judge, schema)
