@@ -3,8 +3,8 @@
 The model (``wirefold.llm.ngrams``) is over sequences of six characters of any
 script. Its tables grow with the trusted text and stay sharded by n-gram:
 counts, continuation counts, discounts and the scores of documents come from
-joins of them; nothing of the model goes through the driver or a broadcast. Each
-document is scored by the model of trusted text of the other half of identifiers.
+joins of them; nothing of the model goes through the driver, and only its rows of
+single symbols (at most one per code point) are broadcast. Each document is scored by the model of trusted text of the other half of identifiers.
 
 A document is rejected when its perplexity exceeds the quantile that trusted
 documents of its language have. A text's mean log-probability is taken with
