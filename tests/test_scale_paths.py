@@ -135,3 +135,36 @@ def test_vocabulary_in_parts_equals_one_sort(spark):
     for n in (1000, 30):
         got = S.vocabulary(dfs, 50, terms_per_sort=n).collect()
         assert {(r["batch"], r["term"], r["vrank"]) for r in got} == want
+
+
+def test_terms_of_a_batch_stay_in_one_task(spark):
+    docs = spark.createDataFrame([(f"b{i % 9}", i, f"some words of text {i} and {i % 4}") for i in range(90)], "batch string, pos long, norm string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = S.dealt(docs)
+        assert d.whole and d.unique and d.rows == 10
+        for df in (S.vocabulary(S.doc_freq(S.term_freq(d.docs)), whole=True), S.tfidf_rows(d), S.prefix_terms(S.tfidf(docs, d=d), 0.75, d)):
+            assert "ENSURE_REQUIREMENTS" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_weights_are_the_same_however_rows_are_dealt(spark):
+    rows = [("b", i, f"alpha w{i % 3} w{i % 5} beta") for i in range(12)] + [("b", 3, "alpha gamma"), ("c", 1, ""), ("c", 2, "x y"), (None, 1, "lost words")]
+    docs = spark.createDataFrame(rows, "batch string, pos long, norm string")
+    whole, cut = S.dealt(docs), S.dealt(docs, task_chars=20, batch_chars=20)
+    assert whole.whole and not cut.whole and not whole.unique and cut.tasks > whole.tasks
+    for cap in (None, 4):
+        got = [{(r["batch"], r["pos"], r["term"], r["df"]): round(r["weight"], 9) for r in S.tfidf(docs, cap, d=d).collect()} for d in (whole, cut)]
+        assert got[0] == got[1] and got[0]
+
+
+def test_keyed_ordinal_sorts_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    from wirefold.operators import ordinal
+    monkeypatch.setattr(ordinal, "ROWS_PER_TASK", 100)
+    df = spark.range(5000).selectExpr("'hot' AS k", "id AS o")
+    out = keyed_ordinal(df, ["k"], ["o"], out="rn")
+    sizes = out.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] < 400 and sizes[1] > 20   # AQE would merge them into one task
+    assert out.filter("rn <> o + 1").isEmpty()
