@@ -80,11 +80,14 @@ class CycleStore:
 
 
 def stream_cycles(store: CycleStore, landing_dir: str, schema: T.StructType, sources: DataFrame, chats: DataFrame,
-                  now: Column, glob: str = "*.parquet", **options) -> None:
-    """Run a cycle for each landed file in ``landing_dir``, oldest first, until
-    all are processed; a later call goes on with the files that came since."""
-    stream = (store.spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(landing_dir))
+                  now: Column, glob: str = "*.parquet", files_per_cycle: int | None = 1, **options) -> None:
+    """Run a cycle for each ``files_per_cycle`` landed files in ``landing_dir``
+    (None: for all that are there), oldest first, until all are processed; a
+    later call goes on with the files that came since."""
+    reader = (store.spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true"))
+    if files_per_cycle is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_cycle)
+    stream = reader.parquet(landing_dir)
     q = (stream.writeStream.foreachBatch(lambda df, bid: store.run_cycle(bid, df, sources, chats, now, **options))
          .option("checkpointLocation", f"{store.root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
