@@ -1,7 +1,10 @@
 import math
 import random
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wirefold.llm import ngrams
@@ -92,3 +95,50 @@ def test_no_document_is_judged_by_a_model_that_has_read_it(spark):
     for r in got:
         want = lp[side[r["__t_id"]]](texts[r["__t_id"]])
         assert abs(r["lp"] - want) <= 1e-4 * abs(want)
+
+
+def test_counting_passes_on_what_it_holds_and_keeps_few_copies(monkeypatch):
+    rnd = random.Random(5)
+    monkeypatch.setattr(ngrams, "BATCH_SYMBOLS", 10_000)
+    texts = ["".join(rnd.choice("abcdefghij klmnop") for _ in range(4_000)) for _ in range(20)]
+    whole, parts, rows = Counter(), Counter(), []
+    for hi, lo, n in ngrams._counted(iter(texts)):
+        whole.update(dict(zip(zip(hi.tolist(), lo.tolist(), strict=True), n.tolist(), strict=True)))
+    for hi, lo, n in ngrams._counted(iter(texts), 15_000):
+        rows.append(len(hi))
+        for key, times in zip(zip(hi.tolist(), lo.tolist(), strict=True), n.tolist(), strict=True):
+            parts[key] += times
+    assert parts == whole and sum(whole.values()) == 80_000 and len(rows) > 1 and max(rows) < 40_000
+    parts = [tuple(np.arange(500_000) for _ in range(3)) for _ in range(2)]
+    tracemalloc.start()
+    ngrams._summed(parts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not parts and most < 2.2 * 24_000_000, most
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from wirefold.llm.common import DROP_SHUFFLES, stored
+
+    before = spark.conf.get(DROP_SHUFFLES)
+    seen = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: seen.getAllFiles().size()
+    had = count()
+    out = stored(spark.range(100_000).repartition(7, "id"), "test-shuffles")
+    for _ in range(50):
+        if count() <= had:
+            break
+        time.sleep(0.1)
+    assert count() <= had and spark.conf.get(DROP_SHUFFLES) == before
+    assert out.count() == 100_000
+
+
+def test_groups_scored_in_parts_give_every_row_once(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcde ") for _ in range(30)) for _ in range(40)] + [None, ""]
+    model, symbols = ngrams.train(frame(spark, texts), discounts)
+    one = {r["__t_id"]: r["lp"] for r in ngrams.score(frame(spark, texts), model, symbols).collect()}
+    many = ngrams.score(frame(spark, texts), model, symbols, group_chars=200).collect()
+    assert len(many) == len(one) == len(texts)
+    for r in many:
+        assert (r["lp"] is None) == (one[r["__t_id"]] is None) and (r["lp"] is None or abs(r["lp"] - one[r["__t_id"]]) < 1e-9)

@@ -11,12 +11,14 @@ Scoring: the distinct n-grams of all texts are looked up once. Those the model
 has are done after one join; the others go on with their shorter ending and the
 weight of the context, so each round has fewer rows. Then texts are dealt into
 groups of about ``GROUP_CHARS`` characters. Each group asks once for each
-distinct n-gram of six symbols, gets one number for it and sums by text.
+distinct n-gram of six symbols, gets one number for it and sums by text. Half
+of the groups are scored at a time, so that less is on disk at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,9 @@ ORDER, BITS, START = 6, 21, 1
 #: Characters of a group of texts, and symbols worked on at a time.
 GROUP_CHARS, BATCH_SYMBOLS = 32_000_000, 1_000_000
 #: Distinct n-grams that a task holds before it passes them on.
-HELD_NGRAMS = 2_000_000
+HELD_NGRAMS = 1_500_000
+#: Parts in which groups are scored, one after another, so that the shuffled rows of one are gone before the next.
+SCORED_PARTS = 2
 #: Symbols that a packed key can tell apart: ``ORDER`` of them fit in 60 bits.
 LOCAL_BITS = 10
 
@@ -108,13 +112,18 @@ def _unpack(keys, own):
     return hi, lo
 
 
-def _summed(parts):
-    """(hi, lo, n) of several such, each n-gram once."""
+def _summed(parts: list):
+    """(hi, lo, n) of several such, each n-gram once. ``parts`` is emptied, and
+    columns are ordered one after another, so that few copies are held at once."""
     import numpy as np
 
     hi, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.lexsort((lo, hi))
-    hi, lo, n = hi[order], lo[order], n[order]
+    hi = hi[order]
+    lo = lo[order]
+    n = n[order]
+    del order
     first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.zeros(0, dtype=np.int64)
     return hi[first], lo[first], np.add.reduceat(n, first) if len(first) else n
 
@@ -124,21 +133,24 @@ def _counted(texts: Iterator[str], held: int | None = None):
     anew, whenever there are more than ``held``."""
     import numpy as np
 
-    empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
-    have, new, size = empty, [], 0
+    parts, had, size = [], 0, 0  # the first part is what is summed, if anything is
     for part in _batches(texts):
         line, real, _ = _line(part)
         for keys, own in _segments(line, real):
-            keys = np.sort(keys)
+            keys.sort()
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-            new.append((*_unpack(keys[first], own), np.diff(np.r_[first, len(keys)])))
+            parts.append((*_unpack(keys[first], own), np.diff(np.r_[first, len(keys)])))
             size += len(first)
-        if size > max(len(have[0]), BATCH_SYMBOLS):
-            have, new, size = _summed([have, *new]), [], 0
-            if held is not None and len(have[0]) > held:
+        if size > max(had // 2, BATCH_SYMBOLS):
+            have = _summed(parts)
+            had, size = len(have[0]), 0
+            if held is not None and had > held:
                 yield have
-                have = empty
-    yield _summed([have, *new])
+                had = 0
+            else:
+                parts.append(have)
+            del have
+    yield _summed(parts) if parts else tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
 
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
@@ -187,9 +199,13 @@ class Found:
         line, real, lengths = _line(texts)
         logs = [np.zeros(0)]
         for keys, own in _segments(line, real):
-            grams = _distinct(keys)
-            values = self.lp[np.searchsorted(self.known, self._place(*_unpack(grams, own)))].astype(np.float64)
-            logs.append(values[np.searchsorted(grams, keys)])
+            order = np.argsort(keys)  # one sort finds the distinct ones and where each of them is
+            keys = keys[order]
+            new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
+            values = self.lp[np.searchsorted(self.known, self._place(*_unpack(keys[new], own)))].astype(np.float64)
+            keys = np.empty(len(order))
+            keys[order] = values[np.cumsum(new) - 1]
+            logs.append(keys)
         ends = np.r_[0.0, np.cumsum(np.concatenate(logs))]
         return np.diff(ends[np.r_[0, np.cumsum(lengths)]])
 
@@ -286,6 +302,11 @@ def score(rows: DataFrame, model: DataFrame, symbols: int, group_chars: int = GR
             lp += [v if t else None for t, v in zip(part, found.log_probabilities(part).tolist(), strict=True)]
         return pa.table([*(group.column(c) for c in keys), pa.array(lp, pa.float64())], names=[*keys, "lp"])
 
-    asked = dealt.groupBy("__group").applyInArrow(ask, "__group int, hi long, lo long")
-    got = asked.join(looked_up.hint("shuffle_merge"), ["hi", "lo"]).select("__group", "hi", "lo", "lp")
-    return dealt.groupBy("__group").cogroup(got.groupBy("__group")).applyInArrow(judge, schema)
+    def part(dealt: DataFrame) -> DataFrame:
+        asked = dealt.groupBy("__group").applyInArrow(ask, "__group int, hi long, lo long")
+        got = asked.join(looked_up.hint("shuffle_merge"), ["hi", "lo"]).select("__group", "hi", "lo", "lp")
+        return stored(dealt.groupBy("__group").cogroup(got.groupBy("__group")).applyInArrow(judge, schema), "scores")
+
+    parts = min(groups, SCORED_PARTS)
+    scored = [part(dealt.filter(F.col("__group") % parts == i) if parts > 1 else dealt) for i in range(parts)]
+    return reduce(DataFrame.unionAll, scored)

@@ -55,9 +55,8 @@ def cross_scores(rows: DataFrame, ids: DataFrame) -> DataFrame:
     trusted = rows.filter("length(text) > 0").join(ids, "__t_id")
     sides = {r["side"] for r in trusted.select(side.alias("side")).distinct().collect()}
     if len(sides) < 2:
-        return stored(ngrams.score(rows, *ngrams.train(trusted, discounts)), "scores")
-    halves = [stored(ngrams.score(rows.filter(side == i), *ngrams.train(trusted.filter(side != i), discounts)), "scores")
-              for i in (0, 1)]
+        return ngrams.score(rows, *ngrams.train(trusted, discounts))
+    halves = [ngrams.score(rows.filter(side == i), *ngrams.train(trusted.filter(side != i), discounts)) for i in (0, 1)]
     return halves[0].unionAll(halves[1])
 
 
