@@ -56,3 +56,12 @@ def test_round_trip(docs_frame, edge_rows, reference):
 
 def test_empty_table(docs_frame):
     assert pack_documents(docs_frame([]), PATH).count() == 0
+
+
+def test_chunks_outlast_a_million_others(monkeypatch):
+    encoder, encoded = ChunkEncoder(PATH), []
+    monkeypatch.setattr(encoder, "_encode_chunks", lambda chunks: encoded.extend(c for c in chunks if c == "often") or [b""] * len(chunks))
+    monkeypatch.setattr(encoder, "_encode", lambda chunks: [b""] * len(chunks))
+    for part in ["x often " + " ".join(f"{i}" for i in range(k, k + 250_000)) for k in range(0, 1_000_000, 250_000)]:
+        encoder.encode([part])
+    assert encoded == ["often"]

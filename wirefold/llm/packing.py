@@ -29,7 +29,7 @@ from wirefold.llm.common import table
 MAX_TOKENS = 2048
 END_ID = 1
 #: Distinct chunks that a worker remembers, and the longest that it does.
-CACHE_CHUNKS, CACHE_CHARS = 800_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 1_200_000, 48
 #: Characters of text that are encoded at a time.
 BATCH_CHARS = 2_000_000
 
