@@ -5,6 +5,7 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wirefold.llm import ngrams
@@ -142,3 +143,50 @@ def test_groups_scored_in_parts_give_every_row_once(spark):
     assert len(many) == len(one) == len(texts)
     for r in many:
         assert (r["lp"] is None) == (one[r["__t_id"]] is None) and (r["lp"] is None or abs(r["lp"] - one[r["__t_id"]]) < 1e-9)
+
+
+def test_counting_holds_few_bytes_for_each_ngram(monkeypatch):
+    rnd = random.Random(7)
+    monkeypatch.setattr(ngrams, "BATCH_SYMBOLS", 50_000)
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ABCDEFGHIJ", k=50_000)) for _ in range(20)]
+    tracemalloc.start()
+    found = next(ngrams._counted(iter(texts)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) > 990_000 and most < 50 * len(found[0]), most / len(found[0])
+
+
+def test_counting_gives_each_ngram_once_however_many_symbols_there_are(monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(ngrams, "BATCH_SYMBOLS", 1_000)
+    latin = lambda: "".join(rnd.choice("abcd ") for _ in range(1_500))
+    han = lambda: "".join(chr(rnd.randrange(0x4E00, 0x4E00 + 1_500)) for _ in range(700))
+    texts = [latin(), han(), latin(), han() + latin(), "", "é", latin() + "😀", han()]
+    want = Counter()
+    for t in texts:
+        line = [ngrams.START] * (ngrams.ORDER - 1) + [ord(c) + 2 for c in t]
+        for i in range(ngrams.ORDER - 1, len(line)):
+            a, b, c, d, e, f = line[i - ngrams.ORDER + 1:i + 1]
+            want[a << 42 | b << 21 | c, d << 42 | e << 21 | f] += 1
+    for held in (None, 300):
+        got, rows = Counter(), []
+        for hi, lo, n in ngrams._counted(iter(texts), held):
+            keys = list(zip(hi.tolist(), lo.tolist(), strict=True))
+            assert len(set(keys)) == len(keys)
+            rows.append(len(keys))
+            for key, times in zip(keys, n.tolist(), strict=True):
+                got[key] += times
+        assert got == want and (len(rows) > 1) == (held is not None)
+
+
+def test_workers_are_sent_batches_of_bounded_bytes(spark):
+    from wirefold.llm.common import SENT_BYTES, stored
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"])
+
+    before = spark.conf.get(SENT_BYTES, None)
+    texts = spark.range(2_000).select(F.repeat(F.col("id").cast("string"), 300).alias("text")).coalesce(1)
+    found = [r["bytes"] for r in stored(texts.mapInArrow(sizes, "bytes long"), "test-sent", 100_000).collect()]
+    assert len(found) > 10 and max(found) < 200_000 and spark.conf.get(SENT_BYTES, None) == before

@@ -18,14 +18,14 @@ of the groups are scored at a time, so that less is on disk at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirefold.llm.common import stored
+from wirefold.llm import common
 
 ORDER, BITS, START = 6, 21, 1
 #: Characters of a group of texts, and symbols worked on at a time.
@@ -36,6 +36,10 @@ HELD_NGRAMS = 1_500_000
 SCORED_PARTS = 2
 #: Symbols that a packed key can tell apart: ``ORDER`` of them fit in 60 bits.
 LOCAL_BITS = 10
+#: Bytes of texts that a Python worker is sent at a time.
+SENT_BYTES = 4 << 20
+
+stored = partial(common.stored, sent_bytes=SENT_BYTES)
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:
@@ -76,6 +80,11 @@ def _distinct(keys):
     return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
+def _bits(own) -> int:
+    """Bits of a packed key for each of its symbols."""
+    return max(1, (len(own) - 1).bit_length())
+
+
 def _segments(line, real):
     """(keys of the n-grams at the characters, symbols by rank): pieces of the
     line with few enough symbols for packed keys; a piece of 2^LOCAL_BITS
@@ -94,63 +103,116 @@ def _segments(line, real):
         return
     rank = np.zeros(int(own[-1]) + 1, dtype=np.int64)
     rank[own] = np.arange(len(own))
-    ranks = rank[line]
+    ranks, bits = rank[line], _bits(own)
     key = ranks.copy()
     for back in range(1, ORDER):
-        key[back:] |= ranks[:-back] << (LOCAL_BITS * back)
+        key[back:] |= ranks[:-back] << (bits * back)
     yield key[real], own
 
 
+def _ordered(keys, own):
+    """(``keys`` in ascending order, where each was): one sort of numbers that
+    hold both, if they fit in 63 bits."""
+    import numpy as np
+
+    room = len(keys).bit_length()
+    if ORDER * _bits(own) + room > 63:
+        order = np.argsort(keys)
+        return keys[order], order
+    both = keys << room
+    both |= np.arange(len(keys))
+    both.sort()
+    return both >> room, both & ((1 << room) - 1)
+
+
 def _unpack(keys, own):
-    """(hi, lo) of packed keys."""
+    """(hi, lo) of packed keys, a slice at a time, so that little is held beside them."""
     import numpy as np
 
     hi, lo = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-    for back in range(ORDER):
-        symbol = own[(keys >> (LOCAL_BITS * back)) & ((1 << LOCAL_BITS) - 1)]
-        (lo if back < 3 else hi)[:] |= symbol << (BITS * (back % 3))
+    bits, rows = _bits(own), 100_000
+    for at in range(0, len(keys), rows):
+        part = keys[at:at + rows]
+        for back in range(ORDER):
+            symbol = own[(part >> (bits * back)) & ((1 << bits) - 1)]
+            (lo if back < 3 else hi)[at:at + rows] |= symbol << (BITS * (back % 3))
     return hi, lo
 
 
+def _repacked(keys, own, to):
+    """Packed keys by the ranks of ``to``, which has all symbols of ``own``; their order stays."""
+    import numpy as np
+
+    if len(own) == len(to):
+        return keys
+    ranks, bits, more, out = np.searchsorted(to, own), _bits(own), _bits(to), np.zeros(len(keys), dtype=np.int64)
+    for back in range(ORDER):
+        out |= ranks[(keys >> (bits * back)) & ((1 << bits) - 1)] << (more * back)
+    return out
+
+
 def _summed(parts: list):
-    """(hi, lo, n) of several such, each n-gram once. ``parts`` is emptied, and
-    columns are ordered one after another, so that few copies are held at once."""
+    """(hi, lo, n) or (packed keys, n) of several such, each n-gram once.
+    ``parts`` is emptied, and columns are ordered one after another, so that
+    few copies are held at once."""
     import numpy as np
 
-    hi, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    columns = [*zip(*parts, strict=True)]
     parts.clear()
-    order = np.lexsort((lo, hi))
-    hi = hi[order]
-    lo = lo[order]
+    for i in range(len(columns)):
+        columns[i] = np.concatenate(columns[i])
+    *keys, n = columns
+    del columns
+    order = np.lexsort(keys[::-1])
+    for i in range(len(keys)):
+        keys[i] = keys[i][order]
     n = n[order]
     del order
-    first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.zeros(0, dtype=np.int64)
-    return hi[first], lo[first], np.add.reduceat(n, first) if len(first) else n
+    new = np.ones(len(n), dtype=bool)
+    new[1:] = reduce(np.logical_or, (k[1:] != k[:-1] for k in keys))
+    first = np.flatnonzero(new)
+    return (*(k[first] for k in keys), np.add.reduceat(n, first) if len(first) else n)
 
 
 def _counted(texts: Iterator[str], held: int | None = None):
     """(hi, lo, n) of the n-grams of ``texts``, each once; passed on, and begun
-    anew, whenever there are more than ``held``."""
+    anew, whenever there are more than ``held``. They are held as packed keys of
+    all symbols ``seen``, in two thirds of the bytes; those of a piece with whose
+    symbols these would be too many are held as they are passed on."""
     import numpy as np
 
-    parts, had, size = [], 0, 0  # the first part is what is summed, if anything is
+    seen, packed, wide = np.zeros(0, dtype=np.int64), [], []  # the first of each is what is summed, if anything is
+    had, size = 0, 0
+
+    def passed_on():
+        parts = [_summed(wide)] if wide else []
+        if packed:
+            keys, n = _summed(packed)
+            parts.append((*_unpack(keys, seen), n))
+        return parts[0] if len(parts) == 1 else _summed(parts)
+
     for part in _batches(texts):
         line, real, _ = _line(part)
         for keys, own in _segments(line, real):
             keys.sort()
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-            parts.append((*_unpack(keys[first], own), np.diff(np.r_[first, len(keys)])))
+            n, keys = np.diff(np.r_[first, len(keys)]), keys[first]
             size += len(first)
+            both = np.union1d(seen, own)
+            if len(both) > 1 << LOCAL_BITS:
+                wide.append((*_unpack(keys, own), n))
+                continue
+            packed = [(_repacked(k, seen, both), m) for k, m in packed]
+            seen = both
+            packed.append((_repacked(keys, own, seen), n))
+        del line, real
         if size > max(had // 2, BATCH_SYMBOLS):
-            have = _summed(parts)
-            had, size = len(have[0]), 0
+            packed, wide = ([_summed(parts)] if parts else [] for parts in (packed, wide))
+            had, size = sum(len(parts[0][0]) for parts in (packed, wide) if parts), 0
             if held is not None and had > held:
-                yield have
-                had = 0
-            else:
-                parts.append(have)
-            del have
-    yield _summed(parts) if parts else tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+                yield passed_on()
+                had, seen = 0, np.zeros(0, dtype=np.int64)
+    yield passed_on() if packed or wide else tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
 
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
@@ -199,12 +261,11 @@ class Found:
         line, real, lengths = _line(texts)
         logs = [np.zeros(0)]
         for keys, own in _segments(line, real):
-            order = np.argsort(keys)  # one sort finds the distinct ones and where each of them is
-            keys = keys[order]
+            keys, order = _ordered(keys, own)  # one sort finds the distinct ones and where each of them is
             new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
             values = self.lp[np.searchsorted(self.known, self._place(*_unpack(keys[new], own)))].astype(np.float64)
             keys = np.empty(len(order))
-            keys[order] = values[np.cumsum(new) - 1]
+            keys[order] = np.repeat(values, np.diff(np.r_[np.flatnonzero(new), len(order)]))
             logs.append(keys)
         ends = np.r_[0.0, np.cumsum(np.concatenate(logs))]
         return np.diff(ends[np.r_[0, np.cumsum(lengths)]])
@@ -288,11 +349,11 @@ def score(rows: DataFrame, model: DataFrame, symbols: int, group_chars: int = GR
     dealt = rows.withColumn("__group", F.pmod(F.xxhash64(*rows.columns), F.lit(groups)).cast("int"))
     schema = T.StructType([rows.schema[c] for c in keys]).add("lp", "double")
 
-    def ask(group: pa.Table) -> pa.Table:
-        hi, lo, _ = next(_counted(t.as_py() or "" for t in group.column("text")))
-        at = pa.array([group.column("__group")[0].as_py()] * len(hi), pa.int32())
+    def ask(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = next(_counted(t.as_py() or "" for batch in batches for t in batch.column("text")))
         pa.default_memory_pool().release_unused()  # a worker that waits holds none of an earlier group
-        return pa.table([at, pa.array(hi), pa.array(lo)], names=["__group", "hi", "lo"])
+        for part in _sliced(found[:2]):
+            yield part.add_column(0, "__group", pa.array([key[0].as_py()] * part.num_rows, pa.int32()))
 
     def judge(group: pa.Table, got: pa.Table) -> pa.Table:
         found, lp = Found(*(got.column(c).to_numpy() for c in ("hi", "lo", "lp"))), []
