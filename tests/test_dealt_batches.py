@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wirefold.operators import dedup as D
 from wirefold.operators import similarity as S
-from wirefold.session import ensure_checkpoint_dir
+from wirefold.session import ensure_checkpoint_dir, stored
 
 WORDS = ["alpha", "beta", "gämma", "日本", "word", "x1", "x2", "foo", "bar", "b"]
 
@@ -71,3 +71,16 @@ def test_dedup_of_batches_writes_less_than_their_text(spark):
     texts = _long_texts(200)
     docs = spark.createDataFrame([(f"b{i // 50}", i, t) for i, t in enumerate(texts)], "batch string, pos long, norm string")
     assert _written(spark, lambda: D.dedup_flags(docs)) < 0.8 * sum(map(len, texts))
+
+
+def test_report_is_the_same_in_both_forms_and_its_shuffle_files_go(spark, monkeypatch):
+    docs = _odd_rows(spark)
+    both = lambda: [sorted(map(repr, x.select(*[F.round(c, 9).alias(c) if c == "sim" else c for c in x.columns]).collect()))
+                    for x in D.dedup_flags(docs, 0.5, with_report=True)]
+    flags, report = both()
+    monkeypatch.setattr(D, "BLOCK_ROWS", 0)  # rows of terms
+    assert both() == [flags, report] and len(report) > 10
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before = files()
+    stored(spark.range(5000).repartition(40, "id"))
+    assert files() <= before
