@@ -2,10 +2,13 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from wirefold.operators import dedup as D
 from wirefold.operators import similarity as S
+from wirefold.plans import catalog
 from wirefold.session import ensure_checkpoint_dir, stored
 
 WORDS = ["alpha", "beta", "gämma", "日本", "word", "x1", "x2", "foo", "bar", "b"]
@@ -84,3 +87,11 @@ def test_report_is_the_same_in_both_forms_and_its_shuffle_files_go(spark, monkey
     before = files()
     stored(spark.range(5000).repartition(40, "id"))
     assert files() <= before
+
+
+def test_similar_pairs_query_writes_less_than_its_text(spark, tmp_path):
+    texts = _long_texts(200)
+    pq.write_table(pa.table({"doc_id": pa.array(range(200), pa.int64()), "source": ["s0", "s1"] * 100, "text": texts, "lang": ["en"] * 200}),
+                   tmp_path / "documents.parquet")
+    written = _written(spark, lambda: catalog.QUERIES["similar_pairs"](spark, str(tmp_path)))
+    assert written < 0.8 * sum(map(len, texts))
