@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wirefold.operators import dedup as D
 from wirefold.operators import similarity as S
 from wirefold.plans import catalog
-from wirefold.session import ensure_checkpoint_dir, stored
+from wirefold.session import DROP_SHUFFLES, cut_lineage, ensure_checkpoint_dir, stored
 
 WORDS = ["alpha", "beta", "gämma", "日本", "word", "x1", "x2", "foo", "bar", "b"]
 
@@ -95,3 +95,31 @@ def test_similar_pairs_query_writes_less_than_its_text(spark, tmp_path):
                    tmp_path / "documents.parquet")
     written = _written(spark, lambda: catalog.QUERIES["similar_pairs"](spark, str(tmp_path)))
     assert written < 0.8 * sum(map(len, texts))
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before = files()
+    cut = cut_lineage(spark.range(5000).repartition(40, "id").groupBy("id").count())
+    assert files() <= before and cut.count() == 5000
+    assert spark.conf.get(DROP_SHUFFLES, "false") == "false"
+
+
+def test_texts_found_by_their_copies_are_the_distinct_ones(spark, monkeypatch):
+    docs = _odd_rows(spark).dropDuplicates(["batch", "pos"])
+    rows = lambda x: sorted(map(repr, x.filter("batch IS NOT NULL").select("batch", "pos", "norm", "n").collect()))
+    want = rows(D.distinct_texts(docs))
+    for most in (S.USES_BROADCAST, 0):
+        monkeypatch.setattr(S, "USES_BROADCAST", most)
+        assert rows(D.distinct_texts(docs, cut_lineage(D.first_copies(docs)))) == want and len(want) > 30
+
+
+def test_packed_vectors_come_back_and_are_small():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 700):
+        terms = np.sort(rng.integers(0, 1 << 36, n))
+        ws = np.repeat(rng.random(1 + n // 50), 50)[:n] if n > 1 else rng.random(n)
+        back = S._unpacked(packed := S._packed(terms, ws), n)
+        assert all((x == y).all() for x, y in zip(back, (terms, ws), strict=True))
+    assert len(packed) < 8 * n  # 16 bytes an entry before
